@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template
+from noticeloom.llm import chat_template, license_scan, pii
 
 QUERIES = {
     "op6_chat_template": chat_template.op6_chat_template,
+    "op9_pii": pii.op9_pii,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 SQL = {
