@@ -248,10 +248,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document, base counts and a digest of the base spans."""
     found = find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     line = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    of = lambda kind: lambda x: x["kind"] == kind
     base = F.filter("pii_spans", lambda x: ~x["disguised"])
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(F.filter(base, of(k))).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii_spans", line), ",").alias("spans"),
         F.size(F.filter("pii_spans", lambda x: x["disguised"])).cast("long").alias("n_disguised"),
