@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, license_scan, pii
+from noticeloom.llm import chat_template, license_scan, packing, pii
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op6_chat_template": chat_template.op6_chat_template,
     "op9_pii": pii.op9_pii,
     "op10_license_scan": license_scan.op10_license_scan,
