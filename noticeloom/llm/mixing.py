@@ -5,7 +5,9 @@ probability. Pivotal steps pair two fractional probabilities and move words at r
 is 0 or 1, which keeps every probability in expectation and the words in sum exact. Documents are dealt by (source, size band, part), so a source with a third of all
 rows is many small buckets; each bucket leaves at most one fractional document, and the residuals of ``FAN`` parts,
 then of the bands of a source, are combined the same way level by level: a reduction tree. A source's last
-residual is rounded to the nearer side, so the words taken are within half a document of the target. All choices hash a seed with the ids of the pair, so reruns agree wherever the buckets run.
+residual is rounded to the nearer side. Documents of more than one part in ``LARGE`` of their source, so fewer than
+that, are decided first, and the words they take too many or too few are shared by the rest of the source, so the
+words taken end within half a small document of the target wherever the rest can make up for it. All choices hash a seed with the ids of the pair, so reruns agree wherever the buckets run.
 
 Targets are water filling: ``least(2 * size, level * weight)``, the level such that the targets add up. It is worked
 out over one row per source. Defined results: a null text has size 0; documents of size 0 take 0; a null source is a
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import keyed_runs, read_table, staged
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BUCKET, FAN = 20_000, 64
+#: Documents a bucket, buckets that meet at a node of the tree, and the part of its source (one in so many) above which a document is large.
+BUCKET, FAN, LARGE = 20_000, 64, 200
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text_col: str = "text") -> DataFrame:
@@ -118,18 +121,28 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     """Per row of ``sizes`` (doc_id, source, size): its source's size and target and the whole copies that it gets."""
     sizes = staged(sizes)
     targets = staged(source_targets(sizes, weights, share, most))
+    same = lambda x, y: x["source"].eqNullSafe(y["source"])
+    fraction = lambda c: F.when(F.abs(c - F.round(c)) < 1e-12, F.round(c)).otherwise(c)
+    # the few large documents of a source come first; what they take too much or too little is left to the others
+    x = sizes.join(targets, same(sizes, targets), "left").select(sizes["*"], targets["target"], targets["source_size"])
+    large = F.col("size") * LARGE > F.col("source_size")
+    first = x.where(large).select("source", F.lit(-2).alias("band"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("at"), "doc_id", "size", fraction(F.col("target") / F.col("source_size")).alias("taken_copies"))
+    first = staged(_reduce(first, ["source"], ["doc_id"], seed).withColumn("taken_copies", F.round("taken_copies")))
+    took = first.groupBy("source").agg(F.sum(F.col("size") * F.col("taken_copies")).alias("words"), F.sum("size").alias("of"))
+    targets_left = targets.join(took, same(targets, took), "left").select(targets["source"], ((targets["target"] - F.coalesce(took["words"], F.lit(0.0))) / F.nullif(targets["source_size"] - F.coalesce(took["of"], F.lit(0)), F.lit(0))).alias("copies"))
+    targets_left = staged(targets_left.withColumn("copies", F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce("copies", F.lit(0.0))))))
+    large_row, sizes = first, x.where(~large).select("doc_id", "source", "size")
     spread = F.when(F.col("size") > 0, F.floor(4 * F.log2("size"))).otherwise(-1).cast("int")
     counts = sizes.groupBy("source", spread.alias("band")).agg(F.count("*").alias("n"))
     parts = counts.select("source", "band", F.ceil(F.col("n") / BUCKET).alias("parts"))
-    same = lambda x, y: x["source"].eqNullSafe(y["source"])
     banded = sizes.withColumn("band", spread)
     # one row per source, or per source and band: adaptive execution broadcasts them while they are small
     x = banded.join(parts, same(banded, parts) & (banded["band"] == parts["band"]), "left").select(banded["*"], parts["parts"])
-    x = x.join(targets, same(x, targets), "left").select(x["*"], targets["target"], targets["source_size"])
-    copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    x = x.join(targets_left, same(x, targets_left), "left").select(x["*"], targets_left["copies"])
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(0.0)
     x = x.select(
         "source", "band", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).alias("part"), F.lit(0).cast("long").alias("at"), "doc_id", "size",
-        F.when(F.abs(copies - F.round(copies)) < 1e-12, F.round(copies)).otherwise(copies).alias("taken_copies"),
+        fraction(copies).alias("taken_copies"),
     )
     keys = ["source", "band", "part"]
     done = staged(_reduce(x, keys, ["doc_id"], seed))
@@ -155,6 +168,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     # a bucket has one residual row at most, so its key finds it
     x = done.join(settled, open_ & done["source"].eqNullSafe(settled["s"]) & (done["band"] == settled["b"]) & (done["part"] == settled["p"]), "left")
     x = x.select("doc_id", "source", "size", F.coalesce("settled", "taken_copies").cast("long").alias("copies"))
+    x = x.unionByName(large_row.select("doc_id", "source", "size", F.col("taken_copies").cast("long").alias("copies")))
     return x.join(targets, same(x, targets), "left").select(x["*"], targets["source_size"], targets["target"])
 
 
