@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, license_scan, mixing, packing, pii
+from noticeloom.llm import chat_template, license_scan, mixing, packing, pii, quality_pu
 
 QUERIES = {
+    "op1_quality_pu": quality_pu.op1_quality_pu,
     "op2_mixing": mixing.op2_mixing,
     "op4_packing": packing.op4_packing,
     "op6_chat_template": chat_template.op6_chat_template,
