@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, license_scan, mixing, packing, pii, quality_pu
+from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu
 
 QUERIES = {
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op1_quality_pu": quality_pu.op1_quality_pu,
     "op2_mixing": mixing.op2_mixing,
     "op4_packing": packing.op4_packing,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op6_chat_template": chat_template.OP6_SQL,
 }
