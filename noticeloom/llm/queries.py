@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu
+from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu, topk_search
 
 QUERIES = {
+    "op8_topk_search": topk_search.op8_topk_search,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op1_quality_pu": quality_pu.op1_quality_pu,
     "op2_mixing": mixing.op2_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_topk_search": topk_search.OP8_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op6_chat_template": chat_template.OP6_SQL,
 }
