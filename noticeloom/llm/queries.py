@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu, topk_search
+from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu, topk_search, vector_dedup
 
 QUERIES = {
+    "op3_vector_dedup": vector_dedup.op3_vector_dedup,
     "op8_topk_search": topk_search.op8_topk_search,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op1_quality_pu": quality_pu.op1_quality_pu,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_vector_dedup": vector_dedup.OP3_SQL,
     "op8_topk_search": topk_search.OP8_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op6_chat_template": chat_template.OP6_SQL,
