@@ -1,9 +1,79 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, PII, mixing to target weights, packing."""
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, PII, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
+stage's docs; all but the last return the columns of ``documents``. Rows without a doc_id stay documents of their own
+throughout. An empty table passes through; columns that ``documents`` lacks are dropped by the first stage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from noticeloom.llm import jaccard_join, mixing, packing, pii, quality_pu
+from noticeloom.llm.common import read_table, staged
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """For a join: broadcast if it has a bounded number of (narrow) rows, else left to a shuffle."""
+    ids = staged(ids)
+    return F.broadcast(ids) if ids.count() <= jaccard_join.BROADCAST else ids
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    docs = docs.select(*COLUMNS)
+    model = quality_pu.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality_pu.scored(docs, model, list(COLUMNS)).where(F.col("score") >= (quality_pu.CUT if model else 0)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: the one with the smallest id; one row of each document."""
+    found = staged(jaccard_join.jaccard_components(docs).where("doc_id IS NOT NULL"))
+    gone = _sized(found.where("doc_id <> component_id").select("doc_id").distinct())
+    often = _sized(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti")
+    one = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+    repeated = left.join(often, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return left.join(often, "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked."""
+    return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    rows = docs.withColumn("__row", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
+    sizes = mixing.sized(rows.select(F.col("__row").alias("doc_id"), "source", "text"))
+    copies = _sized(mixing.mix(sizes).where("copies > 0").select(F.col("doc_id").alias("__row"), "copies"))
+    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, each copy of a document packed for itself."""
+    return packing.piece_digests(packing.pack_documents(docs, packing.default_tokenizer()))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("packing", windows),
+]
+
+#: SQL cannot express a fitted classifier, seeded rounding or a tokenizer; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, applied to ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs)
     return docs

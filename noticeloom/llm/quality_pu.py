@@ -177,44 +177,52 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 50) -> No
     model.a, model.b = max(float(w[0] / scale), 1e-6), float(w[1])
 
 
-def fit(featured_docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id") -> Model | None:
-    """The model from rows outside the held-out fold; None without positives."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """The model from rows outside the held-out fold; None without positives. ``labels``: (doc_id, quality)."""
     known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
-    docs = featured_docs.where(F.coalesce(fold(id_col), F.lit(2)) != 2).select(F.col(id_col).alias("__id"), "__x")
-    by_hash = F.xxhash64("__id")
-    labelled = staged(docs.join(known, "__id"))
-    share = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    ids = docs.where(F.coalesce(fold(id_col), F.lit(2)) != 2).select(docs[id_col].alias("__id")).distinct()
+    kinds = staged(ids.join(known, "__id", "left").select("__id", F.coalesce("quality", F.lit(-1)).cast("int").alias("kind")))
+    share = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not share.get(1):
         return None
-    take = lambda df: np.array([r[0] for r in df.orderBy(by_hash).limit(most).select("__x").collect()])
-    positive, negative = take(labelled.where("quality = 1")), take(labelled.where("quality = 0"))
-    unlabelled = take(docs.join(known, "__id", "left_anti"))
+    by_hash = F.xxhash64("__id")
+    sample = None
+    for kind in (1, 0, -1):
+        part = kinds.where(F.col("kind") == kind).orderBy(by_hash, "__id").limit(most)
+        sample = part if sample is None else sample.unionByName(part)
+    # at most three times ``most`` ids
+    rows = docs.join(F.broadcast(staged(sample)), docs[id_col] == F.col("__id")).select(F.col("__id"), F.col("kind"), docs[text_col].alias("text"))
+    by_kind: dict[int, list] = {1: [], 0: [], -1: []}
+    for r in featured(rows, ["__id", "kind"]).dropDuplicates(["__id"]).orderBy("__id").collect():
+        by_kind[r["kind"]].append(r["__x"])
+    positive, negative, unlabelled = (np.array(by_kind[k]) for k in (1, 0, -1))
     if not len(unlabelled):
         unlabelled = np.concatenate([positive, negative]) if len(negative) else positive
-    model = fit_nnpu(positive, unlabelled, min(max(share[1] / sum(share.values()), 0.05), 0.98))
+    known_rows = share[1] + share.get(0, 0)
+    model = fit_nnpu(positive, unlabelled, min(max(share[1] / known_rows, 0.05), 0.98))
     if len(negative):
         n = min(len(positive), max(1, round(len(negative) * share[1] / share[0])))
         calibrate(model, np.concatenate([positive[:n], negative]), np.concatenate([np.ones(n), np.zeros(len(negative))]))
     return model
 
 
-def scored(featured_docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` and score."""
-    kinds = ", ".join([*(f"`{c}` {featured_docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+def scored(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and score: the text is read, scored and let go in one pass."""
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if model is None or not b.num_rows:
                 s = np.full(b.num_rows, 0.5)
             else:
-                s = model.score(b["__x"].flatten().to_numpy().reshape(b.num_rows, -1))
+                s = model.score(np.array([features(t or b"") for t in b["__text"].cast(pa.binary()).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(s, pa.float64())], [*keep, "score"])
 
-    return featured_docs.select(*keep, "__x").mapInArrow(run, kinds)
+    return docs.select(*keep, docs[text_col].alias("__text")).mapInArrow(run, kinds)
 
 
 def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction of every document."""
-    x = staged(featured(read_table(spark, sf_dir, "documents"), ["doc_id"]))
-    model = fit(x, read_table(spark, sf_dir, "labels"))
-    return scored(x, model, ["doc_id"]).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return scored(docs, model, ["doc_id"]).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
