@@ -141,9 +141,15 @@ def dday_label(d: Column) -> Column:
     return F.when(d.isNull(), "-").when(d == 0, "D-Day").when(d > 0, F.concat(F.lit("D-"), d)).otherwise(F.concat(F.lit("D+"), -d))
 
 
+def once(c: Column, f) -> Column:
+    """``f`` of ``c`` with ``c`` worked out once: inside a lambda an expression is worked out for every element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """Distinct character n-grams; empty when the text is shorter than n."""
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substr(x, i, F.lit(n))))
+    return once(c, lambda x: F.when(F.length(x) >= n, grams(x)).otherwise(F.array().cast("array<string>")))
 
 
 def bigrams(c: Column) -> Column:

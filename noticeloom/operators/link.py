@@ -90,7 +90,7 @@ def pair_score(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     x = pairs.join(side("l"), F.col("a") == F.col("l_project_no")).join(side("r"), F.col("b") == F.col("r_project_no"))
     found = pair_rule(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))
     x = x.withColumn("found", found).where("found.score > 0")
-    return x.select("a", "b", F.col("r_source").alias("b_source"), F.col("l_rank_key").alias("rank_a"), F.col("r_rank_key").alias("rank_b"), "found.score", "found.reason")
+    return x.select("a", "b", F.col("r_source").alias("b_source"), F.col("l_rank_key").alias("rank_a"), F.col("r_rank_key").alias("rank_b"), F.round("found.score", 6).alias("score"), "found.reason")
 
 
 def labels(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from noticeloom import lexicon as lex
 from noticeloom.functions import text as tx
 
-_NONE = F.lit(None)
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
