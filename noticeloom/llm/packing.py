@@ -5,8 +5,8 @@ pieces, and closes a batch whenever it holds ``FILL`` of the tokens of ``WINDOWS
 there, its rest begins the next batch. Within a batch, differencing starts with one partial partition per piece and
 always merges the two with the largest imbalance, the fullest windows of one with the emptiest of the other, until
 one near-equal partition is left; if a window exceeds the capacity, the window count rises by one and the batch is
-packed again. Of what remains at a task's end, as many windows as it fills are packed likewise and the rest, less than
-one window, goes into sequences whose lengths are powers of two, which need no padding.
+packed again. Of what remains at a task's end, as many windows as it fills are packed likewise, less full if
+that saves one, and the rest goes into sequences whose lengths are powers of two, which need no padding.
 
 No shuffle: a document never leaves its task, and a task holds one batch (``WINDOWS`` windows of ids), so a hot source
 or a very long document changes nothing. Sequence ids are the partition's number and a counter, so a task that runs
@@ -198,8 +198,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                     total += size
                     while total >= goal:
                         yield packed(split_at(goal), windows)
-        if k := int(total // (capacity * FILL)):
-            yield packed(split_at(int(k * capacity * FILL)), k)
+        for fill in (FILL, 0.98, 0.96, 0.9):
+            if not (k := int(total // (capacity * fill))):
+                continue
+            before = [list(p) for p in held], total
+            pieces = split_at(int(k * capacity * fill))
+            found = pack([p[2] for p in pieces], k, capacity)
+            if len(found) <= k or fill == 0.9:
+                yield rows([[pieces[i] for i in w] for w in found])
+                break
+            held, total = before  # too full: leave more of it to the sequences below
         if total:
             powers, rest = [], total
             while rest:
