@@ -38,7 +38,7 @@ from noticeloom.llm.common import UnionFind, components, keyed_runs, read_table,
 N, THRESHOLD = 3, 90
 #: Tokens in a block of work, sets in a group of the matrix, ids that may be broadcast (8 bytes each).
 UNIT, SETS, GROUP, BROADCAST = 1_000_000, 2048, 16, 2_000_000
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 200_000
 _SEEDS = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

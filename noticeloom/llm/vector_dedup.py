@@ -94,7 +94,7 @@ def unit_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     df = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("x"))
     df = df.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     top = F.array_max(F.transform("x", F.abs))  # first, so that squares neither vanish nor overflow
-    df = df.withColumn("top", top).where("top > 0").withColumn("s", F.transform("x", lambda c: c / F.col("top")))
+    df = df.withColumn("top", top).where("top > 0").withColumn("by", F.pow(F.lit(2.0), -F.floor(F.log2("top")))).withColumn("s", F.transform("x", lambda c: c * F.col("by")))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c))
     return df.withColumn("norm", norm).select("id", "label", "s", F.transform("s", lambda c: c / F.col("norm")).alias("u"))
 
@@ -106,33 +106,37 @@ def _matrix(rows: pa.Array) -> np.ndarray:
 def near_links(entries: DataFrame, model: Quantiser, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, n_a): entry a linked with so many vectors in a block; (a, b) rows with n_a 0 form a forest of the links.
 
-    ``entries``: (rep, label, n, s, u) with n the multiplicity."""
+    ``entries``: (rep, label, n, s) with n the multiplicity."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - SLACK))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            u = _matrix(b["u"])
+            s = _matrix(b["s"])
+            u = s / np.sqrt((s * s).sum(1))[:, None]
             home = model.home(u)
             more, lists = np.nonzero(model.probes(u, home, reach))
-            yield pa.RecordBatch.from_arrays([b["rep"], pa.array(home, pa.int32()), pa.array(np.split(lists.astype(np.int32), np.cumsum(np.bincount(more, minlength=len(u)))[:-1]), pa.list_(pa.int32()))], ["rep", "home", "probes"])
+            probes = np.split(lists.astype(np.int32), np.cumsum(np.bincount(more, minlength=len(u)))[:-1])
+            yield pa.RecordBatch.from_arrays([b["rep"], b["label"], b["n"], pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array([r.tobytes() for r in s], pa.binary())], ["rep", "label", "n", "home", "probes", "v"])
 
-    placed = staged(entries.join(entries.select("rep", "u").mapInArrow(place, "rep long, home int, probes array<int>"), "rep"))
+    kind = entries.schema["label"].dataType.simpleString()
+    placed = staged(entries.select("rep", "label", "n", "s").mapInArrow(place, f"rep long, label {kind}, n long, home int, probes array<int>, v binary"))
     chunks = placed.groupBy("label", "home").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).select("label", F.col("home").alias("list"), "chunks")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
-    data = placed.withColumn("list", F.col("home")).join(chunks, ["label", "list"]).select("label", "list", chunk.alias("chunk"), F.lit(0).alias("query"), "rep", "n", "s", "u")
+    data = placed.withColumn("list", F.col("home")).join(chunks, ["label", "list"]).select("label", "list", chunk.alias("chunk"), F.lit(0).alias("query"), "rep", "n", "v")
     # its own list: the later chunks, and its own chunk; another list: every chunk
     asks = placed.withColumn("list", F.explode(F.concat(F.array("home"), "probes"))).join(chunks, ["label", "list"])
     to = F.explode(F.sequence(F.when(F.col("list") == F.col("home"), chunk + 1).otherwise(F.lit(0)).cast("long"), F.col("chunks").cast("long"))).alias("chunk")
-    asks = asks.select("label", "list", to, F.col("chunks").alias("c"), F.lit(1).alias("query"), "rep", "n", "s", "u").where("chunk < c").drop("c")
+    asks = asks.select("label", "list", to, F.col("chunks").alias("c"), F.lit(1).alias("query"), "rep", "n", "v").where("chunk < c").drop("c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, home, _), c in keyed_runs(batches, 3):
             n_data = c["query"].count(0)
             reps, n = c["rep"], np.array(c["n"])
-            s, u = np.array(c["s"]), np.array(c["u"])
+            s = np.frombuffer(b"".join(c["v"])).reshape(len(reps), -1)
             norm = np.sqrt((s * s).sum(1))
+            u = s / norm[:, None]
             codes, error = model.encode(u[:n_data], home)
             total, forest, edges = np.zeros(len(reps), np.int64), UnionFind(len(reps)), []
 
@@ -163,7 +167,7 @@ def near_links(entries: DataFrame, model: Quantiser, threshold: float = THRESHOL
 
     keys = ["label", "list", "chunk"]
     work = data.unionByName(asks).repartition(*keys).sortWithinPartitions(*keys, "query", "rep")
-    return work.select(*keys, "query", "rep", "n", "s", "u").mapInArrow(run, "a long, b long, n_a long")
+    return work.select(*keys, "query", "rep", "n", "v").mapInArrow(run, "a long, b long, n_a long")
 
 
 def vector_components(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -175,7 +179,7 @@ def vector_components(rows: DataFrame, threshold: float = THRESHOLD, id_col: str
     for d in sorted(dims):  # a model for each vector length; there is one in any sane table
         part = classes.where(F.size("u") == d).select("rep", "label", "n", "s", "u")
         sample = np.array([r[0] for r in part.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("u").collect()])
-        lists = int(min(1024, max(4, 2 ** round(np.log2(max(part.count(), 1)) / 2 - 1))))
+        lists = int(min(256, max(4, 2 ** round(np.log2(max(part.count(), 1)) / 2 - 4))))
         links = near_links(part, Quantiser(sample, lists), threshold)
         found = links if found is None else found.unionByName(links)
     every = rows.select(F.col(id_col).cast("long").alias("vec_id"))
