@@ -4,9 +4,10 @@ Each task streams over its documents, tokenises them, cuts documents of more tha
 pieces, and closes a batch whenever it holds ``FILL`` of the tokens of ``WINDOWS`` windows; the last piece is cut
 there, its rest begins the next batch. Within a batch, differencing starts with one partial partition per piece and
 always merges the two with the largest imbalance, the fullest windows of one with the emptiest of the other, until
-one near-equal partition is left; if a window exceeds the capacity, the window count rises by one and the batch is
-packed again. Of what remains at a task's end, as many windows as it fills are packed likewise, less full if
-that saves one, and the rest goes into sequences whose lengths are powers of two, which need no padding.
+one near-equal partition is left. The window count rises whenever the pieces exceed its capacity; the little by which
+single windows do is cut off and fills the emptiest. Of what remains at a task's end, as many windows as it fills are
+packed likewise and the rest, less than one window, goes into sequences whose lengths are powers of two, which need
+no padding.
 
 No shuffle: a document never leaves its task, and a task holds one batch (``WINDOWS`` windows of ids), so a hot source
 or a very long document changes nothing. Sequence ids are the partition's number and a counter, so a task that runs
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.common import read_table
 
-CAPACITY, WINDOWS, FILL, MAX_PIECE, END = 4096, 128, 0.993, 1024, 2
+CAPACITY, WINDOWS, FILL, MAX_PIECE, END = 4096, 128, 0.996, 1024, 2
 _CACHED_WORDS = 250_000
 
 
@@ -54,14 +55,34 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def pack(sizes: list[int], k: int, capacity: int) -> list[list[int]]:
-    """Items by window, none over capacity: ``k`` windows, or as many more as that takes."""
-    while sizes:
-        windows = differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
-            return [w for w in windows if w]
-        k += 1
-    return []
+def pack(sizes: list[int], k: int, capacity: int) -> list[list[tuple[int, int, int]]]:
+    """(item, start, length) by window, none over capacity: ``k`` windows, or more if the items need more room.
+
+    What a near-equal window holds beyond the capacity is cut off and fills the room of the emptiest ones."""
+    if not sizes:
+        return []
+    k = max(k, -(-sum(sizes) // capacity))
+    windows = [[(i, 0, sizes[i]) for i in w] for w in differencing(sizes, k)]
+    spilled, room = [], []
+    for at, w in enumerate(windows):
+        over = sum(n for _, _, n in w) - capacity
+        while over > 0:
+            i, start, n = w.pop()
+            x = min(over, n)
+            if n > x:
+                w.append((i, start, n - x))
+            spilled.append((i, start + n - x, x))
+            over -= x
+        room.append((over, at))  # over is minus the room now
+    heapq.heapify(room)
+    for i, start, n in spilled:
+        while n:
+            over, at = heapq.heappop(room)
+            x = min(-over, n)
+            windows[at].append((i, start, x))
+            heapq.heappush(room, (over + x, at))
+            start, n = start + x, n - x
+    return [w for w in windows if w]
 
 
 class WordEncoder:
@@ -184,7 +205,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             return took
 
         def packed(pieces: list[list], k: int) -> pa.RecordBatch:
-            return rows([[pieces[i] for i in w] for w in pack([p[2] for p in pieces], k, capacity)])
+            found = pack([p[2] for p in pieces], k, capacity)
+            return rows([[[pieces[i][0], pieces[i][1] + at, n, pieces[i][3][4 * at : 4 * (at + n)], pieces[i][4]] for i, at, n in w] for w in found])
 
         for b in batches:
             id_type, keys, texts = b[0].type, b[0].to_pylist(), b[1].to_pylist()
@@ -198,16 +220,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                     total += size
                     while total >= goal:
                         yield packed(split_at(goal), windows)
-        for fill in (FILL, 0.98, 0.96, 0.9):
-            if not (k := int(total // (capacity * fill))):
-                continue
-            before = [list(p) for p in held], total
-            pieces = split_at(int(k * capacity * fill))
-            found = pack([p[2] for p in pieces], k, capacity)
-            if len(found) <= k or fill == 0.9:
-                yield rows([[pieces[i] for i in w] for w in found])
-                break
-            held, total = before  # too full: leave more of it to the sequences below
+        if k := int(total // (capacity * FILL)):
+            yield packed(split_at(int(k * capacity * FILL)), k)
         if total:
             powers, rest = [], total
             while rest:
