@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import read_table, staged
 
 K, SCALE, EVERY = 5, 256, 50
-#: Vectors a block, coarse impacts a dimension, segments between two proofs, members at which rescoring is cheaper.
-BLOCK, IMPACTS, STEP, FEW = 8192, 12, 64, 48
+#: Vectors a block, coarse impacts a dimension, members at which rescoring ends a search.
+BLOCK, IMPACTS, FEW = 16384, 6, 256
+#: Shares of the segments after which a proof is tried.
+PROOFS = (0.4, 0.5, 0.6, 0.7, 0.85)
 
 
 class ImpactIndex:
@@ -38,45 +40,52 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
-        n, dims = self.x.shape
+        dims = self.x.shape[1]
         self.low, self.high = self.x.min(0), self.x.max(0)
-        self.segments: list[list[tuple[int, int, np.ndarray]]] = []  # by dimension, falling: (least, largest component, rows)
+        self.level = np.zeros(self.x.shape, np.int8)  # coarse impact
+        self.segments: list[list[tuple]] = []  # by dimension, falling: (least, largest component, level, rows, components)
         for d in range(dims):
             column = self.x[:, d]
             width = max(1, -(-int(self.high[d] - self.low[d] + 1) // IMPACTS))
             level = (column - self.low[d]) // width
+            self.level[:, d] = level
             rows = np.argsort(-level, kind="stable")
-            cuts = np.flatnonzero(np.diff(level[rows])) + 1
-            self.segments.append([(int(column[r].min()), int(column[r].max()), r) for r in np.split(rows, cuts)])
+            parts = np.split(rows, np.flatnonzero(np.diff(level[rows])) + 1)
+            self.segments.append([(int(column[r].min()), int(column[r].max()), int(level[r[0]]), r, column[r]) for r in parts])
 
-    def top(self, q: np.ndarray, own: int, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best but ``own``; those below ``floor`` may be missing."""
+    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best but ``own``."""
         n, dims = self.x.shape
-        use = np.flatnonzero(q)
         visits = []
-        for d in use.tolist():
+        for d in np.flatnonzero(q).tolist():
             w = int(q[d])
-            visits += [(w * hi if w > 0 else w * lo, d, rows) for lo, hi, rows in (self.segments[d] if w > 0 else reversed(self.segments[d]))]
+            visits += [(w * hi if w > 0 else w * lo, d, level, rows, values) for lo, hi, level, rows, values in (self.segments[d] if w > 0 else reversed(self.segments[d]))]
         visits.sort(key=lambda v: -v[0])
-        least = np.where(q > 0, q * self.low, q * self.high)
-        next_ = np.where(q > 0, q * self.high, q * self.low)  # the largest contribution not visited, by dimension
-        queue = {d: [v[0] for v in visits if v[1] == d] for d in use.tolist()}
-        at = dict.fromkeys(queue, 0)
-        seen, unseen_least = np.zeros(n, np.int64), np.full(n, int(least.sum()), np.int64)
-        hidden = np.zeros((n, dims), bool)
-        hidden[:, use] = True
-        possible = np.flatnonzero(self.ids != own)
-        for i, (_, d, rows) in enumerate(visits, 1):
-            seen[rows] += q[d] * self.x[rows, d]
-            unseen_least[rows] -= least[d]
-            hidden[rows, d] = False
-            at[d] += 1
-            next_[d] = queue[d][at[d]] if at[d] < len(queue[d]) else 0
-            if i % STEP == 0:
-                lower = seen[possible] + unseen_least[possible]
+        # of the dimensions not visited yet: the least and the largest contribution, and the last level visited
+        least = np.where(q > 0, q * self.low, q * self.high).astype(float)
+        next_ = np.where(q > 0, q * self.high, q * self.low).astype(float)
+        following: dict[int, list[int]] = {}
+        for v in reversed(visits):
+            following.setdefault(v[1], []).append(v[0])
+        reached = np.where(q > 0, IMPACTS + 1, -1).astype(np.int8)
+        sign = np.sign(q).astype(np.int8)
+        slack = 1 + 1e-5 * float(np.abs(least).sum() + np.abs(next_).sum())  # for sums in single precision
+        acc = np.zeros(n, np.int64)
+        possible, floor = np.flatnonzero(self.ids != own), -np.inf
+        proofs = {round(len(visits) * f) for f in PROOFS}
+        for i, (_, d, level, rows, values) in enumerate(visits, 1):
+            acc[rows] += q[d] * values
+            reached[d] = level
+            left = following[d]
+            left.pop()
+            next_[d] = left[-1] if left else 0
+            if i in proofs:
+                # not visited: a level that lies below the last one visited, as the dimension's sign turns it
+                hidden = (self.level[possible] * sign < reached * sign).astype(np.float32)
+                bounds = hidden @ np.stack([least, next_], 1).astype(np.float32)
+                lower, upper = acc[possible] + bounds[:, 0].astype(float) - slack, acc[possible] + bounds[:, 1].astype(float) + slack
                 if len(lower) > k:
-                    floor = max(floor, int(np.partition(lower, len(lower) - k)[len(lower) - k]))
-                upper = seen[possible] + hidden[possible] @ next_
+                    floor = max(floor, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
                 possible = possible[upper >= floor]
                 if len(possible) <= FEW:
                     break
@@ -124,7 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
                 if index is None and width:
                     index, xs = ImpactIndex(np.array(ids, np.int64), matrix(xs, width)), []
                 if index is not None:
-                    found, score = index.top(matrix([x], width)[0], key, k, -(1 << 62))
+                    found, score = index.top(matrix([x], width)[0], key, k)
                     out += [(key, v, s) for v, s in zip(found.tolist(), score.tolist(), strict=True)]
             if out:
                 cols = list(zip(*out, strict=True))
