@@ -111,12 +111,12 @@ def ordered_union(a: Column, b: Column, k: int) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """2 n(a & b) / (n(a) + n(b)) of arrays of distinct elements; 0 when either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
+    return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 1.0 * shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
+    both = F.size(a) + F.size(b)
+    return once(F.size(F.array_intersect(a, b)), lambda shared: F.coalesce(F.try_divide(1.0 * shared, both - shared), F.lit(0.0)))
 
 
 def _date(c: Column) -> Column:

@@ -63,10 +63,9 @@ def candidate_pairs(fps: DataFrame) -> DataFrame:
     return p.where(~apart & (F.col("x_rank_key") < F.col("y_rank_key"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def pair_rule(a, b) -> Column:
-    """struct(score, reason) of two fingerprints given as name -> column; score 0 means different notices. The first
-    rule that holds decides."""
-    ds, ts = tx.jaccard(a("doc_grams"), b("doc_grams")), tx.dice(a("title_grams"), b("title_grams"))
+def pair_rule(a, b, ds: Column, ts: Column) -> Column:
+    """struct(score, reason) of two fingerprints given as name -> column, with the similarity of their bodies and of
+    their titles; score 0 means different notices. The first rule that holds decides."""
     local = lambda x: F.size(x("regions")) > 0
     percent = lambda x: F.concat(F.format_string("%.0f", F.rint(x * 100)), F.lit("%"))
     give = lambda score, reason: F.struct(score.cast("double").alias("score"), reason.alias("reason"))
@@ -88,7 +87,8 @@ def pair_score(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     """(a, b, b_source, rank_a, rank_b, score, reason) of the pairs that are the same notice."""
     side = lambda s: fps.select(*(F.col(c).alias(f"{s}_{c}") for c in fps.columns))
     x = pairs.join(side("l"), F.col("a") == F.col("l_project_no")).join(side("r"), F.col("b") == F.col("r_project_no"))
-    found = pair_rule(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))
+    x = x.withColumn("ds", tx.jaccard(F.col("l_doc_grams"), F.col("r_doc_grams"))).withColumn("ts", tx.dice(F.col("l_title_grams"), F.col("r_title_grams")))
+    found = pair_rule(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"), F.col("ds"), F.col("ts"))
     x = x.withColumn("found", found).where("found.score > 0")
     return x.select("a", "b", F.col("r_source").alias("b_source"), F.col("l_rank_key").alias("rank_a"), F.col("r_rank_key").alias("rank_b"), F.round("found.score", 6).alias("score"), "found.reason")
 

@@ -14,6 +14,8 @@ from noticeloom.operators import extract, html, lines, link, retrieve, score, ta
 from noticeloom.sources import store
 
 TODAY = "1997-06-15"
+#: Support fields that companies ask for: kinds of parts.
+NEEDS = ("STANDARD", "SMALL", "MEDIUM", "PROMO")
 #: Latin word lists for the test tables.
 LATIN = Lexicon(
     fields={"alpha": {"the": 1, "tion": 2}, "beta": {"chen": 2, "und": 1}, "gamma": {"que": 2, "eux": 3}, "delta": {"ción": 3, "los": 1}},
@@ -350,7 +352,7 @@ def _linkable(spark, d) -> tuple[DataFrame, DataFrame]:
     prefix = F.element_at(F.array(*map(F.lit, ("JB-", "AT-", "KOTRA-", "BIZ-"))), (F.crc32(F.col("source").cast("binary")) % 4 + 1).cast("int"))
     n = n.withColumn("project_no", F.concat(prefix, F.lpad("project_no", 9, "0")))
     notices = n.select(
-        "project_no", "title", F.lit("접수중").alias("status"), F.lit(None).cast("string").alias("receipt_end"), F.lit("").alias("first_seen"),
+        "project_no", F.lit("").alias("title"), F.lit("접수중").alias("status"), F.lit(None).cast("string").alias("receipt_end"), F.lit("").alias("first_seen"),
         F.lit(None).cast("array<struct<name:string,files:array<string>>>").alias("attachments"), F.lit(None).cast("struct<regions:array<string>>").alias("target"),
         F.lit(None).cast("string").alias("dup_of"), F.lit(None).cast("string").alias("dup_reason"),
     )
@@ -358,7 +360,7 @@ def _linkable(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def dd4_linkage(spark, d):
-    """documents of four sources, linked by title and body."""
+    """documents of four sources, linked by their bodies (they have no titles)."""
     return link.mark_duplicates(*_linkable(spark, d)).where("dup_of IS NOT NULL").select("project_no", "dup_of", "dup_reason")
 
 
@@ -369,14 +371,14 @@ def _nations(spark, d) -> DataFrame:
         F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("region"), F.when(F.col("n_nationkey") % 6 == 0, "대기업").otherwise("중소기업").alias("size"), (F.col("n_nationkey") % 4 == 0).alias("listed"),
         F.array(pick(*LATIN.industries)).alias("industries"), F.lit("").alias("target_countries"), F.lit("수출 초보").alias("export_stage"),
         (F.col("n_nationkey") * 4000.0).alias("export_usd"), (F.col("n_nationkey") % 5 != 0).alias("direct_export"), F.lit(False).alias("is_overseas_distributor"),
-        F.array(pick("STANDARD", "SMALL", "MEDIUM", "PROMO")).alias("needs"),
+        F.array(pick(*NEEDS)).alias("needs"),
     )
 
 
 def _parts(spark, d) -> DataFrame:
     p, k = _t(spark, d, "part"), F.col("p_partkey")
     empty, rule = F.array().cast(extract.RULES), lambda on, name: F.when(on, F.array(F.struct(F.lit(name).alias("rule"), F.lit("").alias("evidence")))).otherwise(F.array().cast(extract.RULES))
-    words = F.split("p_type", " ")
+    second = F.element_at(F.array(*map(F.lit, NEEDS)), (k % 4 + 1).cast("int"))
     field = lambda name, s: F.struct(name.alias("field"), F.lit(s).alias("score"), F.array().cast("array<string>").alias("evidence"))
     some = lambda on, *v: F.when(on, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
     target = F.struct(
@@ -388,7 +390,7 @@ def _parts(spark, d) -> DataFrame:
         k.cast("string").alias("project_no"), F.col("p_name").alias("title"), F.col("p_brand").alias("source"), F.lit("접수중").alias("status"),
         F.date_add(F.to_date(F.lit(TODAY)), (k % 40 - 5).cast("int")).cast("string").alias("receipt_end"), F.date_sub(F.to_date(F.lit(TODAY)), (k % 30).cast("int")).cast("string").alias("first_seen"),
         F.lit("").alias("summary"), F.lit("").alias("detail_url"), F.lit(None).cast(store.NESTED["amount"]).alias("amount"), F.lit(0).alias("early_close"),
-        F.array(field(words[0], 9.0), field(words[1], 7.0)).alias("fields"), target.alias("target"), F.lit(None).cast("array<struct<seq:int,name:string,text:string>>").alias("sections"), F.lit(None).cast("string").alias("dup_of"),
+        F.array(field(F.col("p_type"), 9.0), field(second, 7.0)).alias("fields"), target.alias("target"), F.lit(None).cast("array<struct<seq:int,name:string,text:string>>").alias("sections"), F.lit(None).cast("string").alias("dup_of"),
     )
 
 
@@ -399,7 +401,7 @@ def sc_match(spark, d):
 
 
 _MATCH = f"""n AS (SELECT n_nationkey AS k, r_name AS region, (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[n_nationkey % 5 + 1] AS ind, (['STANDARD', 'SMALL', 'MEDIUM', 'PROMO'])[n_nationkey % 4 + 1] AS need FROM nation JOIN region ON n_regionkey = r_regionkey),
-p AS (SELECT p_partkey AS j, string_split(p_type, ' ') AS w, p_partkey % 40 - 5 AS d, p_partkey % 30 AS age FROM part),
+p AS (SELECT p_partkey AS j, [p_type, (['STANDARD', 'SMALL', 'MEDIUM', 'PROMO'])[p_partkey % 4 + 1]] AS w, p_partkey % 40 - 5 AS d, p_partkey % 30 AS age FROM part),
 x AS (SELECT k, j, d, age,
   (d < 0)::INT + (j % 5 = 0 AND region NOT IN ('ASIA', 'EUROPE'))::INT + (j % 7 = 0 AND k % 4 = 0)::INT + (j % 4 = 0 AND k % 6 = 0)::INT + (j % 8 = 0 AND k % 5 = 0)::INT + (j % 3 = 0 AND ind NOT IN ('AUTOMOBILE', 'BUILDING'))::INT AS fails,
   CASE WHEN w[1] = need THEN 40 WHEN w[2] = need THEN 28 ELSE 0 END + CASE WHEN j % 3 <> 0 THEN 12 WHEN ind IN ('AUTOMOBILE', 'BUILDING') THEN 20 ELSE 0 END
