@@ -54,6 +54,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what ``staged`` has written for this application; call it once its results are stored elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/noticeloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(conf).delete(path, True)
+
+
 def keyed_runs(batches: Iterator, n_keys: int) -> Iterator[tuple[tuple, dict]]:
     """Runs of equal leading columns in a stream of Arrow batches sorted by them: (key, columns as lists).
 

@@ -84,6 +84,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_staged(spark):
+    x = common.staged(spark.range(3))
+    assert x.count() == 3
+    other = spark.newSession()
+    common.clear_staged(other)
+    common.clear_staged(other)
+
+
 VEC = "vec_id long, embedding array<float>, label int, n long"
 
 
