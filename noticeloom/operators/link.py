@@ -123,7 +123,7 @@ def assign_duplicates(scored: DataFrame) -> DataFrame:
     """(project_no, dup_of, dup_reason). The rule reads the state of a component only, and a component is the few
     notices that say the same."""
     x = scored.join(labels(scored), F.col("a") == F.col("id"))
-    order = lambda c: F.concat_ws("\x00", F.format_string("%03d", F.col(f"{c}.priority")), f"{c}.first_seen", f"{c}.project_no")
+    order = lambda c: F.concat_ws("\x01", F.format_string("%03d", F.col(f"{c}.priority")), f"{c}.first_seen", f"{c}.project_no")
     x = x.select("component", "a", "b", "b_source", "score", "reason", order("rank_a").alias("order_a"), order("rank_b").alias("order_b"))
     return x.groupBy("component").applyInPandas(lambda pdf: _assign(pdf), "project_no string, dup_of string, dup_reason string")
 
