@@ -51,7 +51,11 @@ def candidate_pairs(fps: DataFrame) -> DataFrame:
     t, d = lex.TITLE_DOC_SIM[0], lex.DOC_SIM
     up = lambda c: F.ceil(c - 1e-9).cast("int")
     docs = _meet(_prefixes(fps, "doc_grams", lambda n: n - up(n * d) + 1), d)
-    titles = _meet(_prefixes(fps, "title_grams", lambda n: n - up(n * (t / (2 - t))) + 1), t / (2 - t))
+    # a title alone must be nearly the same; one that is only similar counts beside a similar body
+    same = lex.TITLE_SIM / (2 - lex.TITLE_SIM)
+    titles = _meet(_prefixes(fps, "title_grams", lambda n: n - up(n * same) + 1), same)
+    bodies = fps.where(F.size("doc_grams") > 0)
+    titles = titles.unionAll(_meet(_prefixes(bodies, "title_grams", lambda n: n - up(n * (t / (2 - t))) + 1), t / (2 - t)))
     stems = fps.select("project_no", F.explode("stems").alias("stem"))
     shared = stems.alias("a").join(stems.alias("b"), (F.col("a.stem") == F.col("b.stem")) & (F.col("a.project_no") != F.col("b.project_no"))).select(F.col("a.project_no").alias("x"), F.col("b.project_no").alias("y"))
     pairs = docs.unionAll(titles).unionAll(shared).distinct()

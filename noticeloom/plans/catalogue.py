@@ -348,19 +348,20 @@ def fn30_links(spark, d):
 
 
 def _linkable(spark, d) -> tuple[DataFrame, DataFrame]:
-    n = _documents(spark, d)
-    prefix = F.element_at(F.array(*map(F.lit, ("JB-", "AT-", "KOTRA-", "BIZ-"))), (F.crc32(F.col("source").cast("binary")) % 4 + 1).cast("int"))
-    n = n.withColumn("project_no", F.concat(prefix, F.lpad("project_no", 9, "0")))
+    """parts as notices of four sources that share their titles; the brand is all their text."""
+    k = F.col("p_partkey")
+    prefix = F.element_at(F.array(*map(F.lit, ("JB-", "AT-", "KOTRA-", "BIZ-"))), (k % 4 + 1).cast("int"))
+    n = _t(spark, d, "part").select(F.concat(prefix, k.cast("string")).alias("project_no"), F.col("p_name").alias("title"), F.when(k % 5 > 0, F.lit(TODAY)).alias("receipt_end"), "p_brand")
     notices = n.select(
-        "project_no", F.lit("").alias("title"), F.lit("접수중").alias("status"), F.lit(None).cast("string").alias("receipt_end"), F.lit("").alias("first_seen"),
+        "project_no", "title", F.lit("접수중").alias("status"), "receipt_end", F.lit("").alias("first_seen"),
         F.lit(None).cast("array<struct<name:string,files:array<string>>>").alias("attachments"), F.lit(None).cast("struct<regions:array<string>>").alias("target"),
         F.lit(None).cast("string").alias("dup_of"), F.lit(None).cast("string").alias("dup_reason"),
     )
-    return notices, n.select("project_no", F.lit(0).alias("doc_seq"), F.lit("x.txt").alias("file_name"), "text")
+    return notices, n.select("project_no", F.lit(0).alias("doc_seq"), F.lit("x.txt").alias("file_name"), F.col("p_brand").alias("text"))
 
 
 def dd4_linkage(spark, d):
-    """documents of four sources, linked by their bodies (they have no titles)."""
+    """Parts of four sources, linked by title."""
     return link.mark_duplicates(*_linkable(spark, d)).where("dup_of IS NOT NULL").select("project_no", "dup_of", "dup_reason")
 
 
