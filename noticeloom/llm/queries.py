@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, pii, quality_pu, topk_search, vector_dedup
+from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
 
 QUERIES = {
+    "op5_passage_chains": passage_chains.op5_passage_chains,
     "op3_vector_dedup": vector_dedup.op3_vector_dedup,
     "op8_topk_search": topk_search.op8_topk_search,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
