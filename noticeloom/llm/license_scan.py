@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
 A block is a line of a text; a longer line is cut into windows of ``WINDOW`` words that overlap by half, so a notice
-inside a long line is seen whole. A block matches a template when it holds at least ``THRESHOLD`` of the template's
+inside a long line is seen whole. A notice wrapped over lines is looked for in the words of the whole text: a window of
+``ROOM`` times the template's words that holds enough of its tokens, from before a line break to after it, is a match
+too. These windows are as short as the template, as the words of unrelated lines soon add up to a short notice. A block matches a template when it holds at least ``THRESHOLD`` of the template's
 distinct tokens. Tokens are ordered by their frequency over all documents, rarest first, and a template's prefix is
 its first ``n - need + 1`` tokens: a block without any of them cannot reach ``need`` (prefix filter), a block with
 fewer than ``need`` tokens cannot either (length filter), and when a block's first hit is the template's i-th token
@@ -15,6 +17,7 @@ empty table gives no rows; other columns are ignored; equal containments of two
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +45,7 @@ TEMPLATES = (
 )
 THRESHOLD = (4, 5)  # of a template's tokens
 WINDOW = 64
+ROOM = (5, 4)
 
 #: Every ASCII byte that is not a letter or digit becomes a space; other bytes belong to words.
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -77,6 +81,7 @@ class TemplateIndex:
 
     def __init__(self, templates, frequency: dict[str, int], threshold=THRESHOLD):
         self.sets, self.prefix = [], {}
+        self.room = [-(-len(words(text.encode())) * ROOM[0] // ROOM[1]) for _, text in templates]
         for label, tokens in template_tokens(templates):
             order = sorted(tokens, key=lambda t: (frequency.get(t.decode(), 0), t))
             need = -(-len(order) * threshold[0] // threshold[1])
@@ -101,6 +106,36 @@ class TemplateIndex:
                 yield label, shared / len(tokens)
 
 
+def wrapped(index: TemplateIndex, text: bytes) -> Iterator[tuple[str, int, int, float]]:
+    """(label, first word, words, containment) of matches that reach over a line break.
+
+    Of windows that overlap the first one found, the one that holds most counts; the search goes on behind it."""
+    ws, starts = [], []
+    for line in text.split(b"\n"):
+        starts.append(len(ws))
+        ws += words(line)
+    held = frozenset(ws)
+    for (label, tokens, need), room in zip(index.sets, index.room, strict=True):
+        if len(held & tokens) < need:
+            continue
+        at = [i for i, w in enumerate(ws) if w in tokens]
+        i = 0
+        while i < len(at):
+            best, k = None, i
+            while k < len(at) and (best is None or at[k] < at[i] + room):
+                end = bisect_left(at, at[k] + room)
+                shared = len({ws[j] for j in at[k:end]})
+                if shared >= need and bisect_right(starts, at[k]) < bisect_right(starts, at[end - 1]) and (best is None or shared > best[0]):
+                    if best is None:
+                        i = k
+                    best = (shared, k, end)
+                k += 1
+            if best is None:
+                break
+            shared, k, i = best
+            yield label, at[k], at[i - 1] + 1 - at[k], shared / len(tokens)
+
+
 def blocks(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
     """(place of its first word in the text, words) of each block."""
     at = 0
@@ -129,7 +164,8 @@ def places(ws: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: words, phrase places, and the blocks that match a template: (label, first word, words, containment)."""
+    """Per row: words, phrase places, and the blocks that match a template: (label, first word, words, containment), as
+    do the matches of ``wrapped`` notices."""
     index = TemplateIndex(templates, token_frequencies(docs, templates, text_col), threshold)
     place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     match = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
@@ -137,16 +173,18 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, base, found = [], [], []
+            n, base, found, over = [], [], [], []
             for text in b[1].cast(pa.binary()).to_pylist():
                 ws = words(text or b"")
                 n.append(len(ws))
                 base.append([{"word": i, "label": x} for i, x in sorted(places(ws, phrases))])
-                hits = [] if index.tokens.isdisjoint(ws) else [{"label": label, "word": at, "n_words": len(block), "containment": c} for at, block in blocks(text) for label, c in index.matches(block)]
+                none = index.tokens.isdisjoint(ws)
+                hits = [] if none else [{"label": label, "word": at, "n_words": len(block), "containment": c} for at, block in blocks(text) for label, c in index.matches(block)]
                 found.append(hits)
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(base, place), pa.array(found, match)], ["doc_id", "n_words", "places", "blocks"])
+                over.append([] if none else [{"label": label, "word": at, "n_words": size, "containment": c} for label, at, size, c in wrapped(index, text)])
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(base, place), pa.array(found, match), pa.array(over, match)], ["doc_id", "n_words", "places", "blocks", "wrapped"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,word:long,n_words:long,containment:double>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,word:long,n_words:long,containment:double>>, wrapped array<struct<label:string,word:long,n_words:long,containment:double>>")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +199,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(word).alias("first_word"),
         F.array_max(word).alias("last_word"),
         listed(label("places")).alias("base_labels"),
-        listed(F.concat(label("places"), label("blocks"))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("blocks", lambda p: p["containment"])), F.lit(0.0)).alias("score"),
+        listed(F.concat(label("places"), label("blocks"), label("wrapped"))).alias("labels"),
+        F.coalesce(F.array_max(F.transform(F.concat("blocks", "wrapped"), lambda p: p["containment"])), F.lit(0.0)).alias("score"),
     )

@@ -111,6 +111,19 @@ def test_license_blocks_brute_force(spark):
     assert license_scan.places(license_scan.words(b"MIT License, the mit-license Apache license")) == [(0, "mit"), (3, "mit"), (5, "apache")]
 
 
+def test_license_wrapped(spark):
+    import textwrap
+
+    fill = "quiet plain words that state nothing at all of the sort"
+    rows = [(i, f"{fill}\n{textwrap.fill(notice, width)}\n{fill}", label) for i, (label, notice, width) in enumerate((x, n, w) for x, n in license_scan.TEMPLATES for w in (20, 40, 80))]
+    rows += [(1000 + i, f"der und mit einer {fill}\n{notice}", label) for i, (label, notice) in enumerate(license_scan.TEMPLATES)]
+    rows += [(2000, "released of\n" + f"{fill} " * 3 + "\nunder it\n" + f"{fill} " * 3 + "\nMIT license", None)]
+    got = {x.doc_id: {m.label for m in [*x.blocks, *x.wrapped]} for x in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == ({x} if x else set()) for i, _, x in rows)
+    (whole,) = license_scan.wrapped(license_scan.TemplateIndex(license_scan.TEMPLATES[:1], {}), b"so: released\nunder the\nMIT License")
+    assert whole == ("mit", 1, 5, 1.0)
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
