@@ -14,6 +14,9 @@ from noticeloom.llm.common import read_table, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Words in a shingle and hundredths of similarity of the near-duplicate stage; those of the op7 query are its own.
+SHINGLE, SIMILAR = 5, 80
+
 
 def _sized(ids: DataFrame) -> DataFrame:
     """For a join: broadcast if it has a bounded number of (narrow) rows, else left to a shuffle."""
@@ -30,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest id; one row of each document."""
-    found = staged(jaccard_join.jaccard_components(docs).where("doc_id IS NOT NULL"))
+    found = staged(jaccard_join.jaccard_components(docs, n=SHINGLE, threshold=SIMILAR).where("doc_id IS NOT NULL"))
     gone = _sized(found.where("doc_id <> component_id").select("doc_id").distinct())
     often = _sized(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti")

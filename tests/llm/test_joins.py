@@ -165,3 +165,22 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(ids) == kept
     assert docs.count() > 100
     assert corpus_pipeline.near_duplicates(spark, before.limit(0), folder).count() == 0
+
+
+def test_pipeline_near_duplicates(spark):
+    r = random.Random(9)
+    word, texts = lambda: f"w{r.randrange(10**6)}", []
+    for n in (100, 100, 120, 150, 200, 300) * 3:
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        for edits in (2, r.randrange(1, 6)):
+            t = list(base)
+            for k in range(edits):
+                t[(2 * k + 1) * n // (2 * edits)] = word()
+            texts.append(t)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in enumerate(texts)}
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.8 <= x < 0.9 for x in pairs.values()) > 5 and sum(0.6 < x < 0.8 for x in pairs.values()) > 5
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(groups(sets, [p for p, x in pairs.items() if x >= 0.8]).values())
