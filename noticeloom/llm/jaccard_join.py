@@ -5,8 +5,9 @@
 2. Partition: shingles fall into ``m`` blocks by range of hash. Sets of Jaccard ``t`` or more differ in at most
    ``a (1 - t) / t`` shingles, ``a`` being the smaller size, so with one block more than that they agree on a whole
    block. ``m`` is fixed per class of sizes, and a set that may have a partner in the class below signs for that one
-   too. A block's signature is the hash of its content. Empty blocks would agree for nothing: a set that has one
-   also signs under other hash functions until it has none, so that sets that agree on empty blocks only meet there.
+   too. A block's signature is the hash of its content. Empty blocks would agree for nothing: a set that has
+   as many as the blocks it must agree on, or more, also signs under other hash functions until it has fewer, so that
+   sets that agree on empty blocks only meet there; below 90 there are a quarter more blocks, so that few sets need it.
    Sets that share a signature are *similar*; connected similar sets form a unit. Frequent shingles, lines or
    passages make no signature frequent, as a signature needs a whole random block to agree.
 3. In a unit, sets are grouped (neighbours by smallest hash) and each group keeps the union of its tokens, a row of the
@@ -89,7 +90,8 @@ class Signer:
 
     def scheme(self, s: int) -> int:
         """Blocks for pairs whose smaller set is in class ``s``."""
-        return (self.edges[s + 1] - 1) * (100 - self.t) // self.t + 1
+        differ = (self.edges[s + 1] - 1) * (100 - self.t) // self.t
+        return differ + 1 + (differ // 4 if self.t < 90 else 0)
 
     def starts(self, m: int) -> np.ndarray:
         """Where each of ``m`` blocks begins among the hashes."""
@@ -108,6 +110,7 @@ class Signer:
         out = []
         for scheme in schemes:
             m = self.scheme(scheme)
+            agree = m - min(n, self.edges[scheme + 1] - 1) * (100 - self.t) // self.t  # blocks, with any partner
             for seed in range(_SEEDS):
                 x = tokens if not seed else np.sort(mix(tokens + np.uint64((seed * int(_M1)) % (1 << 64))))
                 at = np.searchsorted(x, self.starts(m))
@@ -115,7 +118,7 @@ class Signer:
                 sums = np.add.reduceat(mix(x ^ _M3), at[filled])
                 block = np.flatnonzero(filled).astype(np.uint64) + np.uint64((scheme << 48) + (seed << 40))
                 out.append(mix(sums + mix(block)))
-                if filled.all():
+                if m - np.count_nonzero(filled) < agree:
                     break
                 if seed == _SEEDS - 1:  # never without an empty block: those sign too
                     out.append(mix(mix(np.flatnonzero(~filled).astype(np.uint64) + np.uint64((scheme << 48) + (99 << 40)))))
