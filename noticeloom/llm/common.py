@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,31 +35,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. One of our own only on a local master."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         where = sc.getCheckpointDir()
     return where
 
 
+def _in_store(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
-    Cuts lineage with files that survive the loss of any executor; used wherever a result feeds several jobs."""
+    Cuts lineage with files that survive the loss of any executor; used wherever a result feeds several jobs. The files
+    go when the application ends, or before with ``discard``."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/noticeloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, store = _in_store(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``staged`` wrote for ``frames``, which nothing reads any more."""
+    for df in frames:
+        at, store = _in_store(df.sparkSession, df.staged_at)
+        store.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Deletes what ``staged`` has written for this application; call it once its results are stored elsewhere."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/noticeloom-{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    at, store = _in_store(spark, f"{shared_dir(spark)}/noticeloom-{spark.sparkContext.applicationId}")
+    store.delete(at, True)
 
 
 def keyed_runs(batches: Iterator, n_keys: int) -> Iterator[tuple[tuple, dict]]:
@@ -100,7 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = staged(small.where("u != v").distinct())
+        last, now = now, staged(small.where("u != v").distinct())
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break

@@ -62,17 +62,50 @@ def test_jaccard_components(spark, monkeypatch, small):
     assert len(set(want.values())) < len(want) - 30
 
 
-def test_signatures_never_miss():
-    r, sign = np.random.default_rng(1), jj.Signer()
-    for n in (9, 10, 14, 40, 150, 700):
+@pytest.mark.parametrize("t", [70, 80, 90])
+def test_signatures_never_miss(t):
+    r, sign, near = np.random.default_rng(1), jj.Signer(t), 0
+    for n in (2, 3, 4, 5, 6, 9, 10, 14, 31, 33, 40, 63, 65, 150, 700):
         for _ in range(120):
             a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            k = int(r.integers(0, n // 9 + 1))
-            keep = r.permutation(a)[: n - int(r.integers(0, k + 1))]
+            k = int(r.integers(0, n * (100 - t) // t + 2))
+            keep = r.permutation(a)[: n - int(r.integers(0, min(k, n - 1) + 1))]
             b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, k).astype(np.uint64)]))
             s = len(np.intersect1d(a, b))
-            if 100 * s >= 90 * (len(a) + len(b) - s):
+            if 100 * s >= t * (len(a) + len(b) - s) and not np.array_equal(a, b):
+                near += 1
                 assert set(sign(a).tolist()) & set(sign(b).tolist())
+    assert near > 200
+
+
+def test_token_group_matrix_prunes():
+    r, sets, near = np.random.default_rng(2), [], []
+    common_part = r.integers(0, 1 << 62, 40)
+    for unit in range(40):
+        base = r.integers(0, 1 << 62, 160)
+        for _ in range(6):
+            x = base.copy()
+            x[r.permutation(160)[: r.integers(0, 14)]] = r.integers(0, 1 << 62)
+            sets.append(np.unique(np.concatenate([x, common_part]).astype(np.uint64)))
+            near.append(unit)
+    n = len(sets)
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = groups(range(n), [(i, j) for i in range(n) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.9])
+    for group in ([0] * n, near):
+        opened = [0, 0]
+        assert groups(range(n), jj.links_in(list(range(n)), sets, [0] * n, 90, group, opened)) == want
+        assert 0 < opened[0] < 0.1 * opened[1]
+    matrix = jj.TokenGroupMatrix(sets, list(range(n)), near)
+    for q in (0, 77, 200):
+        matrix.mask[matrix.of(q)] = 1
+        assert matrix.bounds(q).tolist() == [len(np.intersect1d(sets[q], np.concatenate([sets[i] for i in g]))) for g in matrix.groups]
+        matrix.mask[matrix.of(q)] = 0
+
+
+def test_jaccard_one_id_with_other_texts(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(1, "x y z"), (1, a), (2, a + " b"), (3, a), (4, "x y z")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jj.jaccard_components(df).collect()) == [(1, 1, 1), (1, 58, 1), (2, 59, 1), (3, 58, 1), (4, 1, 1)]
 
 
 def test_components(spark):
@@ -158,7 +191,7 @@ def test_pipeline_stages(spark, tmp_path):
         ids = [r.doc_id for r in docs.select("doc_id").collect()]
         if i == 1:
             assert len([x for x in ids if x is not None]) == len({x for x in ids if x is not None})
-            c = {r.doc_id: r.component_id for r in jj.jaccard_components(before).collect()}
+            c = {r.doc_id: r.component_id for r in jj.jaccard_components(before, 5, 80).collect()}
             assert {x for x in ids if x is not None} == {v for k, v in c.items() if k is not None}
             kept = set(ids)
         if i == 2:
