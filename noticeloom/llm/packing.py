@@ -1,13 +1,13 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Each task streams over its documents, tokenises them, cuts documents of more than ``MAX_PIECE`` tokens into near-equal
-pieces, and closes a batch whenever it holds ``FILL`` of the tokens of ``WINDOWS`` windows; the last piece is cut
-there, its rest begins the next batch. Within a batch, differencing starts with one partial partition per piece and
-always merges the two with the largest imbalance, the fullest windows of one with the emptiest of the other, until
-one near-equal partition is left. The window count rises whenever the pieces exceed its capacity; the little by which
-single windows do is cut off and fills the emptiest. Of what remains at a task's end, as many windows as it fills are
-packed likewise and the rest, less than one window, goes into sequences whose lengths are powers of two, which need
-no padding.
+pieces, and closes a batch whenever it holds the tokens of ``WINDOWS`` windows. Within a batch, differencing starts with
+one partial partition per piece and always merges the two with the largest imbalance, the fullest windows of one with
+the emptiest of the other, until one near-equal partition is left. Whenever a window exceeds its capacity, the window
+count rises by one and the batch is partitioned anew. What room the windows then have is filled, by cutting, from the
+emptiest of them, whose rest goes on to the next batch; so windows are full. Of what remains at a task's end, as many
+windows as it fills are packed likewise and the rest, less than one window, goes into sequences whose lengths are powers
+of two, which need no padding.
 
 No shuffle: a document never leaves its task, and a task holds one batch (``WINDOWS`` windows of ids), so a hot source
 or a very long document changes nothing. Sequence ids are the partition's number and a counter, so a task that runs
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -32,57 +33,58 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.common import read_table
 
-CAPACITY, WINDOWS, FILL, MAX_PIECE, END = 4096, 128, 0.996, 1024, 2
-_CACHED_WORDS = 250_000
+CAPACITY, WINDOWS, MAX_PIECE, END = 4096, 128, 1024, 2
+_CACHED_WORDS, _CACHED_PARTS = 250_000, 400_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Items by window: Karmarkar-Karp differencing of ``sizes`` into ``k`` windows."""
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i]] + [[]] * (k - 1)))
+    """Items by window: Karmarkar-Karp differencing of ``sizes`` into ``k`` windows.
+
+    A partial partition is its filled windows, fullest first."""
+    heap = [(-s, i, np.array([s], np.int64), [[i]]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     for n in range(len(sizes), 2 * len(sizes) - 1):
         _, _, a, in_a = heapq.heappop(heap)
         _, _, b, in_b = heapq.heappop(heap)
-        sums = a + b[::-1]
+        width = min(k, len(a) + len(b))
+        sums, items = np.zeros(width, np.int64), in_a + [[]] * (width - len(a))
+        sums[: len(a)] = a
+        sums[width - len(b) :] += b[::-1]
+        for j, x in enumerate(reversed(in_b), width - len(b)):
+            items[j] = items[j] + x if items[j] else x
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
-        items = [(in_a[j] + in_b[k - 1 - j]) if in_a[j] and in_b[k - 1 - j] else in_a[j] or in_b[k - 1 - j] for j in order.tolist()]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), n, sums, items))
+        heapq.heappush(heap, (int((sums[-1] if width == k else 0) - sums[0]), n, sums, [items[j] for j in order.tolist()]))
     return heap[0][3] if heap else []
 
 
-def pack(sizes: list[int], k: int, capacity: int) -> list[list[tuple[int, int, int]]]:
-    """(item, start, length) by window, none over capacity: ``k`` windows, or more if the items need more room.
-
-    What a near-equal window holds beyond the capacity is cut off and fills the room of the emptiest ones."""
+def pack(sizes: list[int], k: int, capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """((item, start, length) by window, those left over). The window count is ``k`` or, until no window is over
+    capacity, more; the emptiest window then fills the room of the others, and what it has left is left over."""
     if not sizes:
-        return []
+        return [], []
     k = max(k, -(-sum(sizes) // capacity))
-    windows = [[(i, 0, sizes[i]) for i in w] for w in differencing(sizes, k)]
-    spilled, room = [], []
-    for at, w in enumerate(windows):
-        over = sum(n for _, _, n in w) - capacity
-        while over > 0:
-            i, start, n = w.pop()
-            x = min(over, n)
-            if n > x:
-                w.append((i, start, n - x))
-            spilled.append((i, start + n - x, x))
-            over -= x
-        room.append((over, at))  # over is minus the room now
-    heapq.heapify(room)
-    for i, start, n in spilled:
-        while n:
-            over, at = heapq.heappop(room)
-            x = min(-over, n)
-            windows[at].append((i, start, x))
-            heapq.heappush(room, (over + x, at))
-            start, n = start + x, n - x
-    return [w for w in windows if w]
+    while True:
+        found = differencing(sizes, k)
+        if all(sum(sizes[i] for i in w) <= capacity for w in found):
+            break
+        k += 1
+    windows = sorted(([(i, 0, sizes[i]) for i in w] for w in found), key=lambda w: -sum(n for *_, n in w))
+    room = [capacity - sum(n for *_, n in w) for w in windows]
+    at = 0
+    while at < len(windows) - 1:
+        if not room[at]:
+            at += 1
+            continue
+        i, start, n = windows[-1].pop()
+        x = min(room[at], n)
+        windows[at].append((i, start, x))
+        room[at] -= x
+        if n > x:
+            windows[-1].append((i, start + x, n - x))
+        elif not windows[-1]:
+            windows.pop()
+    return (windows, []) if sum(n for *_, n in windows[-1]) == capacity else (windows[:-1], windows[-1])
 
 
 class WordEncoder:
@@ -92,29 +94,51 @@ class WordEncoder:
     encoded as one text with a mark between each two, which costs far less than a call for each."""
 
     MARK = "\x01"
+    #: Letters with ASCII marks around them, which the tokenizer takes apart; an apostrophe may begin a piece of its own.
+    PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """A word of letters is one piece and ends at the first id that ends a piece; others get marks between them."""
-        known = self.known
-        letters = [w for w in words if w.isalpha() and w.lower().isalpha()]
-        self._split(letters, " ", lambda ids: np.flatnonzero(self.ends[ids]), 0)
-        others = [w for w in words if w not in known and self.MARK not in w] if len(self.mark) == 1 else []
-        self._split(others, f" {self.MARK} ", lambda ids: np.append(np.flatnonzero(ids == self.mark[0]), len(ids)), 1)
-        for w in words:
+        """A word of letters and marks around them is its parts. Letters are one piece and end at the first id that ends
+        a piece; other words get marks between them."""
+        known, parts = self.known, self.parts
+        if len(parts) > _CACHED_PARTS:
+            self.parts = parts = dict(islice(parts.items(), _CACHED_PARTS // 2))
+        made, rest = [], []
+        for w, m in zip(words, map(self.PARTS.fullmatch, words), strict=True):
+            if m and "<|" not in w:
+                before, core, after = m.groups()
+                if core.isascii():
+                    made.append((w, before, core.lower(), after))
+                    continue
+                if core.isalpha() and core.lower().isalpha():
+                    made.append((w, before, core, after))
+                    continue
+            rest.append(w)
+        new = {core for _, _, core, _ in made if core not in parts}
+        self._split(list(new), " ", lambda ids: np.flatnonzero(self.ends[ids]), 0, parts)
+        for w in {x for _, before, core, after in made for x in (before, core, after)}.difference(parts):
+            parts[w] = self._one(w)
+        known.update((w, parts[before] + parts[core] + parts[after]) for w, before, core, after in made)
+        others = [w for w in rest if self.MARK not in w] if len(self.mark) == 1 else []
+        self._split(others, f" {self.MARK} ", lambda ids: np.append(np.flatnonzero(ids == self.mark[0]), len(ids)), 1, known)
+        for w in rest:
             if w not in known:
-                known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                known[w] = self._one(w)
 
-    def _split(self, words: list[str], between: str, edges, skipped: int) -> None:
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _split(self, words: list[str], between: str, edges, skipped: int, known: dict[str, bytes]) -> None:
         for i in range(0, len(words), 4000):
             part = words[i : i + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -122,7 +146,7 @@ class WordEncoder:
             if len(last) == len(part):  # else each word is encoded by itself
                 ends = (4 * (last + 1 - skipped)).tolist()
                 starts, raw = [0, *(x + 4 * skipped for x in ends[:-1])], ids.tobytes()
-                self.known.update(zip(part, (raw[x:y] for x, y in zip(starts, ends, strict=True)), strict=True))
+                known.update(zip(part, (raw[x:y] for x, y in zip(starts, ends, strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -166,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         encoder, tail = _encoder(tokenizer), np.array([end], "<u4").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
-        goal = int(capacity * windows * FILL)
+        goal = capacity * windows
         held: list[list] = []  # id, start, length, ids, document's tokens
         total = 0
 
@@ -205,8 +229,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             return took
 
         def packed(pieces: list[list], k: int) -> pa.RecordBatch:
-            found = pack([p[2] for p in pieces], k, capacity)
-            return rows([[[pieces[i][0], pieces[i][1] + at, n, pieces[i][3][4 * at : 4 * (at + n)], pieces[i][4]] for i, at, n in w] for w in found])
+            nonlocal held, total
+            part = lambda i, at, n: [pieces[i][0], pieces[i][1] + at, n, pieces[i][3][4 * at : 4 * (at + n)], pieces[i][4]]
+            found, left = pack([p[2] for p in pieces], k, capacity)
+            held = [part(*x) for x in left] + held
+            total += sum(n for *_, n in left)
+            return rows([[part(*x) for x in w] for w in found])
 
         for b in batches:
             id_type, keys, texts = b[0].type, b[0].to_pylist(), b[1].to_pylist()
@@ -220,8 +248,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                     total += size
                     while total >= goal:
                         yield packed(split_at(goal), windows)
-        if k := int(total // (capacity * FILL)):
-            yield packed(split_at(int(k * capacity * FILL)), k)
+        if k := total // capacity:
+            yield packed(split_at(k * capacity), k)
         if total:
             powers, rest = [], total
             while rest:
