@@ -1,15 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a text; a longer line is cut into windows of ``WINDOW`` words that overlap by half, so a notice
-inside a long line is seen whole. A notice wrapped over lines is looked for in the words of the whole text: a window of
-``ROOM`` times the template's words that holds enough of its tokens, from before a line break to after it, is a match
-too. These windows are as short as the template, as the words of unrelated lines soon add up to a short notice. A block matches a template when it holds at least ``THRESHOLD`` of the template's
-distinct tokens. Tokens are ordered by their frequency over all documents, rarest first, and a template's prefix is
-its first ``n - need + 1`` tokens: a block without any of them cannot reach ``need`` (prefix filter), a block with
-fewer than ``need`` tokens cannot either (length filter), and when a block's first hit is the template's i-th token
-at most ``n - i`` tokens are left to share (positional filter). What passes is counted exactly, so every matching
-block is found. Templates are a bounded table, so their index goes to every task with the code; the documents are
-neither shuffled nor copied.
+The blocks of a text are all runs of consecutive words as long as a template's room (``ROOM`` times its words) that
+begin with one of its tokens, whatever lines or comment marks they cross. A block matches a template when it holds at
+least ``THRESHOLD`` of the template's distinct tokens and the phrases that name the license; stop words are no tokens.
+Tokens are ordered by their frequency over all documents, rarest first, and a template's prefix is its first ``n - need +
+1`` tokens: a block without any of them cannot reach ``need`` (prefix filter), so only blocks around a prefix token are
+looked at; a block with fewer than ``need`` occurrences of tokens cannot either (length filter), nor one whose rarest
+token is the template's i-th with ``n - i < need`` (positional filter). What passes is counted exactly, so every
+matching block is found; of blocks that overlap, the one that holds most is given. Templates are a bounded table, so
+their index goes to every task with the code; the documents are neither shuffled nor copied.
 
 Base labels come from phrases of consecutive words; the join adds its own labels to them.
 Defined results: a null text is empty: no words, no labels, score 0; repeated rows and null ids give a row each; an
@@ -17,7 +16,7 @@ empty table gives no rows; other columns are ignored; equal containments of two
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,21 +29,27 @@ from noticeloom.llm.common import read_table
 #: (label, phrase) of the base scan (fixed values).
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: (label, notice) of the join: how works usually state their license.
+#: (label, phrases that must be there, notice) of the join: how works usually state their license.
 TEMPLATES = (
-    ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc", "Licensed under CC BY-NC 4.0"),
-    ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", "mit license", "Released under the MIT License"),
+    ("mit", "mit license", "Licensed under the MIT License"),
+    ("mit", "permission, granted, charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("apache", "apache license", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "apache license", "Licensed under the Apache License"),
+    ("apache", "apache, compliance", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
+    ("gpl", "gnu general public", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "gnu general public", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "lesser general public", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("cc", "cc", "Licensed under CC BY-NC 4.0"),
+    ("cc", "creative commons", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("bsd", "redistribution, source, binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "endorse, promote", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission, purpose, fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl", "mozilla public", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Words that state nothing.
+STOP = frozenset(b"a an and any are as at be by for in is it its may not of or that the this to with you".split())
 THRESHOLD = (4, 5)  # of a template's tokens
-WINDOW = 64
 ROOM = (5, 4)
 
 #: Every ASCII byte that is not a letter or digit becomes a space; other bytes belong to words.
@@ -56,13 +61,26 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().translate(_TABLE).split()
 
 
-def template_tokens(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words(text.encode()))) for label, text in templates]
+def template_tokens(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes], list[list[bytes]]]]:
+    """(label, tokens, words of the phrases that must be there)."""
+    return [(label, frozenset(words(text.encode())) - STOP, [words(p.encode()) for p in must.split(",")]) for label, must, text in templates]
+
+
+def phrase_places(ws: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Where a phrase's words stand consecutively."""
+    out, i = [], -1
+    while True:
+        try:
+            i = ws.index(phrase[0], i + 1)
+        except ValueError:
+            return out
+        if ws[i : i + len(phrase)] == phrase:
+            out.append(i)
 
 
 def token_frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[str, int]:
     """How often each template token occurs in all documents; one row per template token reaches the driver."""
-    vocabulary = frozenset().union(*(t for _, t in template_tokens(templates)))
+    vocabulary = frozenset().union(*(t for _, t, _ in template_tokens(templates)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -80,92 +98,59 @@ class TemplateIndex:
     """Prefixes of the templates in global token order."""
 
     def __init__(self, templates, frequency: dict[str, int], threshold=THRESHOLD):
-        self.sets, self.prefix = [], {}
-        self.room = [-(-len(words(text.encode())) * ROOM[0] // ROOM[1]) for _, text in templates]
-        for label, tokens in template_tokens(templates):
-            order = sorted(tokens, key=lambda t: (frequency.get(t.decode(), 0), t))
+        self.sets = []
+        for (label, tokens, must), (_, _, text) in zip(template_tokens(templates), templates, strict=True):
+            order = {t: i for i, t in enumerate(sorted(tokens, key=lambda t: (frequency.get(t.decode(), 0), t)))}
             need = -(-len(order) * threshold[0] // threshold[1])
-            at = len(self.sets)
-            self.sets.append((label, tokens, need))
-            for i, t in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(t, []).append((at, i))
-        self.tokens = frozenset(self.prefix)
-
-    def matches(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of each template that the block holds enough of."""
-        if self.tokens.isdisjoint(block):
+            room = -(-len(words(text.encode())) * ROOM[0] // ROOM[1])
+            self.sets.append((label, order, must, need, room))
+        #: Prefix tokens: those of which every matching block has one.
+        self.tokens = frozenset(t for _, order, _, need, _ in self.sets for t, i in order.items() if len(order) - i >= need)
+
+    def matches(self, ws: list[bytes]) -> Iterator[tuple[str, int, int, float]]:
+        """(label, first word, words, containment) of the blocks that hold enough of a template."""
+        if self.tokens.isdisjoint(ws):
             return
-        held = frozenset(block)
-        first: dict[int, int] = {}
-        for t in held & self.tokens:
-            for at, i in self.prefix[t]:
-                first[at] = min(first.get(at, i), i)
-        for at, i in first.items():
-            label, tokens, need = self.sets[at]
-            if len(held) >= need and len(tokens) - i >= need and (shared := len(held & tokens)) >= need:
-                yield label, shared / len(tokens)
-
-
-def wrapped(index: TemplateIndex, text: bytes) -> Iterator[tuple[str, int, int, float]]:
-    """(label, first word, words, containment) of matches that reach over a line break.
-
-    Of windows that overlap the first one found, the one that holds most counts; the search goes on behind it."""
-    ws, starts = [], []
-    for line in text.split(b"\n"):
-        starts.append(len(ws))
-        ws += words(line)
-    held = frozenset(ws)
-    for (label, tokens, need), room in zip(index.sets, index.room, strict=True):
-        if len(held & tokens) < need:
-            continue
-        at = [i for i, w in enumerate(ws) if w in tokens]
-        i = 0
-        while i < len(at):
-            best, k = None, i
-            while k < len(at) and (best is None or at[k] < at[i] + room):
-                end = bisect_left(at, at[k] + room)
-                shared = len({ws[j] for j in at[k:end]})
-                if shared >= need and bisect_right(starts, at[k]) < bisect_right(starts, at[end - 1]) and (best is None or shared > best[0]):
-                    if best is None:
-                        i = k
-                    best = (shared, k, end)
+        held = frozenset(ws)
+        for label, order, must, need, room in self.sets:
+            n = len(order)
+            if not all(held.issuperset(p) for p in must) or sum(t in held for t in order) < need:
+                continue
+            named = [(len(p), phrase_places(ws, p)) for p in must]
+            if not all(x for _, x in named):
+                continue
+            at = [i for i, w in enumerate(ws) if w in order]
+            rank = [order[ws[i]] for i in at]
+            anchors = [i for i, r in zip(at, rank, strict=True) if n - r >= need]
+            best, k = None, 0
+            while k < len(at):
+                start = at[k]
+                if best and start >= best[1] + best[2]:
+                    yield label, *best[1:3], best[0] / n
+                    best = None
+                a = bisect_left(anchors, start)
+                if a == len(anchors):
+                    break
+                if anchors[a] >= start + room:  # prefix filter: on to the first block that reaches the anchor
+                    k = bisect_left(at, anchors[a] - room + 1)
+                    continue
+                end = bisect_left(at, start + room)
+                if end - k >= need and n - min(rank[k:end]) >= need:  # length and positional filter
+                    block, last = {ws[i] for i in at[k:end]}, at[end - 1] + 1
+                    if len(block) >= need and (best is None or len(block) > best[0]) and all((i := bisect_left(x, start)) < len(x) and x[i] + size <= last for size, x in named):
+                        best = (len(block), start, last - start)
                 k += 1
-            if best is None:
-                break
-            shared, k, i = best
-            yield label, at[k], at[i - 1] + 1 - at[k], shared / len(tokens)
-
-
-def blocks(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of its first word in the text, words) of each block."""
-    at = 0
-    for line in text.split(b"\n"):
-        ws = words(line)
-        for i in range(0, max(len(ws) - WINDOW // 2, 1), WINDOW // 2):
-            if ws:
-                yield at + i, ws[i : i + WINDOW]
-        at += len(ws)
+            if best:
+                yield label, *best[1:3], best[0] / n
 
 
 def places(ws: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
     """(place, label) wherever a phrase's words stand consecutively."""
-    out = []
-    for label, phrase in phrases:
-        p = phrase.encode().split()
-        i = -1
-        while True:
-            try:
-                i = ws.index(p[0], i + 1)
-            except ValueError:
-                break
-            if ws[i : i + len(p)] == p:
-                out.append((i, label))
-    return out
+    return [(i, label) for label, phrase in phrases for i in phrase_places(ws, phrase.encode().split())]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: words, phrase places, and the blocks that match a template: (label, first word, words, containment), as
-    do the matches of ``wrapped`` notices."""
+    """Per row: words, phrase places, and the blocks that match a template: (label, first word, words, containment)."""
     index = TemplateIndex(templates, token_frequencies(docs, templates, text_col), threshold)
     place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     match = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
@@ -173,18 +158,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, base, found, over = [], [], [], []
+            n, base, found = [], [], []
             for text in b[1].cast(pa.binary()).to_pylist():
                 ws = words(text or b"")
                 n.append(len(ws))
                 base.append([{"word": i, "label": x} for i, x in sorted(places(ws, phrases))])
-                none = index.tokens.isdisjoint(ws)
-                hits = [] if none else [{"label": label, "word": at, "n_words": len(block), "containment": c} for at, block in blocks(text) for label, c in index.matches(block)]
-                found.append(hits)
-                over.append([] if none else [{"label": label, "word": at, "n_words": size, "containment": c} for label, at, size, c in wrapped(index, text)])
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(base, place), pa.array(found, match), pa.array(over, match)], ["doc_id", "n_words", "places", "blocks", "wrapped"])
+                found.append([{"label": label, "word": at, "n_words": size, "containment": c} for label, at, size, c in index.matches(ws)])
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(base, place), pa.array(found, match)], ["doc_id", "n_words", "places", "blocks"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,word:long,n_words:long,containment:double>>, wrapped array<struct<label:string,word:long,n_words:long,containment:double>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,word:long,n_words:long,containment:double>>")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +181,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(word).alias("first_word"),
         F.array_max(word).alias("last_word"),
         listed(label("places")).alias("base_labels"),
-        listed(F.concat(label("places"), label("blocks"), label("wrapped"))).alias("labels"),
-        F.coalesce(F.array_max(F.transform(F.concat("blocks", "wrapped"), lambda p: p["containment"])), F.lit(0.0)).alias("score"),
+        listed(F.concat(label("places"), label("blocks"))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("blocks", lambda p: p["containment"])), F.lit(0.0)).alias("score"),
     )
