@@ -8,13 +8,16 @@ only on proof: when few vectors can still reach the k-th best lower bound, known
 query has already met; those are then scored exactly. With fewer vectors than that left, or all segments visited, the
 same rescoring ends the search, so every score is exact.
 
-The query set and the vectors meet in blocks: vectors are dealt to as many groups as their number asks for, and the
-queries, a fixed share of the rows, are sent to each group and stream past its block. Per group and query k rows
-leave; ranks are taken among those.
+The query set and the vectors meet in blocks: vectors are dealt to as many groups as their number asks for. A query
+first asks its own group; the k-th best score found there is its floor in all others, where a block whose components
+cannot add up to it is left at once and members below it drop out at the first proof. Per group and query k rows leave;
+ranks are taken among those.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; rows without an id
 neither; a missing dimension counts as 0; repeated rows are candidates of their own, except those with the query's
-own id; fewer candidates than k give fewer rows; ties go to the smaller id; components are held to +-2^28 after
-scaling; an empty table gives no rows; other columns are ignored."""
+own id; fewer candidates than k give fewer rows; ties go to the smaller id; a vector with components of 2^31 or more
+after scaling stands beside the index and is scored with unbounded integers, as everything is where sums might not fit
+64 bits; a score beyond 64 bits is given as the nearest that fits, but ranked by what it is; an
+empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -29,22 +32,38 @@ from noticeloom.llm.common import read_table, staged
 
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors a block, coarse impacts a dimension, members at which rescoring ends a search.
-BLOCK, IMPACTS, FEW = 16384, 6, 256
+BLOCK, IMPACTS, FEW = 8192, 6, 256
 #: Shares of the segments after which a proof is tried.
-PROOFS = (0.4, 0.5, 0.6, 0.7, 0.85)
+PROOFS = (0.25, 0.4, 0.5, 0.6, 0.7, 0.85)
+WIDE, EXACT, LONG = 2.0**31, 2.0**62, 1 << 63
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers, as unbounded integers."""
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def _sortable(s: int) -> bytes:
+    """Bytes in the order of the integers beyond 64 bits of one sign."""
+    n = (abs(s).bit_length() + 7) // 8
+    raw = n.to_bytes(4, "big") + abs(s).to_bytes(n, "big")
+    return raw if s > 0 else bytes(255 - c for c in raw)
 
 
 class ImpactIndex:
-    """Postings of one block of integer vectors, by dimension and falling impact."""
+    """Postings of one block of integer vectors (whole numbers as doubles), by dimension and falling impact."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        ids, x = ids[order], x[order]
+        wide = np.abs(x).max(1, initial=0) >= WIDE
+        self.wide_ids, self.wide = ids[wide], _integers(x[wide])
+        self.ids, self.x = ids[~wide], np.ascontiguousarray(x[~wide].astype(np.int64))
         dims = self.x.shape[1]
-        self.low, self.high = self.x.min(0), self.x.max(0)
+        self.low, self.high = self.x.min(0, initial=0), self.x.max(0, initial=0)
         self.level = np.zeros(self.x.shape, np.int8)  # coarse impact
         self.segments: list[list[tuple]] = []  # by dimension, falling: (least, largest component, level, rows, components)
-        for d in range(dims):
+        for d in range(dims if len(self.ids) else 0):
             column = self.x[:, d]
             width = max(1, -(-int(self.high[d] - self.low[d] + 1) // IMPACTS))
             level = (column - self.low[d]) // width
@@ -53,8 +72,24 @@ class ImpactIndex:
             parts = np.split(rows, np.flatnonzero(np.diff(level[rows])) + 1)
             self.segments.append([(int(column[r].min()), int(column[r].max()), int(level[r[0]]), r, column[r]) for r in parts])
 
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best but ``own``."""
+    def top(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """(id, score) of the k best but ``own``, without those below ``floor``."""
+        reach = float(np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high)))
+        if len(self.ids) and reach < EXACT:
+            found = list(zip(*(v.tolist() for v in self._search(q.astype(np.int64), own, k, floor)), strict=True))
+        else:
+            found = self._every(self.ids, self.x.astype(object), q, own)
+        if len(self.wide_ids):
+            found += self._every(self.wide_ids, self.wide, q, own)
+        return sorted(found, key=lambda f: (-f[1], f[0]))[:k]
+
+    @staticmethod
+    def _every(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int) -> list[tuple[int, int]]:
+        return [(i, s) for i, s in zip(ids.tolist(), x @ _integers(q) if len(ids) else [], strict=True) if i != own]
+
+    def _search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        if np.maximum(q * self.low, q * self.high).sum() < floor:
+            return self.ids[:0], self.ids[:0]
         n, dims = self.x.shape
         visits = []
         for d in np.flatnonzero(q).tolist():
@@ -71,7 +106,7 @@ class ImpactIndex:
         sign = np.sign(q).astype(np.int8)
         slack = 1 + 1e-5 * float(np.abs(least).sum() + np.abs(next_).sum())  # for sums in single precision
         acc = np.zeros(n, np.int64)
-        possible, floor = np.flatnonzero(self.ids != own), -np.inf
+        possible = np.flatnonzero(self.ids != own)
         proofs = {round(len(visits) * f) for f in PROOFS}
         for i, (_, d, level, rows, values) in enumerate(visits, 1):
             acc[rows] += q[d] * values
@@ -95,34 +130,34 @@ class ImpactIndex:
 
 
 def quantised(rows: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, x): floor(scale * component) of the vectors that take part."""
+    """(id, x): floor(scale * component) of the vectors that take part, as doubles (which are whole beyond 2^53)."""
     x = F.transform(F.col(vector_col), lambda c: F.col("k") * c.cast("double"))
     good = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    held = F.transform("x", lambda c: F.floor(F.greatest(F.lit(-float(1 << 28)), F.least(F.lit(float(1 << 28)), c))).cast("long"))
+    whole = F.transform("x", lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double")).otherwise(c))
     df = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias(vector_col), F.lit(float(scale)).alias("k"))
-    return df.select("id", x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & good).select("id", held.alias("x"))
+    return df.select("id", x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & good).select("id", whole.alias("x"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (id, x) against ``vectors`` (id, x)."""
     vectors = staged(vectors)
     groups = max(1, -(-vectors.count() // block))
-    put = vectors.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(False).alias("query"), "id", "x")
-    ask = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("query"), "id", "x")
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    put = vectors.select(own.alias("group"), F.lit(False).alias("query"), "id", "x", F.lit(None).cast("double").alias("floor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, index, ids, xs = None, None, [], []
         width = 0
 
-        def matrix(rows: list[list[int]], wide: int) -> np.ndarray:
-            out = np.zeros((len(rows), wide), np.int64)
+        def matrix(rows: list[list[float]], wide: int) -> np.ndarray:
+            out = np.zeros((len(rows), wide))
             for i, r in enumerate(rows):
                 out[i, : len(r)] = r[:wide]
             return out
 
         for b in batches:
             out: list[tuple] = []
-            for g, query, key, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g, query, key, x, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != group:
                     group, index, ids, xs, width = g, None, [], [], 0
                 if not query:
@@ -133,15 +168,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
                 if index is None and width:
                     index, xs = ImpactIndex(np.array(ids, np.int64), matrix(xs, width)), []
                 if index is not None:
-                    found, score = index.top(matrix([x], width)[0], key, k)
-                    out += [(key, v, s) for v, s in zip(found.tolist(), score.tolist(), strict=True)]
+                    out += [(key, v, s) for v, s in index.top(matrix([x], width)[0], key, k, -np.inf if floor is None else floor)]
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    met = put.unionByName(ask).repartition("group").sortWithinPartitions("group", "query", "id")
-    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                keys, found, scores = zip(*out, strict=True)
+                held = [max(-LONG, min(LONG - 1, s)) for s in scores]
+                value = [float(s) if abs(s) < 1 << 1023 else float("inf") * (1 if s > 0 else -1) for s in scores]
+                beyond = [None if s == h else _sortable(s) for s, h in zip(scores, held, strict=True)]
+                cols = zip((keys, found, held, value, beyond), (*[pa.int64()] * 3, pa.float64(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["query_id", "vec_id", "score", "value", "beyond"])
+
+    def met(ask: DataFrame) -> DataFrame:
+        rows = put.unionByName(ask.select("group", F.lit(True).alias("query"), "id", "x", "floor"))
+        return rows.repartition("group").sortWithinPartitions("group", "query", "id").mapInArrow(run, "query_id long, vec_id long, score long, value double, beyond binary")
+
+    best = met(queries.select(own.alias("group"), "id", "x", F.lit(None).cast("double").alias("floor")))
+    if groups > 1:
+        best = staged(best)
+        floors = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("value") - F.abs(F.min("value")) * 2.0**-50).alias("floor"))
+        asks = queries.join(floors, F.col("id") == F.col("query_id"), "left")
+        others = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g != F.col("own"))
+        best = best.unionByName(met(asks.withColumn("own", own).select(F.explode(others).alias("group"), "id", "x", "floor")))
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -175,6 +175,22 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(two, two).count() == 6 and topk_search.top_k(two.limit(0), two.limit(0)).count() == 0
 
 
+def test_top_k_of_wide_components(spark):
+    r = random.Random(4)
+    vectors = [(i, [r.choice([-1, 1]) * r.choice([0.0, 1.5, 10.0**e, 3.7 * 10.0**e]) for _ in range(3)]) for i, e in enumerate([1, 2, 6, 6, 8, 9, 12, 12, 7, 6, 5] * 5)]
+    vectors += [(100, [2e6, 1.0, 0.0]), (101, [3e6, 0.0, 0.0]), (102, [1.5e6, 2.0, 0.0]), (103, [1e160, 0.0, 1.0]), (104, [9e159, 0.0, 1.0])]
+    x = {i: [int(np.floor(256 * c)) for c in v] for i, v in vectors}
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    for block in (4096, 9):
+        q = topk_search.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+        got = {}
+        for z in topk_search.top_k(q, q, block=block).collect():
+            got.setdefault(z.query_id, []).append((z["rank"], z.vec_id, z.score))
+        for i in x:
+            best = sorted((-dot(x[i], x[j]), j) for j in x if j != i)[:5]
+            assert sorted(got[i]) == [(k + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, j) in enumerate(best)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
