@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions import text as tx
 from noticeloom.lexicon import Lexicon
 from noticeloom.operators import extract, html, lines, link, retrieve, score, tables
+from noticeloom.plans import rules
 from noticeloom.sources import store
 
 TODAY = "1997-06-15"
@@ -443,3 +444,6 @@ SQL = {
 }
 
 FLAGSHIP = "rt1_search"
+
+QUERIES |= rules.QUERIES
+SQL |= rules.SQL
