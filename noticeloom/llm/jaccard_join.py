@@ -40,7 +40,7 @@ from noticeloom.llm.common import UnionFind, components, discard, keyed_runs, re
 
 N, THRESHOLD = 3, 90
 #: Tokens in a block of work, sets in a group of the matrix, ids that may be broadcast (8 bytes each).
-UNIT, SETS, GROUP, BROADCAST = 1_000_000, 4096, 8, 500_000
+UNIT, SETS, GROUP, BROADCAST = 1_000_000, 1024, 8, 500_000
 #: Signatures of a task that are thinned at once.
 SIGNATURES = 1 << 20
 _CACHED_WORDS = 200_000
