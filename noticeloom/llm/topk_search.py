@@ -1,12 +1,10 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Each task holds one block of vectors, quantised to integers, as postings: for every dimension the vectors by
-component, cut into segments of one coarse impact. A query visits the segments of all dimensions by descending
-contribution bound (its own component times the segment's impact). A vector's seen contributions are accumulated
-exactly; an unseen one lies between the dimension's least contribution and the largest not visited yet. Work stops
-only on proof: when few vectors can still reach the k-th best lower bound, known from this block and from those the
-query has already met; those are then scored exactly. With fewer vectors than that left, or all segments visited, the
-same rescoring ends the search, so every score is exact.
+Each task holds one block of vectors, quantised to integers, as postings with a coarse impact, the rank of the
+component's size in the block. ``QUERIES`` queries take the segments of postings of one impact after the other, the
+largest first, and add contributions exactly; an unseen posting adds or takes off at most the largest component that its
+dimension has left. A query stops only on proof: when few vectors can still reach its k-th best lower bound or its
+floor; those are then scored exactly. When all segments are processed the sums are the scores, so every score is exact.
 
 The query set and the vectors meet in blocks: vectors are dealt to as many groups as their number asks for. A query
 first asks its own group; the k-th best score found there is its floor in all others, where a block whose components
@@ -31,11 +29,19 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import read_table, staged
 
 K, SCALE, EVERY = 5, 256, 50
-#: Vectors a block, coarse impacts a dimension, members at which rescoring ends a search.
-BLOCK, IMPACTS, FEW = 8192, 6, 256
-#: Shares of the segments after which a proof is tried.
-PROOFS = (0.25, 0.4, 0.5, 0.6, 0.7, 0.85)
-WIDE, EXACT, LONG = 2.0**31, 2.0**62, 1 << 63
+#: Vectors a block, members at which rescoring ends a search, queries that go together.
+BLOCK, FEW, QUERIES = 8192, 512, 64
+#: Shares of a block's postings below which a component has a smaller impact, falling.
+IMPACTS = (0.6, 0.25)
+#: Sizes from which components stand beside the index, and from which sums may not be exact in double precision.
+WIDE, EXACT, LONG = 2.0**31, 2.0**52, 1 << 63
+
+
+def _sortable(s: int) -> bytes:
+    """Bytes in the order of the integers beyond 64 bits of one sign."""
+    n = (abs(s).bit_length() + 7) // 8
+    raw = n.to_bytes(4, "big") + abs(s).to_bytes(n, "big")
+    return raw if s > 0 else bytes(255 - c for c in raw)
 
 
 def _integers(x: np.ndarray) -> np.ndarray:
@@ -51,82 +57,77 @@ def _sortable(s: int) -> bytes:
 
 
 class ImpactIndex:
-    """Postings of one block of integer vectors (whole numbers as doubles), by dimension and falling impact."""
+    """Postings of one block of integer vectors (whole numbers as doubles), by falling impact."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         wide = np.abs(x).max(1, initial=0) >= WIDE
         self.wide_ids, self.wide = ids[wide], _integers(x[wide])
-        self.ids, self.x = ids[~wide], np.ascontiguousarray(x[~wide].astype(np.int64))
-        dims = self.x.shape[1]
-        self.low, self.high = self.x.min(0, initial=0), self.x.max(0, initial=0)
-        self.level = np.zeros(self.x.shape, np.int8)  # coarse impact
-        self.segments: list[list[tuple]] = []  # by dimension, falling: (least, largest component, level, rows, components)
-        for d in range(dims if len(self.ids) else 0):
-            column = self.x[:, d]
-            width = max(1, -(-int(self.high[d] - self.low[d] + 1) // IMPACTS))
-            level = (column - self.low[d]) // width
-            self.level[:, d] = level
-            rows = np.argsort(-level, kind="stable")
-            parts = np.split(rows, np.flatnonzero(np.diff(level[rows])) + 1)
-            self.segments.append([(int(column[r].min()), int(column[r].max()), int(level[r[0]]), r, column[r]) for r in parts])
-
-    def top(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
-        """(id, score) of the k best but ``own``, without those below ``floor``."""
-        reach = float(np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high)))
-        if len(self.ids) and reach < EXACT:
-            found = list(zip(*(v.tolist() for v in self._search(q.astype(np.int64), own, k, floor)), strict=True))
-        else:
-            found = self._every(self.ids, self.x.astype(object), q, own)
+        self.ids, self.x = ids[~wide], np.ascontiguousarray(x[~wide])
+        size = np.abs(self.x)
+        self.largest = size.max(0, initial=0)
+        cuts = np.quantile(size, IMPACTS) if len(self.ids) else np.zeros(len(IMPACTS))
+        impact = np.searchsorted(cuts[::-1], size, "right")
+        #: (components of one impact, postings of smaller ones, the largest component of those), by dimension and vector.
+        self.segments = []
+        for at in range(len(IMPACTS), -1, -1):
+            rest = impact < at
+            self.segments.append((np.ascontiguousarray(np.where(impact == at, self.x, 0).T), np.ascontiguousarray(rest.T.astype(np.float32)), np.where(rest, size, 0).max(0, initial=0)))
+
+    def top(self, q: np.ndarray, own: list[int], k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each row of ``q`` the (id, score) of the k best but its own, maybe without those below its floor."""
+        reach = np.abs(q) @ self.largest
+        fits = np.flatnonzero(reach < EXACT) if len(self.ids) else np.zeros(0, np.int64)
+        found: list[list[tuple[int, int]]] = [[] for _ in own]
+        for i, best in zip(fits.tolist(), self._search(q[fits], [own[i] for i in fits], k, floor[fits]), strict=True):
+            found[i] = best
+        for i in np.setdiff1d(np.arange(len(own)), fits).tolist():
+            found[i] = self._every(self.ids, _integers(self.x), q[i], own[i])
         if len(self.wide_ids):
-            found += self._every(self.wide_ids, self.wide, q, own)
-        return sorted(found, key=lambda f: (-f[1], f[0]))[:k]
+            for i in range(len(own)):
+                found[i] = found[i] + self._every(self.wide_ids, self.wide, q[i], own[i])
+        return [sorted(f, key=lambda f: (-f[1], f[0]))[:k] for f in found]
 
     @staticmethod
     def _every(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int) -> list[tuple[int, int]]:
         return [(i, s) for i, s in zip(ids.tolist(), x @ _integers(q) if len(ids) else [], strict=True) if i != own]
 
-    def _search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        if np.maximum(q * self.low, q * self.high).sum() < floor:
-            return self.ids[:0], self.ids[:0]
-        n, dims = self.x.shape
-        visits = []
-        for d in np.flatnonzero(q).tolist():
-            w = int(q[d])
-            visits += [(w * hi if w > 0 else w * lo, d, level, rows, values) for lo, hi, level, rows, values in (self.segments[d] if w > 0 else reversed(self.segments[d]))]
-        visits.sort(key=lambda v: -v[0])
-        # of the dimensions not visited yet: the least and the largest contribution, and the last level visited
-        least = np.where(q > 0, q * self.low, q * self.high).astype(float)
-        next_ = np.where(q > 0, q * self.high, q * self.low).astype(float)
-        following: dict[int, list[int]] = {}
-        for v in reversed(visits):
-            following.setdefault(v[1], []).append(v[0])
-        reached = np.where(q > 0, IMPACTS + 1, -1).astype(np.int8)
-        sign = np.sign(q).astype(np.int8)
-        slack = 1 + 1e-5 * float(np.abs(least).sum() + np.abs(next_).sum())  # for sums in single precision
-        acc = np.zeros(n, np.int64)
-        possible = np.flatnonzero(self.ids != own)
-        proofs = {round(len(visits) * f) for f in PROOFS}
-        for i, (_, d, level, rows, values) in enumerate(visits, 1):
-            acc[rows] += q[d] * values
-            reached[d] = level
-            left = following[d]
-            left.pop()
-            next_[d] = left[-1] if left else 0
-            if i in proofs:
-                # not visited: a level that lies below the last one visited, as the dimension's sign turns it
-                hidden = (self.level[possible] * sign < reached * sign).astype(np.float32)
-                bounds = hidden @ np.stack([least, next_], 1).astype(np.float32)
-                lower, upper = acc[possible] + bounds[:, 0].astype(float) - slack, acc[possible] + bounds[:, 1].astype(float) + slack
-                if len(lower) > k:
-                    floor = max(floor, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-                possible = possible[upper >= floor]
-                if len(possible) <= FEW:
-                    break
-        score = self.x[possible] @ q
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible][best], score[best]
+    def _search(self, q: np.ndarray, own: list[int], k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
+        found: list[list[tuple[int, int]]] = [[] for _ in own]
+        reach = np.abs(q) @ self.largest
+        left = np.flatnonzero(reach >= floor)  # else the block cannot reach the floor
+        mine = [slice(*np.searchsorted(self.ids, [o, o + 1])) for o in own]
+        acc, slack = np.zeros((len(left), len(self.ids))), 1 + 1e-5 * reach  # for bounds in single precision
+
+        def best_of(rows: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
+            if len(score) > k:
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[keep], score[keep]
+            return list(zip(self.ids[rows].tolist(), score.astype(np.int64).tolist(), strict=True))
+
+        for postings, rest, largest in self.segments[:-1]:
+            if not len(left):
+                return found
+            acc += q[left] @ postings
+            near = ((np.abs(q[left]) * largest).astype(np.float32) @ rest).astype(float) + slack[left, None]
+            lower, upper = acc - near, acc + near
+            for j, i in enumerate(left.tolist()):
+                lower[j, mine[i]] = upper[j, mine[i]] = -np.inf
+            if acc.shape[1] > k:
+                floor[left] = np.maximum(floor[left], np.partition(lower, acc.shape[1] - k, axis=1)[:, acc.shape[1] - k])
+            possible = (upper >= floor[left, None]) & (upper > -np.inf)
+            done = possible.sum(1) <= FEW
+            for j in np.flatnonzero(done).tolist():
+                rows = np.flatnonzero(possible[j])
+                found[left[j]] = best_of(rows, self.x[rows] @ q[left[j]])
+            left, acc = left[~done], acc[~done]
+        if len(left):
+            acc += q[left] @ self.segments[-1][0]
+        for j, i in enumerate(left.tolist()):
+            rows = np.concatenate([np.arange(mine[i].start), np.arange(mine[i].stop, len(self.ids))])
+            found[i] = best_of(rows, acc[j, rows])
+        return found
 
 
 def quantised(rows: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -145,37 +146,43 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     put = vectors.select(own.alias("group"), F.lit(False).alias("query"), "id", "x", F.lit(None).cast("double").alias("floor"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, index, ids, xs = None, None, [], []
-        width = 0
-
-        def matrix(rows: list[list[float]], wide: int) -> np.ndarray:
-            out = np.zeros((len(rows), wide))
-            for i, r in enumerate(rows):
-                out[i, : len(r)] = r[:wide]
-            return out
+    def matrix(rows: list[list[float]], wide: int) -> np.ndarray:
+        out = np.zeros((len(rows), wide))
+        for i, r in enumerate(rows):
+            out[i, : len(r)] = r[:wide]
+        return out
+
+    def answers(index: ImpactIndex, asked: list[tuple]) -> pa.RecordBatch:
+        found = index.top(matrix([x for _, x, _ in asked], index.x.shape[1]), [i for i, *_ in asked], k, np.array([-np.inf if f is None else f for *_, f in asked]))
+        out = [(i, v, s) for (i, *_), best in zip(asked, found, strict=True) for v, s in best]
+        keys, ids, scores = zip(*out, strict=True) if out else ((), (), ())
+        held = [max(-LONG, min(LONG - 1, s)) for s in scores]
+        value = [float(s) if abs(s) < 1 << 1023 else float("inf") * (1 if s > 0 else -1) for s in scores]
+        beyond = [None if s == h else _sortable(s) for s, h in zip(scores, held, strict=True)]
+        cols = zip((keys, ids, held, value, beyond), (*[pa.int64()] * 3, pa.float64(), pa.binary()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["query_id", "vec_id", "score", "value", "beyond"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index, ids, xs, asked = None, None, [], [], []
         for b in batches:
-            out: list[tuple] = []
             for g, query, key, x, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != group:
-                    group, index, ids, xs, width = g, None, [], [], 0
+                    if asked:
+                        yield answers(index, asked)
+                    group, index, ids, xs, asked = g, None, [], [], []
                 if not query:
                     ids.append(key)
                     xs.append(x)
-                    width = max(width, len(x))
                     continue
-                if index is None and width:
-                    index, xs = ImpactIndex(np.array(ids, np.int64), matrix(xs, width)), []
+                if index is None and ids:
+                    index, xs = ImpactIndex(np.array(ids, np.int64), matrix(xs, max(map(len, xs)))), []
                 if index is not None:
-                    out += [(key, v, s) for v, s in index.top(matrix([x], width)[0], key, k, -np.inf if floor is None else floor)]
-            if out:
-                keys, found, scores = zip(*out, strict=True)
-                held = [max(-LONG, min(LONG - 1, s)) for s in scores]
-                value = [float(s) if abs(s) < 1 << 1023 else float("inf") * (1 if s > 0 else -1) for s in scores]
-                beyond = [None if s == h else _sortable(s) for s, h in zip(scores, held, strict=True)]
-                cols = zip((keys, found, held, value, beyond), (*[pa.int64()] * 3, pa.float64(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["query_id", "vec_id", "score", "value", "beyond"])
+                    asked.append((key, x, floor))
+                    if len(asked) == QUERIES:
+                        yield answers(index, asked)
+                        asked = []
+        if asked:
+            yield answers(index, asked)
 
     def met(ask: DataFrame) -> DataFrame:
         rows = put.unionByName(ask.select("group", F.lit(True).alias("query"), "id", "x", "floor"))
