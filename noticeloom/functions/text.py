@@ -215,11 +215,12 @@ def normalize_status(c: Column, source: str) -> Column:
 
 
 def _strings(values) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """An array of constants, as one expression however many there are."""
+    return F.split(F.lit("\x01".join(values)), "\x01") if values else F.array().cast("array<string>")
 
 
-def _literal_map(table: dict) -> Column:
-    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+def _literal_map(table: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def in_order(found: Column, order) -> Column:
@@ -259,11 +260,14 @@ def title_industries(c: Column, lexicon: Lexicon = KOREAN) -> Column:
 
 def sido_of(c: Column, lexicon: Lexicon = KOREAN) -> Column:
     """The province that a text begins with, by its name or a city's; null if none."""
-    t = F.replace(text(c), F.lit(" "), F.lit(""))
-    out = F.try_element_at(_literal_map(lexicon.city_province), extract(t, "^([가-힣]{1,3})(시|군)", 1))
-    for alias, province in reversed(lexicon.sido.items()):
-        out = F.when(t.startswith(alias), province).otherwise(out)
-    return F.when(t.contains("전남광주") | t.contains("통합특별시"), "전남").otherwise(out)
+
+    def of(t: Column) -> Column:
+        out = F.try_element_at(_literal_map(lexicon.city_province), extract(t, "^([가-힣]{1,3})(시|군)", 1))
+        for alias, province in reversed(lexicon.sido.items()):
+            out = F.when(t.startswith(alias), province).otherwise(out)
+        return F.when(t.contains("전남광주") | t.contains("통합특별시"), "전남").otherwise(out)
+
+    return once(F.replace(text(c), F.lit(" "), F.lit("")), of)
 
 
 def _names(lexicon: Lexicon, *more: str) -> str:
@@ -274,20 +278,27 @@ def title_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
     """The province that a title limits its notice to; where an event takes place is no limit.
 
     In order: a leading bracket, a trailing one, a city or county, "companies of ...", a province first of all."""
-    t, cities = text(c), _literal_map(lexicon.city_province)
-    lead = extract(t, r"^\s*[\[(【<]\s*([^\])】>]+)[\])】>]", 1)
-    named = F.filter(F.split(lead, r"[·ㆍ,/\s]+"), lambda x: F.array_contains(_strings(list(lexicon.city_province)), x))
-    first = F.coalesce(sido_of(lead, lexicon), F.try_element_at(cities, F.try_element_at(named, F.lit(1))))
-    tail = extract(t, r"[\[(]\s*([^\])]{2,8})\s*[\])]\s*$", 1)
-    last = F.when(F.length(F.regexp_replace(tail, "[^가-힣]", "")) <= 6, sido_of(tail, lexicon))
-    body = F.regexp_replace(t, rx(r"^\s*(?:[\[(【<][^\])】>]*[\])】>]\s*)*(?:20\d{2}\s*년?(?:도)?\s*)?(?:(?:상|하)반기\s*)?"), "")
+    cities = _literal_map(lexicon.city_province)
     town = r"([가-힣]{1,3})(시|군)(?=\s|$|[^가-힣])(\s*(?:센터|지사|지원본부))?"
-    city = F.when(extract(body, town, 3).isNull(), F.try_element_at(cities, extract(body, town, 1)))
     whose = rf"({_names(lexicon, '전남광주')})(?:특별자치도|특별자치시|광역시|특별시|도|시|군)?\s*(?:지역|소재|관내|도내)\s*(?:의\s*)?(?:중소|수출|유망|청년|농식품|창업|강소|제조|기업|업체)"
     begins = rf"^\s*({_names(lexicon, '전남광주')})(?:특별자치도|특별자치시|광역시|특별시|도)?(?:형)?\s"
-    rest = F.when(extract(body, whose).isNotNull(), sido_of(extract(body, whose, 1), lexicon)).when(extract(body, begins).isNotNull() & ~has(body, lex.EVENTS), sido_of(extract(body, begins, 1), lexicon))
-    # the first rule asks for a bracket at the very start of the title
-    return F.coalesce(F.when(lead.isNotNull(), first), last, city, rest)
+
+    def in_front(lead: Column) -> Column:
+        named = F.filter(F.split(lead, r"[·ㆍ,/\s]+"), lambda x: F.array_contains(_strings(list(lexicon.city_province)), x))
+        return F.when(lead.isNotNull(), F.coalesce(sido_of(lead, lexicon), F.try_element_at(cities, F.try_element_at(named, F.lit(1)))))
+
+    def inside(body: Column) -> Column:
+        city = F.when(extract(body, town, 3).isNull(), F.try_element_at(cities, extract(body, town, 1)))
+        first = F.coalesce(extract(body, whose, 1), F.when(~has(body, lex.EVENTS), extract(body, begins, 1)))
+        return F.coalesce(city, once(first, lambda name: F.when(name.isNotNull(), sido_of(name, lexicon))))
+
+    def of(t: Column) -> Column:
+        body = F.regexp_replace(t, rx(r"^\s*(?:[\[(【<][^\])】>]*[\])】>]\s*)*(?:20\d{2}\s*년?(?:도)?\s*)?(?:(?:상|하)반기\s*)?"), "")
+        behind = once(extract(t, r"[\[(]\s*([^\])]{2,8})\s*[\])]\s*$", 1), lambda tail: F.when(F.length(F.regexp_replace(tail, "[^가-힣]", "")) <= 6, sido_of(tail, lexicon)))
+        # the first rule asks for a bracket at the very start of the title
+        return F.coalesce(once(extract(t, r"^\s*[\[(【<]\s*([^\])】>]+)[\])】>]", 1), in_front), behind, once(body, inside))
+
+    return once(text(c), of)
 
 
 def target_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
@@ -295,8 +306,7 @@ def target_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
     where = rf"({_names(lexicon)})(?:특별자치도|특별자치시|광역시|특별시|도|시|군)?\s*(?:내\s*)?(?:에\s*)?(?:소재|본사|주사무소|사업장|관내|지역\s*(?:중소|수출)?기업)"
     near = lambda l: F.regexp_extract(l, rx(f".{{0,10}}?{where}.{{0,10}}"), 0)
     fits = F.filter(F.slice(lines(c), 1, 40), lambda l: (near(l) != "") & ~has(near(l), "개최|장소|위치|센터|행사장"))
-    line = F.try_element_at(fits, F.lit(1))
-    return F.struct(sido_of(extract(line, where, 1), lexicon).alias("region"), F.substring(line, 1, 160).alias("evidence"))
+    return once(F.try_element_at(fits, F.lit(1)), lambda line: F.struct(sido_of(extract(line, where, 1), lexicon).alias("region"), F.substring(line, 1, 160).alias("evidence")))
 
 
 def notice_region(title: Column, agency: Column, lexicon: Lexicon = KOREAN) -> Column:
@@ -313,8 +323,8 @@ def country_groups(c: Column, lexicon: Lexicon = KOREAN) -> Column:
 
 def to_manwon(number: Column, unit: Column) -> Column:
     """An amount in units of 10,000."""
-    scale = _literal_map({"억": 10000.0, "천만": 1000.0, "백만": 100.0, "만": 1.0})
-    return F.replace(number, F.lit(","), F.lit("")).try_cast("double") * F.try_element_at(scale, unit)
+    scale = _literal_map({"억": "10000", "천만": "1000", "백만": "100", "만": "1"})
+    return F.replace(number, F.lit(","), F.lit("")).try_cast("double") * F.try_element_at(scale, unit).cast("double")
 
 
 def amount_text(amount: Column) -> Column:

@@ -140,9 +140,13 @@ def extract_target(title: Column, target: Column, page: Column, doc: Column, doc
     tiers, countries, first lines and the basis of industries and regions."""
     title, target = tx.text(title), tx.text(target)
     target = F.when((F.length(tx.clean(target)) < 20) & (tx.text(doc_target) != ""), tx.strip(F.concat(target, F.lit("\n"), doc_target))).otherwise(target)
+    bound = F.struct(title.alias("title"), target.alias("target"), tx.text(page).alias("page"), tx.text(doc).alias("doc"), tx.title_region(title, lexicon).alias("region"), tx.title_industries(title, lexicon).alias("industries"))
+    return tx.once(bound, lambda b: _target(b["title"], b["target"], b["page"], b["doc"], b["region"], b["industries"], lexicon))
+
+
+def _target(title: Column, target: Column, page: Column, doc: Column, region: Column, from_title: Column, lexicon: Lexicon) -> Column:
     both, t_lines = F.concat(title, F.lit("\n"), target), tx.lines(target)
     hard = F.slice(F.filter(F.concat(tx.lines(page), tx.lines(doc)), lambda x: tx.has(x, "제외|제한|불가")), 1, 15)
-    from_title = tx.title_industries(title, lexicon)
     plain = F.filter(t_lines, lambda x: ~tx.has(x, "제외|불가|제한|우대|가점"))
     hits = F.transform(plain, lambda x: F.struct(tx.rule_hits(x, True, lexicon)["industries"].alias("i"), x.alias("l")))
     hits = F.filter(hits, lambda h: F.size(h["i"]) > 0)
@@ -153,7 +157,6 @@ def extract_target(title: Column, target: Column, page: Column, doc: Column, doc
 
     types = F.array_compact(F.array(F.when(tx.has(both, r"해외\s*유통매장\s*운영사|현지\s*벤더|수입업체"), lex.DISTRIBUTOR), F.when(both.contains("중소"), lex.SME)))
     types = F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("수출기업")))
-    region = tx.title_region(title, lexicon)
     home = F.when(both.contains("전남광주") | both.contains("통합특별시"), F.array(F.lit("전남"), F.lit("광주"))).otherwise(
         F.array_compact(F.array(F.when(tx.any_contains(both, ("전남", "전라남도", "도내")), "전남"), F.when(both.contains("광주"), "광주")))
     )
@@ -252,19 +255,25 @@ def enrich_apply(apply: Column, sections: Column, doc: Column) -> Column:
 def apply_region(title: Column, agency: Column, target_text: Column, source: Column, page: Column) -> Column:
     """struct(region, regions, basis): by title or agency, by the target text, by a regional site's own words; else
     the whole country."""
-    by_title, by_target = tx.notice_region(title, agency), tx.target_region(target_text)
     local = tx.extract(page, r"[^\n]{0,40}(도내|전북\s*(?:특별자치도)?\s*(?:내\s*)?소재|전라북도\s*소재)[^\n]{0,40}")
     jb = source == "jbexport"
     found = lambda r, where, line: F.struct(r.alias("region"), F.lit(where).alias("from"), line.alias("evidence"))
-    x = (
-        F.when(by_title.isNotNull(), found(by_title, "제목", title))
-        .when(by_target["region"].isNotNull(), found(by_target["region"], "지원대상", by_target["evidence"]))
-        .when(jb & tx.has(title, "전북|전라북도"), found(F.lit("전북"), "제목", title))
-        .when(jb & local.isNotNull(), found(F.lit("전북"), "지원대상", F.substring(tx.strip(local), 1, 160)))
-    )
-    r = x["region"]
-    regions = F.when(r.isNull(), F.array().cast("array<string>")).when(r.isin("전남", "광주"), F.array(F.lit("전남"), F.lit("광주"))).otherwise(F.array(r))
-    return F.struct(F.coalesce(r, F.lit(lex.NATIONWIDE)).alias("region"), regions.alias("regions"), F.when(r.isNotNull(), F.struct(x["from"].alias("from"), x["evidence"].alias("evidence"))).alias("basis"))
+
+    def said(b: Column) -> Column:
+        return (
+            F.when(b["t"].isNotNull(), found(b["t"], "제목", title))
+            .when(b["a"]["region"].isNotNull(), found(b["a"]["region"], "지원대상", b["a"]["evidence"]))
+            .when(jb & tx.has(title, "전북|전라북도"), found(F.lit("전북"), "제목", title))
+            .when(jb & b["l"].isNotNull(), found(F.lit("전북"), "지원대상", F.substring(tx.strip(b["l"]), 1, 160)))
+        )
+
+    def shown(x: Column) -> Column:
+        r = x["region"]
+        regions = F.when(r.isNull(), F.array().cast("array<string>")).when(r.isin("전남", "광주"), F.array(F.lit("전남"), F.lit("광주"))).otherwise(F.array(r))
+        return F.struct(F.coalesce(r, F.lit(lex.NATIONWIDE)).alias("region"), regions.alias("regions"), F.when(r.isNotNull(), F.struct(x["from"].alias("from"), x["evidence"].alias("evidence"))).alias("basis"))
+
+    bound = F.struct(tx.notice_region(title, agency).alias("t"), tx.target_region(target_text).alias("a"), local.alias("l"))
+    return tx.once(tx.once(bound, said), shown)
 
 
 def build_records(notices: DataFrame, docs: DataFrame, sections: DataFrame, online: str = "온라인 신청", lexicon: Lexicon = KOREAN) -> DataFrame:

@@ -22,8 +22,12 @@ LISTING = "struct<data:array<struct<SP_SEQ:string,js_title:string,STS_TXT:string
 
 
 def read_notices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Stored notices with columns ``x_json`` decoded to ``x``; null stays null."""
-    df = spark.read.format(fmt).load(path)
+    """Stored notices, decoded."""
+    return decode_notices(spark.read.format(fmt).load(path))
+
+
+def decode_notices(df: DataFrame) -> DataFrame:
+    """Columns ``x_json`` decoded to ``x``; null stays null."""
     for name, kind in NESTED.items():
         if f"{name}_json" in df.columns:
             df = df.withColumn(name, F.from_json(f"{name}_json", kind)).drop(f"{name}_json")
@@ -83,15 +87,21 @@ def replace_children(existing: DataFrame, changed_keys: DataFrame, new_rows: Dat
 KEEP = ("project_no", "source", "title", "subtitle", "region", "status", "receipt_start", "receipt_end", "detail_url", "summary", "fields", "target", "amount", "apply", "also", "dup_of")
 
 
-def publish(notices: DataFrame, documents: DataFrame, chunks: DataFrame, today: str, out: str, days: int = 60) -> dict[str, DataFrame]:
-    """Writes the public tables (notices with their documents' figures, their chunks, counts) and returns them."""
+def published(notices: DataFrame, documents: DataFrame, chunks: DataFrame, today: str, sections: DataFrame, days: int = 60) -> dict[str, DataFrame]:
+    """The public tables: notices with their documents' figures and sections (doc_id = project_no), their chunks, counts."""
     shown = tables.publishable(notices, today, days)
     stats = tables.document_stats(documents).groupBy("project_no").agg(F.array_sort(F.collect_list(F.struct("file_name", "chars", "n_tables"))).alias("documents"))
-    made = {
-        "notices": shown.select(*(c for c in KEEP if c in shown.columns)).join(stats, "project_no", "left"),
+    parts = sections.select(F.col("doc_id").alias("project_no"), F.col("sections").alias("doc_sections"))
+    return {
+        "notices": shown.select(*(c for c in KEEP if c in shown.columns)).join(stats, "project_no", "left").join(parts, "project_no", "left"),
         "chunks": tables.semi_chunks(chunks, shown),
         "metrics": tables.publish_metrics(notices),
     }
+
+
+def publish(notices: DataFrame, documents: DataFrame, chunks: DataFrame, today: str, sections: DataFrame, out: str, days: int = 60) -> dict[str, DataFrame]:
+    """Writes the public tables and returns them."""
+    made = published(notices, documents, chunks, today, sections, days)
     for name, df in made.items():
         df.write.mode("overwrite").json(f"{out}/{name}")
     return made
