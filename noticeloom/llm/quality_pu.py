@@ -2,9 +2,9 @@
 
 Every whole text becomes a short vector of surface features (shares of characters and words, repetition, worst line,
 compressibility). A small network minimises the non-negative unbiased risk from trusted positives (label 1) and
-unlabelled web text under a class prior, which is estimated as the share of label 1 among the labelled rows it may
-learn from. The raw output is then calibrated to a probability on the same labelled rows. Labels, language, source
-and id never enter a score.
+unlabelled web text under a class prior that is estimated from those two alone. The raw output is then calibrated to a
+probability on the labelled rows it may learn from, rows of label 0 included: the scale of a score, not the order of
+the documents, comes from them. Labels, language, source and id never enter a score.
 
 Fitting uses a bounded sample, the ``MOST`` rows of each kind with the smallest hash of their id; everything else runs
 over all rows. Scoring is row-local: the model is a few hundred numbers that go with the code, the text is read once.
@@ -39,7 +39,7 @@ _HIGH = bytes(range(128, 256))
 
 
 def _share(data: bytes, which: bytes) -> float:
-    return 1 - len(data.translate(None, which)) / max(len(data), 1)
+    return 1 - len(data.translate(None, which)) / len(data) if data else 0.0
 
 
 def features(data: bytes) -> list[float]:
@@ -164,6 +164,23 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return model
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from both alone.
+
+    A classifier of one half of the rows scores the other. Above a cut stand a share of the positives and a share of the
+    unlabelled; positives alone would make their ratio the prior, others only raise it, so the cut with the smallest
+    upper bound of that ratio (by the deviation of both shares) gives the estimate."""
+    model = fit_nnpu(positive[::2], unlabelled[::2], 0.5, epochs=20)
+    p, u = np.sort(model.raw(positive[1::2])), np.sort(model.raw(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    cuts = np.concatenate([p, [-np.inf]])
+    above = lambda x: 1 - np.searchsorted(x, cuts, "left") / len(x)
+    deviation = math.sqrt(math.log(4 / 0.1) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((above(u) + deviation) / np.maximum(above(p), 1e-9)))
+    return float(min(max(above(u)[best] / above(p)[best], 0.05), 0.98))
+
+
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
     """Logistic regression of the label on the raw output (Newton steps), with smoothed targets."""
     z = model.raw(x)
@@ -198,8 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc
     positive, negative, unlabelled = (np.array(by_kind[k]) for k in (1, 0, -1))
     if not len(unlabelled):
         unlabelled = np.concatenate([positive, negative]) if len(negative) else positive
-    known_rows = share[1] + share.get(0, 0)
-    model = fit_nnpu(positive, unlabelled, min(max(share[1] / known_rows, 0.05), 0.98))
+    model = fit_nnpu(positive, unlabelled, class_prior(positive, unlabelled))
     if len(negative):
         n = min(len(positive), max(1, round(len(negative) * share[1] / share[0])))
         calibrate(model, np.concatenate([positive[:n], negative]), np.concatenate([np.ones(n), np.zeros(len(negative))]))

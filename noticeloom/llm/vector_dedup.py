@@ -14,7 +14,8 @@ of a list that it probes, so no label, list or group of near copies lands in one
 they are found; a block emits counts and a forest of its links, not its pairs.
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and those without a label, link
 with nothing and are components of their own; rows with a null id too, with a null component and kept false; repeated
-rows are vectors of their own that link with each other, under one id; vectors of different lengths do not link; an
+rows are vectors of their own that link with each other, under one id, and so are rows of one id with other vectors;
+vectors of different lengths do not link; an
 empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -57,8 +58,6 @@ class Quantiser:
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [kmeans(rest[:, p], CODES, seed + 1 + i) for i, p in enumerate(self.parts)]
-        gaps = self.coarse[:, None, :] - self.coarse[None, :, :] if len(self.coarse) <= 256 else None
-        self.gaps = np.sqrt((gaps**2).sum(-1)) if gaps is not None else np.sqrt(np.maximum(0, (self.coarse**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * self.coarse @ self.coarse.T))
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.coarse)
@@ -68,7 +67,9 @@ class Quantiser:
         found from the earlier list's)."""
         d2 = np.maximum(0, (x * x).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T)
         own = d2[np.arange(len(x)), home][:, None]
-        bound = (d2 - own) / np.maximum(2 * self.gaps[home], 1e-12)
+        mine, size = self.coarse[home], (self.coarse**2).sum(1)
+        gaps = np.sqrt(np.maximum(0, size[home][:, None] + size - 2 * mine @ self.coarse.T))
+        bound = (d2 - own) / np.maximum(2 * gaps, 1e-12)
         return (bound <= reach + 1e-9) & (np.arange(len(self.coarse))[None, :] > home[:, None])
 
     def encode(self, x: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,35 +91,52 @@ class Quantiser:
 
 
 def unit_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, label, x, u) of the vectors that may link: x in double precision, u scaled to length 1."""
-    df = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("x"))
-    df = df.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    top = F.array_max(F.transform("x", F.abs))  # first, so that squares neither vanish nor overflow
-    df = df.withColumn("top", top).where("top > 0").withColumn("by", F.pow(F.lit(2.0), -F.floor(F.log2("top")))).withColumn("s", F.transform("x", lambda c: c * F.col("by")))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c))
-    return df.withColumn("norm", norm).select("id", "label", "s", F.transform("s", lambda c: c / F.col("norm")).alias("u"))
+    """(id, label, d, s, key) per row: of the vectors that may link the length, the components scaled by a power of two
+    (in single precision if they are exact there) and the direction, as bytes; null for the others."""
+    kind = rows.schema[label_col].dataType.simpleString()
 
-
-def _matrix(rows: pa.Array) -> np.ndarray:
-    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-
-
-def near_links(entries: DataFrame, model: Quantiser, threshold: float = THRESHOLD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, s, keys = [], [], []
+            for key, label, v in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), strict=True):
+                x = np.array(v, float) if key is not None and label is not None and v is not None and None not in v else np.zeros(0)
+                top = float(np.abs(x).max(initial=0))
+                if not 0 < top < np.inf or not np.isfinite(x).all():
+                    d.append(None), s.append(None), keys.append(None)
+                    continue
+                x = np.ldexp(x, 1 - np.frexp(top)[1])  # so that squares neither vanish nor overflow
+                d.append(len(x))
+                keys.append((x / np.sqrt((x * x).sum()) + 0.0).tobytes())
+                s.append((single if (single := x.astype(np.float32)).astype(float).tobytes() == x.tobytes() else x).tobytes())
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(d, pa.int32()), pa.array(s, pa.binary()), pa.array(keys, pa.binary())], ["id", "label", "d", "s", "key"])
+
+    df = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("x"))
+    return df.mapInArrow(run, f"id long, label {kind}, d int, s binary, key binary")
+
+
+def _matrix(rows: list[bytes], d: int) -> np.ndarray:
+    size = sum(map(len, rows))
+    if size in (4 * d * len(rows), 8 * d * len(rows)) and len({len(r) for r in rows}) == 1:
+        return np.frombuffer(b"".join(rows), np.float32 if size == 4 * d * len(rows) else float).reshape(len(rows), d).astype(float)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * d else float) for r in rows], float).reshape(len(rows), d)
+
+
+def near_links(entries: DataFrame, model: Quantiser, d: int, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, n_a): entry a linked with so many vectors in a block; (a, b) rows with n_a 0 form a forest of the links.
 
-    ``entries``: (rep, label, n, s) with n the multiplicity."""
+    ``entries``: (rep, label, n, s) with n the multiplicity, all of length ``d``."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - SLACK))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _matrix(b["s"])
+            s = _matrix(b["s"].to_pylist(), d)
             u = s / np.sqrt((s * s).sum(1))[:, None]
             home = model.home(u)
             more, lists = np.nonzero(model.probes(u, home, reach))
             probes = np.split(lists.astype(np.int32), np.cumsum(np.bincount(more, minlength=len(u)))[:-1])
-            yield pa.RecordBatch.from_arrays([b["rep"], b["label"], b["n"], pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array([r.tobytes() for r in s], pa.binary())], ["rep", "label", "n", "home", "probes", "v"])
+            yield pa.RecordBatch.from_arrays([b["rep"], b["label"], b["n"], pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())), b["s"]], ["rep", "label", "n", "home", "probes", "v"])
 
     kind = entries.schema["label"].dataType.simpleString()
     placed = staged(entries.select("rep", "label", "n", "s").mapInArrow(place, f"rep long, label {kind}, n long, home int, probes array<int>, v binary"))
@@ -134,7 +152,7 @@ def near_links(entries: DataFrame, model: Quantiser, threshold: float = THRESHOL
         for (_, home, _), c in keyed_runs(batches, 3):
             n_data = c["query"].count(0)
             reps, n = c["rep"], np.array(c["n"])
-            s = np.frombuffer(b"".join(c["v"])).reshape(len(reps), -1)
+            s = _matrix(c["v"], d)
             norm = np.sqrt((s * s).sum(1))
             u = s / norm[:, None]
             codes, error = model.encode(u[:n_data], home)
@@ -173,27 +191,27 @@ def near_links(entries: DataFrame, model: Quantiser, threshold: float = THRESHOL
 def vector_components(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     units = staged(unit_vectors(rows, id_col, vector_col, label_col))
-    classes = staged(units.groupBy("label", "u").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("s").alias("s")))
-    dims = [r[0] for r in classes.select(F.size("u")).distinct().collect()]
+    classes = staged(units.where("key IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("s").alias("s")).withColumn("rep", F.monotonically_increasing_id()))
     found = None
-    for d in sorted(dims):  # a model for each vector length; there is one in any sane table
-        part = classes.where(F.size("u") == d).select("rep", "label", "n", "s", "u")
-        sample = np.array([r[0] for r in part.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("u").collect()])
-        lists = int(min(256, max(4, 2 ** round(np.log2(max(part.count(), 1)) / 2 - 4))))
-        links = near_links(part, Quantiser(sample, lists), threshold)
+    # a model for each vector length; there is one in any sane table
+    for d, n in sorted((r["d"], r["n"]) for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()):
+        part = classes.where(F.col("d") == d)
+        sample = np.array([np.frombuffer(r[0]) for r in part.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key").collect()])
+        lists = int(min(max(4, SAMPLE // 16), max(4, 2 ** round(np.log2(n) / 2 - 4))))
+        links = near_links(part.select("rep", "label", "n", "s"), Quantiser(sample, lists), d, threshold)
         found = links if found is None else found.unionByName(links)
-    every = rows.select(F.col(id_col).cast("long").alias("vec_id"))
+    component, none = F.coalesce("component", "id"), F.lit(None).cast("long")
     if found is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = staged(found)
-    parts = components(found.where("n_a = 0").select("a", "b"))
-    counts = found.groupBy("a").agg(F.sum("n_a").alias("links"))
-    named = classes.select("label", "u", "rep", "n").join(parts, F.col("rep") == F.col("id"), "left").join(counts, F.col("rep") == F.col("a"), "left")
-    named = named.select("label", "u", F.coalesce("component", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    own = units.join(named, ["label", "u"]).select("id", "component", "n_links").dropDuplicates(["id"])
-    out = every.join(own, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        x = units.select("id", none.alias("component"), none.alias("n_links"))
+    else:
+        found = staged(found)
+        parts = components(found.where("n_a = 0").select("a", "b"))
+        counts = found.groupBy("a").agg(F.sum("n_a").alias("links"))
+        named = classes.select("label", "key", "rep", "first", "n").join(parts, F.col("rep") == F.col("id"), "left").withColumn("part", F.coalesce("component", "rep")).drop("id", "component")
+        least = named.groupBy("part").agg(F.min("first").alias("component"))
+        named = named.join(least, "part").join(counts, F.col("rep") == F.col("a"), "left")
+        x = units.join(named.select("label", "key", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), ["label", "key"], "left")
+    return x.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

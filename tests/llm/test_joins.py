@@ -158,6 +158,12 @@ def test_vector_components(spark, monkeypatch, chunk):
     assert vector_dedup.vector_components(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 1, 1), (1, [0.0, 1.0], 1, 1), (2, [1.0, 0.0], 1, 1), (3, [0.0, 0.1], 2, 1), (4, [1.0, 1 / 3], 1, 1)]
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in vector_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n long")).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 120)
     monkeypatch.setattr(topk_search, "FEW", 8)

@@ -212,6 +212,14 @@ def test_quality_held_out(spark):
     assert n > 50 and right > 0.95
 
 
+def test_class_prior():
+    r = np.random.default_rng(5)
+    for share in (0.25, 0.6, 0.9):
+        positive, n = r.normal(1.5, 1, (3000, 4)), int(4000 * share)
+        unlabelled = np.concatenate([r.normal(1.5, 1, (n, 4)), r.normal(-1.5, 1, (4000 - n, 4))])
+        assert abs(quality_pu.class_prior(positive, r.permutation(unlabelled)) - share) < 0.08
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (9, None)], "doc_id long, quality int")
     df = odd(spark)
