@@ -56,8 +56,11 @@ def candidate_pairs(fps: DataFrame) -> DataFrame:
     titles = _meet(_prefixes(fps, "title_grams", lambda n: n - up(n * same) + 1), same)
     bodies = fps.where(F.size("doc_grams") > 0)
     titles = titles.unionAll(_meet(_prefixes(bodies, "title_grams", lambda n: n - up(n * (t / (2 - t))) + 1), t / (2 - t)))
-    stems = fps.select("project_no", F.explode("stems").alias("stem"))
-    shared = stems.alias("a").join(stems.alias("b"), (F.col("a.stem") == F.col("b.stem")) & (F.col("a.project_no") != F.col("b.project_no"))).select(F.col("a.project_no").alias("x"), F.col("b.project_no").alias("y"))
+    # a shared file name counts beside a title half the same: a stock name alone brings nobody together
+    s = lex.STEM_TITLE_SIM / (2 - lex.STEM_TITLE_SIM)
+    named = _prefixes(fps.where(F.size("stems") > 0), "title_grams", lambda n: n - up(n * s) + 1)
+    stems = named.join(fps.select("project_no", F.explode("stems").alias("stem")), "project_no")
+    shared = _meet(stems.select("project_no", "n", F.concat_ws("\x01", "stem", "gram").alias("gram")), s)
     pairs = docs.unionAll(titles).unionAll(shared).distinct()
     info = fps.select("project_no", "source", "end", "regions", "rank_key")
     p = pairs.join(info.select(*(F.col(c).alias(f"x_{c}") for c in info.columns)), F.col("x") == F.col("x_project_no"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom import lexicon as lex
@@ -14,25 +14,40 @@ from noticeloom.operators import tables
 
 @dataclass
 class Index:
-    """postings(project_no, seq, gram, tf), lengths(project_no, seq, len), idf(gram, df, idf), stats(n, avg)."""
+    """postings(project_no, seq, len, gram, tf), idf(gram, df, idf), stats(n, avg)."""
 
     postings: DataFrame
-    lengths: DataFrame
     idf: DataFrame
     stats: DataFrame
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """Statistics of chunks (project_no, seq, heading, text); heading and text are indexed together."""
+    """Statistics of chunks (project_no, seq, heading, text); heading and text are indexed together.
+
+    Texts are cut into grams once: the postings are kept, in memory or on disk, for all that read them. An index that
+    outlives its session is written with ``save_index``."""
     grams = tx.bigrams(F.concat(tx.text(F.col("heading")), F.lit(" "), tx.text(F.col("text"))))
-    tokens = chunks.select("project_no", "seq", F.explode(grams).alias("gram"))
-    postings = tokens.groupBy("project_no", "seq", "gram").agg(F.count("*").alias("tf"))
-    lengths = chunks.select("project_no", "seq", F.size(grams).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    tokens = chunks.select("project_no", "seq", grams.alias("grams")).select("project_no", "seq", F.size("grams").alias("len"), F.explode("grams").alias("gram"))
+    postings = tokens.groupBy("project_no", "seq", "len", "gram").agg(F.count("*").alias("tf")).persist()
+    # statistics are one row each
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("tokens"))).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg"))
+    return _index(postings, stats)
+
+
+def _index(postings: DataFrame, stats: DataFrame) -> Index:
     df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    # statistics are one row
     idf = df.crossJoin(F.broadcast(stats)).select("gram", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, lengths, idf, stats)
+    return Index(postings, idf, stats)
+
+
+def save_index(index: Index, name: str, buckets: int = 200) -> None:
+    """Writes an index as tables of the warehouse, the postings bucketed by gram: searches do not shuffle them."""
+    index.postings.write.bucketBy(buckets, "gram").sortBy("gram").mode("overwrite").saveAsTable(f"{name}_postings")
+    index.stats.write.mode("overwrite").saveAsTable(f"{name}_stats")
+
+
+def load_index(spark: SparkSession, name: str) -> Index:
+    return _index(spark.table(f"{name}_postings"), spark.table(f"{name}_stats"))
 
 
 def query_grams(queries: DataFrame) -> DataFrame:
@@ -42,9 +57,9 @@ def query_grams(queries: DataFrame) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int = 6) -> DataFrame:
     """(query_id, project_no, seq, score, rank) for queries (query_id, question, project_no); a query with a
     project_no looks at that notice only, with the statistics of all. Ties go by chunk order."""
-    q = query_grams(queries).withColumnRenamed("project_no", "only")
+    q = query_grams(queries).withColumnRenamed("project_no", "only").join(index.idf.select("gram", "idf"), "gram")
     x = index.postings.join(q, "gram").where(F.col("only").isNull() | (F.col("only") == F.col("project_no")))
-    x = x.join(index.idf.select("gram", "idf"), "gram").join(index.lengths, ["project_no", "seq"]).crossJoin(F.broadcast(index.stats))
+    x = x.crossJoin(F.broadcast(index.stats))
     f = F.col("tf")
     part = F.col("idf") * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
     scored = x.groupBy("query_id", "project_no", "seq").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")

@@ -1,7 +1,6 @@
 """Rule-scored matching of profiles with notices, alerts and digests.
 
-Each side is prepared once, before the two meet: ``match`` broadcasts the profiles while their number is within a
-checked bound and joins by range of blocks beyond it, then works row by row."""
+Each side is prepared once, before the two meet; scoring works row by row."""
 
 from __future__ import annotations
 
@@ -13,8 +12,8 @@ from noticeloom.functions import text as tx
 from noticeloom.lexicon import KOREAN, Lexicon
 from noticeloom.operators import tables
 
-#: Profiles that may be broadcast (about 1 kB each).
-BROADCAST = 10_000
+#: A key that every notice has.
+_ANY = "*"
 
 _NO_REASONS = "array<struct<type:string,points:int,text:string,evidence:string>>"
 _NO_TEXTS = "array<struct<text:string,evidence:string>>"
@@ -133,17 +132,25 @@ def grade(df: DataFrame) -> DataFrame:
 
 
 def match(profiles: DataFrame, notices: DataFrame, today: str, include_ineligible: bool = True, lexicon: Lexicon = KOREAN) -> DataFrame:
-    """Every profile with every representative notice, scored; without the ineligible, region and industry are part
-    of the join."""
+    """Every profile with every representative notice, scored; without the ineligible, the two meet on region and
+    industry.
+
+    A notice without regions (industries) has the key "", a profile's keys are its own and "", and a profile without
+    any meets a key that all notices have: so each pair that fits on both meets once for each industry they share, and
+    the first of those is kept."""
     p, n = prepare_profiles(profiles, lexicon), prepare_notices(notices, today, lexicon)
     p = p.withColumnsRenamed({c: f"{c}_of_profile" for c in p.columns if c in n.columns})
-    fits = F.lit(True)
-    if not include_ineligible:
-        region = tx.text(F.col("region"))
-        fits = ((F.size("n_regions") == 0) | (region == "") | F.array_contains("n_regions", region)) & ((F.size("n_industries") == 0) | (F.size("p_industries") == 0) | F.arrays_overlap("p_compat", "n_industries"))
+    if include_ineligible:
+        x = n.crossJoin(p)  # every pair is a row of the result
+    else:
         n = n.where(tx.text(F.col("status")).contains(lex.OPEN) & (F.coalesce("d_day", F.lit(0)) >= 0))
-    small = profiles.limit(BROADCAST + 1).count() <= BROADCAST
-    x = n.join(F.broadcast(p) if small else p, fits, "inner")
+        own = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))
+        asked = lambda c: F.explode(F.when(F.size(c) > 0, F.array_distinct(F.concat(c, F.array(F.lit(""))))).otherwise(F.array(F.lit(_ANY))))
+        n = n.withColumn("__region", F.explode(F.array_distinct(F.concat(own("n_regions"), F.array(F.lit(_ANY)))))).withColumn("__industry", F.explode(F.array_distinct(F.concat(own("n_industries"), F.array(F.lit(_ANY))))))
+        region = tx.text(F.col("region"))
+        p = p.withColumn("__regions", F.when(region != "", F.array(region)).otherwise(_none())).withColumn("__region", asked("__regions")).withColumn("__wanted", F.when(F.size("p_industries") > 0, F.col("p_compat")).otherwise(_none())).withColumn("__industry", asked("__wanted"))
+        first = F.try_element_at(F.filter("n_industries", lambda i: F.array_contains("__wanted", i)), F.lit(1))
+        x = n.join(p, ["__region", "__industry"]).where(F.col("__industry").isin("", _ANY) | (F.col("__industry") == first)).drop("__region", "__regions", "__industry", "__wanted")
     x = grade(x.withColumn("fails", hard_fails()).withColumn("reasons", reasons()).withColumn("warnings", warnings()))
     return x if include_ineligible else x.where("eligible")
 

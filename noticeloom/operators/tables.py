@@ -187,9 +187,14 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
 
 def contacts(docs: DataFrame) -> DataFrame:
-    """(project_no, emails, phones): distinct and sorted over a notice's texts; each text adds its distinct ones."""
-    gather = lambda f: F.array_sort(F.array_distinct(F.flatten(F.collect_set(f(F.col("text"))))))
-    return docs.groupBy("project_no").agg(gather(tx.emails).alias("emails"), gather(tx.phones).alias("phones"))
+    """(project_no, emails, phones): distinct and sorted over a notice's texts.
+
+    Values are made distinct before they meet by notice, so no text's array is carried twice."""
+    found = lambda kind, f: docs.select("project_no", F.lit(kind).alias("kind"), F.explode(f(F.col("text"))).alias("value"))
+    values = found("emails", tx.emails).unionAll(found("phones", tx.phones)).distinct()
+    gather = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)
+    every = docs.select("project_no").distinct().withColumn("kind", F.lit("")).withColumn("value", F.lit(None).cast("string"))
+    return values.unionByName(every).groupBy("project_no").agg(gather("emails"), gather("phones"))
 
 
 def update_sent_state(sent: DataFrame, delivered: DataFrame, open_ids: DataFrame) -> DataFrame:

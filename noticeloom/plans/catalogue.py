@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text as tx
 from noticeloom.lexicon import Lexicon
-from noticeloom.operators import extract, html, lines, link, retrieve, score, tables
-from noticeloom.plans import rules
+from noticeloom.operators import extract, html, link, retrieve, score, tables
+from noticeloom.plans import notices, rules
 from noticeloom.sources import store
 
 TODAY = "1997-06-15"
@@ -193,10 +193,10 @@ FL3 = f"WITH o AS ({_ORDERS}) SELECT project_no, status, receipt_end FROM o WHER
 
 
 def fl4_keyword(spark, d):
-    return tables.filter_keyword(_t(spark, d, "part").withColumnRenamed("p_name", "title"), "t i n").select("p_partkey", "title")
+    return tables.filter_keyword(_t(spark, d, "part").withColumnRenamed("p_name", "title"), "e w").select("p_partkey", "title")
 
 
-FL4 = "SELECT p_partkey, p_name AS title FROM part WHERE contains(regexp_replace(p_name, '\\s+', '', 'g'), 'tin')"
+FL4 = "SELECT p_partkey, p_name AS title FROM part WHERE contains(regexp_replace(p_name, '\\s+', '', 'g'), 'ew')"
 
 
 def ag1_counts(spark, d):
@@ -287,12 +287,12 @@ JO7 = f"WITH n AS ({_COPIES}) SELECT coalesce(dup_of, project_no) AS notice_no,
 
 
 def jo4_new_items(spark, d):
-    e = _t(spark, d, "events").select(F.col("user_id").alias("sub_key"), F.col("event_type").alias("project_no"), F.dayofmonth("ts").alias("day"))
+    e = _t(spark, d, "events").select(F.col("user_id").alias("sub_key"), F.concat("event_type", F.col("event_id") % 97).alias("project_no"), F.dayofmonth("ts").alias("day"))
     return tables.new_items(e.where("day > 15").select("sub_key", "project_no").distinct(), e.where("day <= 15").select("sub_key", "project_no"))
 
 
-JO4 = """SELECT DISTINCT user_id AS sub_key, event_type AS project_no FROM events e WHERE day(ts) > 15
-AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND day(s.ts) <= 15)"""
+JO4 = """WITH e AS (SELECT user_id AS sub_key, event_type || (event_id % 97) AS project_no, day(ts) AS d FROM events)
+SELECT DISTINCT sub_key, project_no FROM e WHERE d > 15 AND NOT EXISTS (SELECT 1 FROM e s WHERE s.sub_key = e.sub_key AND s.project_no = e.project_no AND s.d <= 15)"""
 
 
 def _snapshot(spark, d, half: str) -> DataFrame:
@@ -423,18 +423,12 @@ SC5 = f"""WITH {_MATCH} SELECT profile_id, project_no, score, CASE WHEN age <= 7
 FROM s WHERE n_fails = 0 AND score >= 70 AND (age <= 7 OR d_day <= 14)"""
 
 
-def ex8_line_tables(spark, d):
-    """Numbers that documents mention, by kind: money, percentages, areas."""
-    x = _documents(spark, d).select(F.col("project_no").alias("doc_id"), F.posexplode(tx.raw_lines(F.col("text"))).alias("line_no", "text"))
-    return lines.numbers(x).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
-
-
 QUERIES = {
     "rt1_search": rt1_search, "rt2_answer_lines": rt2_answer_lines, "rt4_notice_ranking": rt4_notice_ranking, "ag4_idf": ag4_idf,
     "fn1_clean": fn1_clean, "fn3_mask": fn3_mask, "fn5_period": fn5_period, "fn15_title_keys": fn15_title_keys, "st3_similarity": st3_similarity, "ex12_fields": ex12_fields, "fn7_industries": fn7_industries,
     "fl3_publishable": fl3_publishable, "fl4_keyword": fl4_keyword, "ag1_counts": ag1_counts, "ag2_metrics": ag2_metrics, "ag8_contacts": ag8_contacts, "ag9_texts": ag9_texts,
     "wn3_due_soon": wn3_due_soon, "wn5_first": wn5_first, "wn8_digest": wn8_digest, "jo3_also": jo3_also, "jo4_new_items": jo4_new_items, "jo5_snapshot": jo5_snapshot, "jo7_resolve": jo7_resolve,
-    "ag11_sent_state": ag11_sent_state, "io4_upsert": io4_upsert, "fn28_html": fn28_html, "fn30_links": fn30_links, "dd4_linkage": dd4_linkage, "sc_match": sc_match, "sc5_alerts": sc5_alerts, "ex8_line_tables": ex8_line_tables,
+    "ag11_sent_state": ag11_sent_state, "io4_upsert": io4_upsert, "fn28_html": fn28_html, "fn30_links": fn30_links, "dd4_linkage": dd4_linkage, "sc_match": sc_match, "sc5_alerts": sc5_alerts,
 }
 
 SQL = {
@@ -445,5 +439,5 @@ SQL = {
 
 FLAGSHIP = "rt1_search"
 
-QUERIES |= rules.QUERIES
-SQL |= rules.SQL
+QUERIES |= rules.QUERIES | notices.QUERIES
+SQL |= rules.SQL | notices.SQL

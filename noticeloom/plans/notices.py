@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text as tx
 from noticeloom.operators import extract, lines, tables
-from noticeloom.plans.rules import _MADE, PARTS, Cases, K, listed, parts, read, tail
+from noticeloom.plans.rules import _MADE, PARTS, Cases, listed, parts, read, tail
 from noticeloom.sources import store
 
 NOW = "2026-12-15"
@@ -32,24 +32,64 @@ def _two(c) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
-#: The lines of a document, as columns and as SQL over k and name.
+#: The lines of a document, as SQL over k and name.
 _LINES = (
-    (F.concat(F.lit("수출지원사업 공고 "), K), "'수출지원사업 공고 ' || k"), (F.lit("1. 사업 개요"), "'1. 사업 개요'"), (F.lit("가. 목적"), "'가. 목적'"),
-    (F.concat(F.lit("○ 사업명 : 수출 지원 "), K), "'○ 사업명 : 수출 지원 ' || k"), (F.concat(F.lit("- 하나 "), F.col("name")), "'- 하나 ' || name"), (F.lit("- 둘"), "'- 둘'"), (F.lit("※ 참고"), "'※ 참고'"), (F.lit("본문 줄"), "'본문 줄'"),
-    (F.lit("2. 신청 방법"), "'2. 신청 방법'"), (F.concat(F.lit("접수기간 : 2026.12."), K % 28 + 1, F.lit(" ~ 1.10 18:00")), "'접수기간 : 2026.12.' || (k % 28 + 1) || ' ~ 1.10 18:00'"),
-    (F.concat(F.lit("2026. 12. ~ 2027. "), K % 12 + 1, F.lit(".")), "'2026. 12. ~ 2027. ' || (k % 12 + 1) || '.'"), (F.lit("지원조건"), "'지원조건'"), (F.concat(F.lit("- 첫째 "), K), "'- 첫째 ' || k"), (F.lit("※ 단서"), "'※ 단서'"),
-    (F.lit("1) 둘째"), "'1) 둘째'"), (F.lit("끝"), "'끝'"), (F.concat(F.lit("최대 "), K % 9 + 1, F.lit("백만원, "), K % 100, F.lit("% 지원")), "'최대 ' || (k % 9 + 1) || '백만원, ' || (k % 100) || '% 지원'"),
-    (F.concat(K % 50 + 1, F.lit("㎡ 이상")), "(k % 50 + 1) || '㎡ 이상'"), (F.concat(F.lit("붙임 2 「신청서 "), K, F.lit("」 1부")), "'붙임 2 「신청서 ' || k || '」 1부'"), (F.lit("【붙임 1】"), "'【붙임 1】'"),
-)
+    "'수출지원사업 공고 ' || k",
+    "'1. 사업 개요'",
+    "'가. 목적'",
+    "'○ 사업명 : 수출 지원 ' || k",
+    "'- 하나 ' || name",
+    "'- 둘'",
+    "'※ 참고'",
+    "'본문 줄'",
+    "'2. 신청 방법'",
+    "'접수기간 : 2026.12.' || (k % 28 + 1) || ' ~ 1.10 18:00'",
+    "'2026. 12. ~ 2027. ' || (k % 12 + 1) || '.'",
+    "'지원조건'",
+    "'- 첫째 ' || k",
+    "'※ 단서'",
+    "'1) 둘째'",
+    "'끝'",
+    "'최대 ' || (k % 9 + 1) || '백만원, ' || (k % 100) || '% 지원'",
+    "(k % 50 + 1) || '㎡ 이상'",
+    "'붙임 2 「신청서 ' || k || '」 1부'",
+    "'【붙임 1】'",
+)
+
+
+def _columns() -> list[Column]:
+    """The lines of a document."""
+    return [
+        F.concat(F.lit("수출지원사업 공고 "), F.col("k")),
+        F.lit("1. 사업 개요"),
+        F.lit("가. 목적"),
+        F.concat(F.lit("○ 사업명 : 수출 지원 "), F.col("k")),
+        F.concat(F.lit("- 하나 "), F.col("name")),
+        F.lit("- 둘"),
+        F.lit("※ 참고"),
+        F.lit("본문 줄"),
+        F.lit("2. 신청 방법"),
+        F.concat(F.lit("접수기간 : 2026.12."), F.col("k") % 28 + 1, F.lit(" ~ 1.10 18:00")),
+        F.concat(F.lit("2026. 12. ~ 2027. "), F.col("k") % 12 + 1, F.lit(".")),
+        F.lit("지원조건"),
+        F.concat(F.lit("- 첫째 "), F.col("k")),
+        F.lit("※ 단서"),
+        F.lit("1) 둘째"),
+        F.lit("끝"),
+        F.concat(F.lit("최대 "), F.col("k") % 9 + 1, F.lit("백만원, "), F.col("k") % 100, F.lit("% 지원")),
+        F.concat(F.col("k") % 50 + 1, F.lit("㎡ 이상")),
+        F.concat(F.lit("붙임 2 「신청서 "), F.col("k"), F.lit("」 1부")),
+        F.lit("【붙임 1】"),
+    ]
 
 
 def _lines(spark, d) -> DataFrame:
-    return parts(spark, d).select(K.cast("string").alias("doc_id"), F.posexplode(F.array(*(c for c, _ in _LINES))).alias("line_no", "text"))
+    return parts(spark, d).select(F.col("k").cast("string").alias("doc_id"), F.posexplode(F.array(*_columns())).alias("line_no", "text"))
 
 
 def _from(*numbers: int) -> str:
     """SQL of these lines joined."""
-    return " || chr(10) || ".join(_LINES[i][1] for i in numbers)
+    return " || chr(10) || ".join(_LINES[i] for i in numbers)
 
 
 _DOC = "CAST(k AS VARCHAR) AS doc_id"
@@ -117,10 +157,10 @@ def ex8_forms(spark, d):
 
 @query(f"SELECT {_DOC}, 1 AS table_no, '항목0;항목1;항목2' || CASE WHEN k % 2 = 0 THEN ';항목3' ELSE '' END AS fields FROM p WHERE k % 3 > 0")
 def ex9_blank_fields(spark, d):
-    filled = F.when((F.col("row") == 3) & (K % 2 == 1), F.lit("값")).when((F.col("row") == 1) & (K % 3 == 0), "값").when((F.col("row") >= 2) & (K % 3 == 0), "값").otherwise("")
+    filled = F.when((F.col("row") == 3) & (F.col("k") % 2 == 1), F.lit("값")).when((F.col("row") == 1) & (F.col("k") % 3 == 0), "값").when((F.col("row") >= 2) & (F.col("k") % 3 == 0), "값").otherwise("")
     x = parts(spark, d).withColumn("row", F.explode(F.array(*map(F.lit, range(4)))))
     cells = F.array(F.struct(F.lit(0).alias("col"), F.concat(F.lit("항목"), F.col("row")).alias("text")), F.struct(F.lit(1).alias("col"), filled.alias("text")))
-    x = x.select(K.cast("string").alias("doc_id"), F.lit(1).alias("table_no"), "row", F.explode(cells).alias("c")).select("doc_id", "table_no", "row", "c.*")
+    x = x.select(F.col("k").cast("string").alias("doc_id"), F.lit(1).alias("table_no"), "row", F.explode(cells).alias("c")).select("doc_id", "table_no", "row", "c.*")
     return lines.blank_fields(x).withColumn("fields", F.array_join("fields", ";"))
 
 
@@ -137,9 +177,9 @@ def ex10_sections(spark, d):
 UNION ALL SELECT k, n, unnest(range(1, CASE WHEN n < 250 THEN 3 ELSE 4 END)), '1. 머리', unnest(CASE WHEN n < 250 THEN [2 * n + 1, n] ELSE [n, n, n] END) FROM p)
 SELECT CAST(k AS VARCHAR) AS project_no, CAST(i AS INTEGER) AS seq, heading, CAST(chars AS INTEGER) AS chars FROM c""")
 def ex11_chunks(spark, d):
-    x = parts(spark, d).withColumn("project_no", K.cast("string"))
+    x = parts(spark, d).withColumn("project_no", F.col("k").cast("string"))
     sections = x.select("project_no", F.lit(0).alias("seq"), F.lit("개요").alias("name"), F.lit("가나다라").alias("text"))
-    row = F.repeat(F.lit("x"), (200 + K % 100).cast("int"))
+    row = F.repeat(F.lit("x"), (200 + F.col("k") % 100).cast("int"))
     docs = x.select("project_no", F.lit(0).alias("doc_seq"), F.lit("f.hwp").alias("file_name"), F.concat_ws("\n", F.lit("1. 머리"), row, row, row).alias("text"))
     return extract.make_chunks(sections, docs).select("project_no", "seq", "heading", F.length("text").alias("chars"))
 
@@ -175,16 +215,17 @@ def ex13_target(spark, d):
     return x.select("k", listed(F.col("t.industries")).alias("industries"), listed(F.col("t.company_types")).alias("types"), listed(F.col("t.regions")).alias("regions"), rule("excludes").alias("excludes"), rule("requires").alias("requires"), rule("prefers").alias("prefers"), F.size("t.tiers").alias("tiers"), listed(F.col("t.countries")).alias("countries"), F.try_element_at("t.basis", F.lit("industries"))["from"].alias("said"))
 
 
-_PAGE = F.concat(
-    F.lit("지원한도: 기업당 최대 "), K % 90 + 10, F.lit("만원\n총 지원규모 9,000만원 이내\n"), F.when(K % 3 == 0, F.concat(F.lit("※ 단, 중동 최대 "), K % 90 + 1000, F.lit("만원\n"))).otherwise(""),
-    F.lit("소요비용의 "), K % 50 + 10, F.lit("% 이내 지원\n비용 "), K % 50 + 10, F.lit("% 보조\n5% 이내\n99% 차등 지원\n80% 이내"),
-)
+def _page() -> Column:
+    return F.concat(
+        F.lit("지원한도: 기업당 최대 "), F.col("k") % 90 + 10, F.lit("만원\n총 지원규모 9,000만원 이내\n"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("※ 단, 중동 최대 "), F.col("k") % 90 + 1000, F.lit("만원\n"))).otherwise(""),
+        F.lit("소요비용의 "), F.col("k") % 50 + 10, F.lit("% 이내 지원\n비용 "), F.col("k") % 50 + 10, F.lit("% 보조\n5% 이내\n99% 차등 지원\n80% 이내"),
+    )
 
 
 @query("""SELECT k, CAST(k % 90 + 10 AS DOUBLE) AS top, CASE WHEN k % 3 = 0 THEN CAST(k % 90 + 1000 AS DOUBLE) END AS special, CASE WHEN k % 3 = 0 THEN '중동' ELSE '' END AS countries, CAST(k % 50 + 10 AS INTEGER) AS rate,
 '총 지원규모 9,000만원 이내' AS first_evidence FROM p WHERE k % 4 > 0 UNION ALL SELECT k, 120.0, NULL, '', NULL, '지원금액 120만원' FROM p WHERE k % 4 = 0""")
 def ex14_amount(spark, d):
-    page = F.when(K % 4 > 0, _PAGE).otherwise("문의는 담당자에게")
+    page = F.when(F.col("k") % 4 > 0, _page()).otherwise("문의는 담당자에게")
     x = parts(spark, d).select("k", extract.extract_amount(page, F.lit("지원금액 120만원\n지원금액 5만원")).alias("a"))
     return x.select("k", F.col("a.max_manwon").alias("top"), F.col("a.special_max_manwon").alias("special"), listed(F.col("a.special_countries")).alias("countries"), "a.rate", F.element_at("a.evidence", 1).alias("first_evidence"))
 
@@ -196,7 +237,7 @@ HOW = Cases(  # method, page's address, documents: methods, emails, phones
 
 
 def _apply() -> Column:
-    detail = F.map_from_arrays(F.array(F.lit("이메일"), F.lit("전화번호"), F.lit("이름")), F.array(HOW.col(1), F.lit("02-111-2222"), K.cast("string")))
+    detail = F.map_from_arrays(F.array(F.lit("이메일"), F.lit("전화번호"), F.lit("이름")), F.array(HOW.col(1), F.lit("02-111-2222"), F.col("k").cast("string")))
     return extract.extract_apply(HOW.col(0), detail, HOW.col(2), "")
 
 
@@ -225,14 +266,14 @@ def ex16_enrich_apply(spark, d):
 
 def _records(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notices, documents, document sections) of the parts."""
-    x = parts(spark, d).withColumn("project_no", K.cast("string"))
+    x = parts(spark, d).withColumn("project_no", F.col("k").cast("string"))
     part = lambda seq, name, c: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), c.alias("text"))
     notices = x.select(
-        "project_no", F.when(K % 2 == 0, "bizinfo").otherwise("jexport").alias("source"), F.when(K % 3 == 0, F.lit("[경기] 통번역 물류비 지원")).otherwise("통번역 통번역 지원").alias("title"), F.lit("부산광역시 · 부서").alias("subtitle"),
-        F.lit("접수중").alias("status"), F.concat(F.lit("2026-11-01 ~ 2026-12-"), _two(K % 28 + 1)).alias("period"), F.create_map(F.lit("이메일"), F.lit("a@b.kr")).alias("contact"),
-        F.array(part(0, "지원대상", F.lit("화장품 수출 중소기업이라면 누구나 신청할 수 있습니다")), part(1, "지원방법", F.lit("이메일 접수")), part(2, "지원내용", F.concat(F.lit("기업당 최대 "), K % 90 + 10, F.lit("만원")))).alias("sections"),
+        "project_no", F.when(F.col("k") % 2 == 0, "bizinfo").otherwise("jexport").alias("source"), F.when(F.col("k") % 3 == 0, F.lit("[경기] 통번역 물류비 지원")).otherwise("통번역 통번역 지원").alias("title"), F.lit("부산광역시 · 부서").alias("subtitle"),
+        F.lit("접수중").alias("status"), F.concat(F.lit("2026-11-01 ~ 2026-12-"), _two(F.col("k") % 28 + 1)).alias("period"), F.create_map(F.lit("이메일"), F.lit("a@b.kr")).alias("contact"),
+        F.array(part(0, "지원대상", F.lit("화장품 수출 중소기업이라면 누구나 신청할 수 있습니다")), part(1, "지원방법", F.lit("이메일 접수")), part(2, "지원내용", F.concat(F.lit("기업당 최대 "), F.col("k") % 90 + 10, F.lit("만원")))).alias("sections"),
     )
-    docs = x.select("project_no", F.explode(F.array(F.lit(0), F.lit(1))).alias("doc_seq"), "k").select("project_no", "doc_seq", F.lit("f.hwp").alias("file_name"), F.when((F.col("doc_seq") == 1) & (K % 5 == 0), "예산 소진 시 마감 02-333-4444").otherwise("수출 지원").alias("text"), F.lit(0).alias("n_tables"))
+    docs = x.select("project_no", F.explode(F.array(F.lit(0), F.lit(1))).alias("doc_seq"), "k").select("project_no", "doc_seq", F.lit("f.hwp").alias("file_name"), F.when((F.col("doc_seq") == 1) & (F.col("k") % 5 == 0), "예산 소진 시 마감 02-333-4444").otherwise("수출 지원").alias("text"), F.lit(0).alias("n_tables"))
     sections = x.select(F.col("project_no").alias("doc_id"), F.array(part(4, "신청방법·접수", F.lit("문서24로 제출"))).alias("sections"))
     return notices, docs, sections
 
@@ -270,14 +311,14 @@ def ex18_summarize(spark, d):
 
 @query("SELECT CAST(k AS VARCHAR) AS project_no, CASE WHEN k % 3 > 0 THEN '통번역' || k END AS field, CASE WHEN k % 4 > 0 THEN CAST(k AS DOUBLE) END AS top FROM p")
 def io1_decode(spark, d):
-    x = parts(spark, d).select(K.cast("string").alias("project_no"), F.when(K % 3 > 0, F.concat(F.lit('[{"field":"통번역'), K, F.lit('","score":9.5,"evidence":["a"]}]'))).alias("fields_json"), F.when(K % 4 > 0, F.concat(F.lit('{"max_manwon":'), K, F.lit("}"))).alias("amount_json"))
+    x = parts(spark, d).select(F.col("k").cast("string").alias("project_no"), F.when(F.col("k") % 3 > 0, F.concat(F.lit('[{"field":"통번역'), F.col("k"), F.lit('","score":9.5,"evidence":["a"]}]'))).alias("fields_json"), F.when(F.col("k") % 4 > 0, F.concat(F.lit('{"max_manwon":'), F.col("k"), F.lit("}"))).alias("amount_json"))
     return store.decode_notices(x).select("project_no", F.try_element_at("fields", F.lit(1))["field"].alias("field"), F.col("amount.max_manwon").alias("top"))
 
 
 @query("SELECT CAST(k AS VARCHAR) AS id, '<' || name || '> & \"' || k || '\"' AS title, CASE WHEN k % 2 = 0 THEN '2026' ELSE 'a ~ b' END AS period FROM p UNION ALL SELECT k || 'b', 'b', 'c ~ ' FROM p WHERE k % 3 = 0")
 def io2_listing(spark, d):
-    first = F.struct(K.cast("string").alias("SP_SEQ"), F.concat(F.lit(" &lt;"), "name", F.lit("&gt;  &amp; &quot;"), K, F.lit("&quot;")).alias("js_title"), F.when(K % 2 == 0, "2026").otherwise(" ").alias("SGI"), F.lit("a").alias("start_dt"), F.lit("b").alias("end_dt"))
-    second = F.struct(F.concat(K, F.lit("b")).alias("SP_SEQ"), F.when(K % 3 == 0, "b").otherwise(" ").alias("js_title"), F.lit(None).cast("string").alias("SGI"), F.lit("c").alias("start_dt"), F.lit(None).cast("string").alias("end_dt"))
+    first = F.struct(F.col("k").cast("string").alias("SP_SEQ"), F.concat(F.lit(" &lt;"), "name", F.lit("&gt;  &amp; &quot;"), F.col("k"), F.lit("&quot;")).alias("js_title"), F.when(F.col("k") % 2 == 0, "2026").otherwise(" ").alias("SGI"), F.lit("a").alias("start_dt"), F.lit("b").alias("end_dt"))
+    second = F.struct(F.concat(F.col("k"), F.lit("b")).alias("SP_SEQ"), F.when(F.col("k") % 3 == 0, "b").otherwise(" ").alias("js_title"), F.lit(None).cast("string").alias("SGI"), F.lit("c").alias("start_dt"), F.lit(None).cast("string").alias("end_dt"))
     x = parts(spark, d).select(F.to_json(F.struct(F.array(first, second).alias("data"))).alias("payload"))
     return store.read_listing_json(x).select("id", "title", "period")
 
@@ -287,8 +328,8 @@ SELECT c_name AS name, CASE WHEN k % 2 = 0 THEN '전북' ELSE '전남' END AS re
 def io3_profiles(spark, d):
     c = read(spark, d, "customer").withColumn("k", F.col("c_custkey"))
     wide = c.select(
-        F.when(K % 7 > 0, F.concat(F.lit(" "), "c_name")).alias("기업명 "), F.lit("1").alias("사업자번호"), F.when(K % 2 == 0, "전북").otherwise(" ").alias("소재지(시·도)"), F.lit("전남").alias("소재지(전남/광주/기타)"), F.when(K % 3 == 0, F.lit("예")).otherwise("N").alias("상장여부(Y/N)"),
-        F.when(K % 2 == 0, "공예, 농산").otherwise("의료").alias("업종 (복수)"), F.when(K % 5 == 0, F.lit("없음")).otherwise(F.col("c_acctbal").cast("string")).alias("전년도 수출실적(USD)"), F.when(K % 4 == 0, F.lit("N")).otherwise(F.lit(None)).cast("string").alias("직수출(Y/N)"), F.lit("통번역, ,물류비").alias("필요 지원분야(쉼표구분)"),
+        F.when(F.col("k") % 7 > 0, F.concat(F.lit(" "), "c_name")).alias("기업명 "), F.lit("1").alias("사업자번호"), F.when(F.col("k") % 2 == 0, "전북").otherwise(" ").alias("소재지(시·도)"), F.lit("전남").alias("소재지(전남/광주/기타)"), F.when(F.col("k") % 3 == 0, F.lit("예")).otherwise("N").alias("상장여부(Y/N)"),
+        F.when(F.col("k") % 2 == 0, "공예, 농산").otherwise("의료").alias("업종 (복수)"), F.when(F.col("k") % 5 == 0, F.lit("없음")).otherwise(F.col("c_acctbal").cast("string")).alias("전년도 수출실적(USD)"), F.when(F.col("k") % 4 == 0, F.lit("N")).otherwise(F.lit(None)).cast("string").alias("직수출(Y/N)"), F.lit("통번역, ,물류비").alias("필요 지원분야(쉼표구분)"),
     )
     return store.import_profiles(wide).select("name", "region", "size", "listed", listed(F.col("industries")).alias("industries"), "export_usd", "direct_export", listed(F.col("needs")).alias("needs"))
 

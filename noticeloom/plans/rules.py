@@ -12,7 +12,6 @@ from noticeloom.functions import text as tx
 from noticeloom.operators import extract, html, lines, tables
 
 TODAY = "1997-06-15"
-K = F.col("k")
 
 
 def read(spark, d: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ class Cases:
         self.rows = rows
 
     def col(self, i: int) -> Column:
-        return F.element_at(F.array(*(F.lit(r[i]) for r in self.rows)), (K % len(self.rows) + 1).cast("int"))
+        return F.element_at(F.array(*(F.lit(r[i]) for r in self.rows)), (F.col("k") % len(self.rows) + 1).cast("int"))
 
     def sql(self, i: int) -> str:
         put = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
@@ -42,7 +41,7 @@ class Cases:
 
 def tail(c: Column) -> Column:
     """The text, then the row's key."""
-    return F.concat(c, F.lit(" "), K.cast("string"))
+    return F.concat(c, F.lit(" "), F.col("k").cast("string"))
 
 
 def listed(c: Column) -> Column:
@@ -100,7 +99,7 @@ TITLE = Cases(
 
 @query(f"SELECT k, {TITLE.sql(1)} AS region, '전남' AS trailing FROM p")
 def fn11_title_region(spark, d):
-    return parts(spark, d).select("k", tx.title_region(tail(TITLE.col(0))).alias("region"), tx.title_region(F.concat(F.lit("수출 "), K.cast("string"), F.lit(" (전남광주)"))).alias("trailing"))
+    return parts(spark, d).select("k", tx.title_region(tail(TITLE.col(0))).alias("region"), tx.title_region(F.concat(F.lit("수출 "), F.col("k").cast("string"), F.lit(" (전남광주)"))).alias("trailing"))
 
 
 TARGET = Cases(("전북 소재 중소기업", "전북"), ("서울 소재 코엑스 개최", None), ("경기도 관내 기업", "경기"), ("수출 기업", None), ("제주 지역 수출기업", "제주"))
@@ -153,8 +152,8 @@ _AMOUNT = "a AS (SELECT k, (k % 400) * 25 AS x, CASE WHEN k % 3 = 0 THEN (k % 40
 
 
 def _amount(spark, d) -> DataFrame:
-    x, none = (K % 400) * 25, F.array().cast("array<string>")
-    amount = F.struct(x.cast("double").alias("max_manwon"), F.when(K % 3 == 0, x + 150).cast("double").alias("special_max_manwon"), none.alias("special_countries"), F.when(K % 4 == 0, K % 100).cast("int").alias("rate"), none.alias("evidence"))
+    x, none = (F.col("k") % 400) * 25, F.array().cast("array<string>")
+    amount = F.struct(x.cast("double").alias("max_manwon"), F.when(F.col("k") % 3 == 0, x + 150).cast("double").alias("special_max_manwon"), none.alias("special_countries"), F.when(F.col("k") % 4 == 0, F.col("k") % 100).cast("int").alias("rate"), none.alias("evidence"))
     return parts(spark, d).withColumn("amount", amount)
 
 
@@ -177,8 +176,8 @@ def fn24_early_close(spark, d):
 
 def _fielded(spark, d) -> DataFrame:
     field = lambda name, s: F.struct(F.lit(name).alias("field"), F.lit(s).alias("score"), F.array().cast("array<string>").alias("evidence"))
-    fields = F.when(K % 5 > 0, F.slice(F.array(field("통번역", 9.0), field("물류비", 8.0), field("금융·보험", 7.0)), F.lit(1), (K % 4).cast("int"))).otherwise(F.array().cast("array<struct<field:string,score:double,evidence:array<string>>>"))
-    return _amount(spark, d).withColumn("fields", fields).withColumn("industries", F.when(K % 2 == 0, F.array(F.lit("식품"), F.lit("농수산"))).otherwise(F.array().cast("array<string>"))).withColumn("end", F.when(K % 3 > 0, F.concat(F.lit("2026-12-"), F.lpad((K % 28 + 1).cast("string"), 2, "0"))))
+    fields = F.when(F.col("k") % 5 > 0, F.slice(F.array(field("통번역", 9.0), field("물류비", 8.0), field("금융·보험", 7.0)), F.lit(1), (F.col("k") % 4).cast("int"))).otherwise(F.array().cast("array<struct<field:string,score:double,evidence:array<string>>>"))
+    return _amount(spark, d).withColumn("fields", fields).withColumn("industries", F.when(F.col("k") % 2 == 0, F.array(F.lit("식품"), F.lit("농수산"))).otherwise(F.array().cast("array<string>"))).withColumn("end", F.when(F.col("k") % 3 > 0, F.concat(F.lit("2026-12-"), F.lpad((F.col("k") % 28 + 1).cast("string"), 2, "0"))))
 
 
 _NAMES = "CASE WHEN k % 5 = 0 THEN [] ELSE list_slice(['통번역', '물류비', '금융·보험'], 1, k % 4) END"
@@ -196,7 +195,7 @@ def fn25_summary(spark, d):
 SELECT k, name || ' | 접수 2026-11-01~' || coalesce({_END}, '상시') || ' | 지원 ' || {_SHOWN} || ' | 분야 ' || array_to_string(names, '·') || ' | 신청 이메일 제출, 문서24 | https://x/' || k AS fact FROM f""")
 def fn26_fact_line(spark, d):
     methods = F.array(F.lit("이메일 제출"), F.lit("문서24"))
-    return _fielded(spark, d).select("k", tx.fact_line(F.col("name"), F.lit("2026-11-01"), F.col("end"), F.col("amount"), F.col("fields"), methods, F.concat(F.lit("https://x/"), K)).alias("fact"))
+    return _fielded(spark, d).select("k", tx.fact_line(F.col("name"), F.lit("2026-11-01"), F.col("end"), F.col("amount"), F.col("fields"), methods, F.concat(F.lit("https://x/"), F.col("k"))).alias("fact"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_acctbal FROM customer)
@@ -205,9 +204,9 @@ format('{:,}', CAST(round_even(abs(c_acctbal), 0) AS BIGINT)) || '달러 / 직
 def fn27_profile_brief(spark, d):
     c = read(spark, d, "customer").withColumn("k", F.col("c_custkey"))
     profile = F.struct(
-        F.lit("전남").alias("region"), F.lit("중소기업").alias("size"), F.array(F.lit("농산"), F.when(K % 2 == 0, "공예").otherwise("의료")).alias("industries"),
-        F.concat("c_mktsegment", F.lit(" sales"), K, F.lit("@mail.example.com")).alias("items"), F.lit("베트남").alias("target_countries"), F.lit("수출 초보").alias("export_stage"),
-        F.abs("c_acctbal").alias("export_usd"), (K % 3 == 0).alias("direct_export"), F.array(F.lit("통번역"), F.lit("물류비")).alias("needs"),
+        F.lit("전남").alias("region"), F.lit("중소기업").alias("size"), F.array(F.lit("농산"), F.when(F.col("k") % 2 == 0, "공예").otherwise("의료")).alias("industries"),
+        F.concat("c_mktsegment", F.lit(" sales"), F.col("k"), F.lit("@mail.example.com")).alias("items"), F.lit("베트남").alias("target_countries"), F.lit("수출 초보").alias("export_stage"),
+        F.abs("c_acctbal").alias("export_usd"), (F.col("k") % 3 == 0).alias("direct_export"), F.array(F.lit("통번역"), F.lit("물류비")).alias("needs"),
     )
     return c.select("k", tx.profile_brief(profile).alias("brief"))
 
@@ -227,9 +226,9 @@ def fn4_sub_key(spark, d):
 
 @query("SELECT k, CASE k % 3 WHEN 0 THEN 'a' || k || ',b' WHEN 1 THEN 'b,a' || k || ',c' ELSE 'a' || k || ',b,c' END AS firsts FROM p")
 def st2_ordered_union(spark, d):
-    own, one = F.concat(F.lit("a"), K), lambda *v: F.array(*v)
-    a = F.when(K % 3 == 0, one(own, own)).when(K % 3 == 1, one(F.lit("b"), own)).otherwise(one(own, F.lit("b")))
-    b = F.when(K % 3 == 0, one(F.lit("b"), own)).otherwise(one(F.lit("b"), F.lit("c"), F.lit("e")))
+    own, one = F.concat(F.lit("a"), F.col("k")), lambda *v: F.array(*v)
+    a = F.when(F.col("k") % 3 == 0, one(own, own)).when(F.col("k") % 3 == 1, one(F.lit("b"), own)).otherwise(one(own, F.lit("b")))
+    b = F.when(F.col("k") % 3 == 0, one(F.lit("b"), own)).otherwise(one(F.lit("b"), F.lit("c"), F.lit("e")))
     return parts(spark, d).select("k", listed(tx.ordered_union(a, b, 3)).alias("firsts"))
 
 
@@ -239,7 +238,7 @@ STATE = Cases(("접수중",), ("접수예정",), ("접수마감",), ("온라인
 
 
 def _stated(spark, d) -> DataFrame:
-    return parts(spark, d).select("k", K.cast("string").alias("project_no"), STATE.col(0).alias("status"), F.when(K % 6 == 0, (K + 1).cast("string")).alias("dup_of"), F.when(K % 4 > 0, F.date_add(F.to_date(F.lit(TODAY)), (K % 60 - 20).cast("int")).cast("string")).alias("receipt_end"))
+    return parts(spark, d).select("k", F.col("k").cast("string").alias("project_no"), STATE.col(0).alias("status"), F.when(F.col("k") % 6 == 0, (F.col("k") + 1).cast("string")).alias("dup_of"), F.when(F.col("k") % 4 > 0, F.date_add(F.to_date(F.lit(TODAY)), (F.col("k") % 60 - 20).cast("int")).cast("string")).alias("receipt_end"))
 
 
 _STATED = f"s AS (SELECT k, CAST(k AS VARCHAR) AS project_no, {STATE.sql(0)} AS status, CASE WHEN k % 6 = 0 THEN CAST(k + 1 AS VARCHAR) END AS dup_of, CASE WHEN k % 4 > 0 THEN CAST(CAST(DATE '{TODAY}' + CAST(k % 60 - 20 AS INTEGER) AS DATE) AS VARCHAR) END AS receipt_end FROM p)"
@@ -272,8 +271,8 @@ AND (k % 5 <> 0 OR contains(lower(name), 'an') OR contains('물류비', 'an'))""
 def fl5_subscriber_filter(spark, d):
     some = lambda *v: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")
     x = parts(spark, d).select(
-        "k", (60 + K % 40).cast("int").alias("score"), F.when(K % 3 == 0, 60).when(K % 3 == 1, 85).cast("int").alias("min_score"), F.when(K % 2 == 0, "kotra").otherwise("at").alias("source"),
-        F.when(K % 4 == 0, some()).when(K % 4 == 1, some("at", "kotra")).otherwise(some("kotra")).alias("sources"), F.when(K % 5 == 0, some("AN")).alias("keywords"),
+        "k", (60 + F.col("k") % 40).cast("int").alias("score"), F.when(F.col("k") % 3 == 0, 60).when(F.col("k") % 3 == 1, 85).cast("int").alias("min_score"), F.when(F.col("k") % 2 == 0, "kotra").otherwise("at").alias("source"),
+        F.when(F.col("k") % 4 == 0, some()).when(F.col("k") % 4 == 1, some("at", "kotra")).otherwise(some("kotra")).alias("sources"), F.when(F.col("k") % 5 == 0, some("AN")).alias("keywords"),
         F.upper("name").alias("title"), F.lit("").alias("summary"), some("물류비").alias("fields"), F.lit(None).cast("string").alias("section_text"),
     )
     return tables.subscriber_filter(x).select("k")
@@ -295,7 +294,7 @@ ORIGIN = Cases(("JB-", "jbexport"), ("AT-", "at"), ("KOTRA-", "kotra"), ("BIZ-",
 
 @query(f"SELECT k, {ORIGIN.sql(1)} AS source FROM p")
 def fl9_source(spark, d):
-    return parts(spark, d).select("k", tx.source_of(F.concat(ORIGIN.col(0), K)).alias("source"))
+    return parts(spark, d).select("k", tx.source_of(F.concat(ORIGIN.col(0), F.col("k"))).alias("source"))
 
 
 FILE = Cases(("공고.hwp",), ("예산.XLSX",), ("표.xls",), ("매크로.xlsm",), ("안내.pdf",), (None,))
@@ -315,7 +314,7 @@ SITE = Cases(  # id, title, period, status
 @query(f"""SELECT 'BIZ-{{0}}' || k AS project_no, trim(regexp_replace({SITE.sql(1)}, '\\s+', ' ', 'g')) AS title, name || ' · 부서' AS subtitle, {SITE.sql(4)} AS receipt_start, {SITE.sql(5)} AS receipt_end,
 {SITE.sql(6)} AS status, 'https://b/' || k AS url, 'a@b.kr' AS email FROM p WHERE k % 4 <> 2""".replace("{0}", ""))
 def fl7_standardize(spark, d):
-    x = parts(spark, d).select(K.alias("no"), SITE.col(1).alias("t"), SITE.col(2).alias("p"), SITE.col(3).alias("s"), F.col("name").alias("a"), F.lit(" 부서 ").alias("b"), F.lit("a@b.kr").alias("m"))
+    x = parts(spark, d).select(F.col("k").alias("no"), SITE.col(1).alias("t"), SITE.col(2).alias("p"), SITE.col(3).alias("s"), F.col("name").alias("a"), F.lit(" 부서 ").alias("b"), F.lit("a@b.kr").alias("m"))
     y = tables.standardize_listing(x.withColumn("no", F.col("no").cast("string")), "bizinfo", "BIZ-", {"id": "no", "title": "t", "period": "p", "status": "s", "subtitle1": "a", "subtitle2": "b", "email": "m"}, "https://b/")
     return y.select("project_no", "title", "subtitle", "receipt_start", "receipt_end", "status", F.col("detail_url").alias("url"), F.col("contact")["이메일"].alias("email"))
 
@@ -337,7 +336,7 @@ ADDRESS = Cases(("@mail.kr", "active", None, 1), ("@mail", "active", None, 0), (
 
 
 def _subscribers(spark, d) -> DataFrame:
-    return parts(spark, d).select("k", F.concat(F.lit("s"), K, ADDRESS.col(0)).alias("email"), ADDRESS.col(1).alias("status"), F.lit("old").alias("conditions"), ADDRESS.col(2).alias("pending"))
+    return parts(spark, d).select("k", F.concat(F.lit("s"), F.col("k"), ADDRESS.col(0)).alias("email"), ADDRESS.col(1).alias("status"), F.lit("old").alias("conditions"), ADDRESS.col(2).alias("pending"))
 
 
 @query(f"SELECT k, CASE WHEN k % 6 = 4 THEN 'new' ELSE 'old' END AS conditions FROM p WHERE {ADDRESS.sql(3)} = 1")
@@ -358,7 +357,7 @@ def jo6_semi_chunks(spark, d):
 @query(f"""SELECT k, CASE WHEN k % 2 = 0 AND {ADDRESS.sql(3)} = 1 THEN 'sent' ELSE 'rejected' END AS what FROM p""")
 def jo9_eligible(spark, d):
     s = _subscribers(spark, d)
-    messages = s.select("k", F.concat(F.lit(" "), F.upper(F.when(K % 2 == 0, F.col("email")).otherwise("nobody@x.kr"))).alias("to"))
+    messages = s.select("k", F.concat(F.lit(" "), F.upper(F.when(F.col("k") % 2 == 0, F.col("email")).otherwise("nobody@x.kr"))).alias("to"))
     good, bad = tables.eligible_messages(messages, s)
     return good.select("k", F.lit("sent").alias("what")).unionAll(bad.select("k", F.lit("rejected").alias("what")))
 
@@ -422,14 +421,14 @@ def wn2_deadline_order(spark, d):
 
 @query(f"""WITH {PARTS}, {_STATED}, x AS (SELECT k, CAST(receipt_end AS DATE) - DATE '{TODAY}' AS d, k % 7 AS score FROM s), r AS (SELECT k, row_number() OVER (ORDER BY coalesce(d, 999), score DESC, k % 3, CAST(k AS VARCHAR)) AS n FROM x) SELECT k FROM r WHERE n <= 100""")
 def wn4_alert_order(spark, d):
-    x = _stated(spark, d).withColumn("d_day", tx.d_day(F.col("receipt_end"), TODAY)).withColumn("score", K % 7).withColumn("profile_id", K % 3)
+    x = _stated(spark, d).withColumn("d_day", tx.d_day(F.col("receipt_end"), TODAY)).withColumn("score", F.col("k") % 7).withColumn("profile_id", F.col("k") % 3)
     return tables.order_alerts(x).limit(100).select("k")
 
 
 @query(f"""WITH {PARTS}, x AS (SELECT k, k % 50 AS g, CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 99 ELSE 0 END AS o, 'd' || k % 3 AS f FROM p) SELECT g, arg_min(k, (o, f, CAST(k AS VARCHAR))) AS k FROM x GROUP BY g""")
 def wn6_representative(spark, d):
     source = Cases(("jbexport",), ("at",), ("kotra",), ("other",), ("jexport",))
-    x = parts(spark, d).select("k", (K % 50).alias("g"), K.cast("string").alias("project_no"), source.col(0).alias("source"), F.concat(F.lit("d"), K % 3).alias("first_seen"))
+    x = parts(spark, d).select("k", (F.col("k") % 50).alias("g"), F.col("k").cast("string").alias("project_no"), source.col(0).alias("source"), F.concat(F.lit("d"), F.col("k") % 3).alias("first_seen"))
     return tables.representative_rank(x).groupBy("g").agg(F.min_by("k", "rank_key").alias("k"))
 
 
@@ -451,18 +450,18 @@ def st1_union_sources(spark, d):
 @query("SELECT k AS page_id, '접수기간' AS key, '2026 ' || k AS value FROM p UNION ALL SELECT k, '담당', name FROM p UNION ALL SELECT k, '분류', 'b' FROM p WHERE k % 2 = 0")
 def fn29_html_pairs(spark, d):
     page = F.concat(
-        F.lit("<table><tr><th>접수기간 :</th><td> 2026\n"), K, F.lit("</td><th>빈 것</th></tr><tr><th>x</th></tr></table><dl><dt>담당</dt><dd>"), F.col("name"), F.lit("</dd></dl>"),
-        F.when(K % 2 == 0, "<dl><dt>분류</dt><dd>a</dd><dt>분류</dt><dd>b</dd></dl>").otherwise(""),
+        F.lit("<table><tr><th>접수기간 :</th><td> 2026\n"), F.col("k"), F.lit("</td><th>빈 것</th></tr><tr><th>x</th></tr></table><dl><dt>담당</dt><dd>"), F.col("name"), F.lit("</dd></dl>"),
+        F.when(F.col("k") % 2 == 0, "<dl><dt>분류</dt><dd>a</dd><dt>분류</dt><dd>b</dd></dl>").otherwise(""),
     )
-    parsed = html.parse_html(parts(spark, d).select(K.alias("page_id"), page.alias("page")), "page_id", "page")
+    parsed = html.parse_html(parts(spark, d).select(F.col("k").alias("page_id"), page.alias("page")), "page_id", "page")
     return html.html_key_values(parsed, "page_id", " :").select("page_id", F.col("k").alias("key"), F.col("v").alias("value"))
 
 
 def _cells(spark, d) -> DataFrame:
     """Two rows of three: a title over all, then a and b over two columns, then a later cell over the last place."""
     cell = lambda o, r, c, h, w, t: F.struct(F.lit(o).alias("cell_order"), F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(h).alias("row_span"), F.lit(w).alias("col_span"), t.alias("text"))
-    own = F.concat(F.lit("a"), K)
-    x = parts(spark, d).select(K.cast("string").alias("doc_id"), F.lit(1).alias("table_no"), F.explode(F.array(cell(0, 0, 0, 1, 3, F.lit("제목")), cell(1, 1, 0, 1, 1, own), cell(2, 1, 1, 1, 2, F.lit("b")), cell(3, 1, 2, 0, 0, F.when(K % 2 == 0, "c").otherwise("b")))).alias("c"))
+    own = F.concat(F.lit("a"), F.col("k"))
+    x = parts(spark, d).select(F.col("k").cast("string").alias("doc_id"), F.lit(1).alias("table_no"), F.explode(F.array(cell(0, 0, 0, 1, 3, F.lit("제목")), cell(1, 1, 0, 1, 1, own), cell(2, 1, 1, 1, 2, F.lit("b")), cell(3, 1, 2, 0, 0, F.when(F.col("k") % 2 == 0, "c").otherwise("b")))).alias("c"))
     return x.select("doc_id", "table_no", "c.*")
 
 
@@ -473,5 +472,5 @@ def fn32_expand_cells(spark, d):
 
 @query("SELECT CAST(k AS VARCHAR) AS doc_id, '앞' || chr(10) || '제목' || chr(10) || 'a' || k || ' | b' || CASE WHEN k % 2 = 0 THEN ' | c' ELSE '' END || chr(10) || '뒤 [표 1]' AS text FROM p")
 def fn33_inline_tables(spark, d):
-    x = parts(spark, d).select(K.cast("string").alias("doc_id"), F.posexplode(F.array(F.lit("앞"), F.lit("[표 1]"), F.lit("뒤 [표 1]"))).alias("line_no", "text"))
+    x = parts(spark, d).select(F.col("k").cast("string").alias("doc_id"), F.posexplode(F.array(F.lit("앞"), F.lit("[표 1]"), F.lit("뒤 [표 1]"))).alias("line_no", "text"))
     return lines.inline_tables(x, lines.expand_cells(_cells(spark, d)))
