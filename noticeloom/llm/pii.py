@@ -88,6 +88,9 @@ _AT = r"(?:[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*|[ ]+at[ ]+|[ ]*@[ ]*)"
 _DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+|\.)"
 #: A local part, a disguised or plain at, labels with disguised or plain dots between; the last label is letters.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_%+-]{{0,63}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?P<at>{_AT})[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,5}}(?P<dot>{_DOT})[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
+#: A name with a dot or underscore; what stands before an address; the two with a plain at and dot.
+_DOTTED, _ASKED = re.compile(r"[A-Za-z]+(?:[._][A-Za-z0-9]+)+"), re.compile(r"\b(?:e-?mail|mail|write to|contact|reach(?: me)?(?: at)?|address)[ :]*$", re.I)
+_SAID_AT = re.compile(r"(?:[A-Za-z][._][A-Za-z0-9]+|\b(?:e-?mail|mail|write to|contact|reach|address)[ :][A-Za-z0-9 :._%+-]{1,40}) +at +[A-Za-z0-9-]+\.[A-Za-z]{2}", re.I)
 _DOT_PART, _LABEL = re.compile(_DOT, re.I), re.compile(r"[A-Za-z0-9-]*")
 _IP_DOT = re.compile(r"(?<=[0-9])(?:[ ]*[\[({][ ]*(?:dot|\.)[ ]*[\])}][ ]*|[ ]+dot[ ]+)(?=[0-9])", re.I)
 
@@ -102,7 +105,7 @@ def _suspicious(text: str) -> bool:
     if _ODD.search(text):
         return True
     low = text.lower()
-    return any(x in low for x in _HINTS) and bool(" dot " in low or "@ " in low or " @" in low or _SPELLED.search(text)) or bool(_BRACKETED.search(low))
+    return any(x in low for x in _HINTS) and bool(" dot " in low or "@ " in low or " @" in low or _SPELLED.search(text)) or bool(_BRACKETED.search(low)) or (" at " in low and bool(_SAID_AT.search(text)))
 
 Mapped = tuple[str, list[int], list[int]]
 
@@ -155,8 +158,8 @@ def at_dot(x: Mapped) -> Mapped:
     for run in _DISGUISED.finditer(x[0]):
         at, text = run.span("at"), run.group()
         plain_at = run["at"] == "@"
-        if run["at"].strip().lower() == "at" and run["dot"] == ".":
-            continue  # "look at example.com" is prose
+        if run["at"].strip().lower() == "at" and run["dot"] == "." and not (_DOTTED.fullmatch(x[0], run.start(), at[0]) or _ASKED.search(x[0], max(0, run.start() - 20), run.start())):
+            continue  # "look at example.com" is prose; "john.smith at example.com" is not, nor what "mail" stands before
         if _LABEL.match(x[0], at[1])[0].lower() in _PROSE:
             continue
         if plain_at and " dot " not in text.lower() and not re.search(r"[\[({<]", text):

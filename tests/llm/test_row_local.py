@@ -77,7 +77,7 @@ def test_base_detectors_are_the_patterns():
 @pytest.mark.parametrize(
     ("text", "found"),
     [
-        ("mail bob.smith (at) mail8 [dot] example dot com now", ["bob.smith (at) mail8 [dot] example dot com"]), ("john at example dot com", ["john at example dot com"]), ("look at example.com", []), ("look at the dot com", []),
+        ("mail bob.smith (at) mail8 [dot] example dot com now", ["bob.smith (at) mail8 [dot] example dot com"]), ("john at example dot com", ["john at example dot com"]), ("look at example.com", []), ("ask john.smith at example.com soon", ["john.smith at example.com"]), ("mail bob at example.com", ["bob at example.com"]), ("version 2.0 at example.com", []), ("we met at example.com", []), ("look at the dot com", []),
         ("４０４１ 8949 7460 8795", ["４０４１ 8949 7460 8795"]), ("call plus one nine eight eight five five five two four eight five now", ["plus one nine eight eight five five five two four eight five"]),
         ("at 42 dot 144 dot 35 dot 254 x", ["42 dot 144 dot 35 dot 254"]), ("one two three four", []), ("4041​8949​74608795", ["4041​8949​74608795"]),
     ],
@@ -92,6 +92,25 @@ def test_pii_rows(spark):
     assert pii.masked(odd(spark, [(5, "a@b.co +1 (988) 555-2485", "s"), (6, None, None)])).select("text", "score").collect() == [("<email> <phone>", 0.5), (None, 0.5)]
 
 
+def test_pii_contract_columns(spark):
+    import hashlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got, seen = {x.doc_id: x for x in pii.op9_pii(spark, "/root/testdata/sf0.001").collect()}, 0
+    for d in docs:
+        text, base = d.text or "", []
+        for k, rx in enumerate(RX):
+            for m in re.finditer(rx, text):
+                n = re.sub("[^0-9]", "", m.group())
+                if [True, k == 1 and all(int(x) <= 255 for x in m.group().split(".")), 12 <= len(n) <= 19 and pii.luhn(n), 9 <= len(n) <= 15][k]:
+                    base.append((m.start(), k, m.end()))
+        x, spans = got[d.doc_id], [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base)]
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(b[1] == i for b in base) for i in range(4)]
+        assert x.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(x.spans.split(","))
+        seen += len(base)
+    assert seen > 5
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +280,18 @@ def test_mixing(spark):
     assert all(x.copies == 0 and x.target == 0 for x in mixing.mix(mixing.sized(odd(spark, [(1, None, "a"), (2, "", "b")]))).collect())
 
 
+def test_mixing_through_the_tree(spark, monkeypatch):
+    """Buckets of few documents, so that residuals of many parts meet in several levels."""
+    monkeypatch.setattr(mixing, "BUCKET", 12)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    r = random.Random(9)
+    rows = [(i, "w " * r.randrange(20, 40), r.choice(["a"] * 6 + ["b", None])) for i in range(1500)]
+    sizes = mixing.sized(odd(spark, rows))
+    sums = {x.source: (x.target, x.taken) for x in mixing.mix(sizes).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    assert len(sums) == 3 and all(abs(taken - target) <= 40 for target, taken in sums.values())
+    assert mixing.mix(sizes).exceptAll(mixing.mix(sizes)).count() == 0
+
+
 def test_pivotal_keeps_words_and_expectation():
     n, p = 40, 0.3
     hits = np.zeros(n)
