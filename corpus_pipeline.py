@@ -32,12 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest id; one row of each document."""
+    """One document of each group of similar ones: the one with the smallest id; equal rows of an id once.
+
+    An id with several texts goes if none of them stands for its group. Rows without an id stay."""
     found = staged(jaccard_join.jaccard_components(docs, n=SHINGLE, threshold=SIMILAR).where("doc_id IS NOT NULL"))
-    gone = _sized(found.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = _sized(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"))
     often = _sized(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti")
-    one = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+    one = Window.partitionBy("doc_id", "text").orderBy("source", "lang")
     repeated = left.join(often, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
     return left.join(often, "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
@@ -49,7 +51,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = docs.withColumn("__row", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
+    key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("d"), "doc_id")).otherwise(F.concat(F.lit("n"), F.monotonically_increasing_id()))
+    rows = docs.select(*COLUMNS).withColumn("__row", key)
+    # a row without an id gets a number, which must be the same in both places where the rows are read
+    rows = staged(rows) if docs.where("doc_id IS NULL").limit(1).count() else rows
     sizes = mixing.sized(rows.select(F.col("__row").alias("doc_id"), "source", "text"))
     copies = _sized(mixing.mix(sizes).where("copies > 0").select(F.col("doc_id").alias("__row"), "copies"))
     return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
