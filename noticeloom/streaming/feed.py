@@ -1,4 +1,8 @@
-"""The incremental feed: each arriving batch of listing rows updates the notices, and only new matches are emitted."""
+"""The incremental feed: arriving listing rows update the notices, and only new matches are emitted.
+
+A listing is what one source shows at one time. Its rows carry its id and how many notices it has, and may arrive over
+several batches in any order; only a listing that is complete is compared with what is known, so a source whose listing
+is cut short closes nothing, whatever other sources do."""
 
 from __future__ import annotations
 
@@ -27,17 +31,33 @@ class Tables:
     def start(self, notices: DataFrame, sent: DataFrame) -> None:
         self.write(notices, "notices", 0)
         self.write(sent, "sent", 0)
+        self.write(self.spark.createDataFrame([], LISTING), "pending", 0)
+
+
+def complete_listings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of listing rows the rows of each source's latest complete listing, and those that still wait for others.
+
+    A row without a project_no only says how many there are (none, say). Of rows that repeat a project_no the first by
+    source, title and attachments counts."""
+    sizes = rows.groupBy("source", "listing").agg(F.countDistinct("project_no").alias("n"), F.max("listing_rows").alias("of"))
+    latest = sizes.where("n >= of").groupBy("source").agg(F.max("listing").alias("latest"))
+    x = rows.join(latest, "source", "left")
+    now = x.where("listing = latest AND project_no IS NOT NULL").withColumn("__at", F.struct("source", "title", "attachment_names"))
+    return tables.first_seen_dedupe(now, "project_no", "__at").drop("__at", "latest"), x.where("latest IS NULL OR listing > latest").drop("latest")
 
 
 def run_batch(store: Tables, batch: DataFrame, batch_id: int, matcher, now: str) -> None:
-    """One batch of listing rows (project_no, source, title, status, attachment_names): first rows per id, upsert,
-    close what a source no longer lists, match, emit and remember what has not been sent.
+    """One batch of listing rows (``LISTING``): of complete listings first rows per id, upsert, close what a source no
+    longer lists, match, emit and remember what has not been sent; the other rows wait.
 
     ``matcher(notices) -> (sub_key, project_no, ...)``."""
     known = store.read("notices", batch_id, NOTICES)
     sent = store.read("sent", batch_id, SENT)
-    listing = tables.first_seen_dedupe(batch.withColumn("__at", F.monotonically_increasing_id()), "project_no", "__at").drop("__at")
-    diff = tables.snapshot_diff(known, listing, listing.select("source").distinct())
+    rows = store.read("pending", batch_id, LISTING).unionByName(batch.select(*(c.split()[0] for c in LISTING.split(", "))))
+    listing, waiting = complete_listings(rows)
+    done = rows.select("source", "listing").distinct().join(waiting.select("source", "listing").distinct(), ["source", "listing"], "left_anti").select("source").distinct()
+    store.write(waiting, "pending", batch_id + 1)
+    diff = tables.snapshot_diff(known, listing, done)
     x = known.join(listing.select("project_no", *(F.col(c).alias(f"new_{c}") for c in ("source", "title", "attachment_names"))), "project_no", "full_outer").join(diff.select("project_no", "action"), "project_no", "left")
     status = F.when(F.col("action") == "close", "접수마감").when(F.col("action").isin("analyze", "reopen"), "접수중").otherwise(F.col("status"))
     notices = x.select(
@@ -55,6 +75,7 @@ def run_batch(store: Tables, batch: DataFrame, batch_id: int, matcher, now: str)
 
 NOTICES = "project_no string, source string, title string, status string, attachment_names array<string>, first_seen string"
 SENT = "sub_key string, project_no string"
+LISTING = "project_no string, source string, title string, attachment_names array<string>, listing string, listing_rows int"
 
 
 def run_incremental(stream: DataFrame, store: Tables, matcher, now: str, checkpoint: str) -> DataStreamWriter:
