@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions import text as tx
 from noticeloom.lexicon import Lexicon
 from noticeloom.operators import extract, html, link, retrieve, score, tables
-from noticeloom.plans import notices, rules
+from noticeloom.plans import matches, notices, rules
 from noticeloom.sources import store
 
 TODAY = "1997-06-15"
@@ -439,5 +439,5 @@ SQL = {
 
 FLAGSHIP = "rt1_search"
 
-QUERIES |= rules.QUERIES | notices.QUERIES
-SQL |= rules.SQL | notices.SQL
+QUERIES |= rules.QUERIES | notices.QUERIES | matches.QUERIES
+SQL |= rules.SQL | notices.SQL | matches.SQL
