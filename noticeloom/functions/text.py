@@ -161,7 +161,7 @@ def bigrams(c: Column) -> Column:
 
 def count_literal(c: Column, word: str) -> Column:
     """Occurrences that do not overlap."""
-    return ((F.length(text(c)) - F.length(F.replace(text(c), F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return ((F.octet_length(text(c)) - F.octet_length(F.replace(text(c), F.lit(word), F.lit("")))) / len(word.encode())).cast("int")  # bytes need no scan
 
 
 def strip_bullet(c: Column) -> Column:

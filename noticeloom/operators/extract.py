@@ -116,8 +116,12 @@ def make_chunks(sections: DataFrame, docs: DataFrame, max_len: int = 500) -> Dat
 
 def extract_fields(title: Column, page: Column, doc: Column, lexicon: Lexicon = KOREAN) -> Column:
     """Array of (field, score, evidence): keyword counts weighted by where they stand; the best ones."""
-    title, page, doc = tx.text(title), tx.text(page), tx.text(doc)
-    page_lines = tx.lines(page)
+    bound = F.struct(tx.text(title).alias("title"), tx.text(page).alias("page"), tx.text(doc).alias("doc"), tx.lines(page).alias("lines"))
+    return tx.once(tx.once(bound, lambda b: _fields(b["title"], b["page"], b["doc"], b["lines"], lexicon)), lambda every: tables.top_fields(every))
+
+
+def _fields(title: Column, page: Column, doc: Column, page_lines: Column, lexicon: Lexicon) -> Column:
+    """Every field with its score, those that reach 6."""
     every = []
     for name, words in lexicon.fields.items():
         score, seen = F.lit(0.0), []
@@ -127,8 +131,12 @@ def extract_fields(title: Column, page: Column, doc: Column, lexicon: Lexicon =
             line = F.try_element_at(F.filter(page_lines, _holds(word)), F.lit(1))
             seen.append(F.when(t > 0, title).when(p > 0, line))
         evidence = F.slice(F.array_distinct(F.transform(F.array_compact(F.array(*seen)), lambda x: F.substring(x, 1, 160))), 1, 2)
-        every.append(F.when(score >= 6, F.struct(F.lit(name).alias("field"), F.round(score, 1).alias("score"), evidence.alias("evidence"))))
-    return tables.top_fields(F.array_compact(F.array(*every)))
+        every.append(tx.once(score, _kept(name, evidence)))
+    return F.array_compact(F.array(*every))
+
+
+def _kept(name: str, evidence: Column):
+    return lambda s: F.when(s >= 6, F.struct(F.lit(name).alias("field"), F.round(s, 1).alias("score"), evidence.alias("evidence")))
 
 
 def _holds(word: str):
@@ -196,8 +204,11 @@ def _candidates(text: Column) -> Column:
 
 def extract_amount(page: Column, doc: Column, lexicon: Lexicon = KOREAN) -> Column:
     """struct(max_manwon, special_max_manwon, special_countries, rate, evidence)."""
-    on_page = _candidates(page)
-    c = F.when(F.size(on_page) > 0, on_page).otherwise(_candidates(F.substring(tx.text(doc), 1, 20000)))
+    found = tx.once(_candidates(page), lambda on_page: F.when(F.size(on_page) > 0, on_page).otherwise(_candidates(F.substring(tx.text(doc), 1, 20000))))
+    return tx.once(found, lambda c: _amount(c, page, doc, lexicon))
+
+
+def _amount(c: Column, page: Column, doc: Column, lexicon: Lexicon) -> Column:
     top = lambda a: F.array_max(F.transform(a, lambda x: x["v"]))
     company = F.filter(c, lambda x: tx.has(x["line"], "기업당|개소당|운영사"))
     best = top(F.when(F.size(company) > 0, company).otherwise(c))
