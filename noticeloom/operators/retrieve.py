@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom import lexicon as lex
@@ -27,13 +27,21 @@ def build_index(chunks: DataFrame) -> Index:
     Texts are cut into grams once: the postings are kept, in memory or on disk, for all that read them. An index that
     outlives its session is written with ``save_index``."""
     grams = tx.bigrams(F.concat(tx.text(F.col("heading")), F.lit(" "), tx.text(F.col("text"))))
-    tokens = chunks.select("project_no", "seq", grams.alias("grams")).select("project_no", "seq", F.size("grams").alias("len"), F.explode("grams").alias("gram"))
-    postings = tokens.groupBy("project_no", "seq", "len", "gram").agg(F.count("*").alias("tf")).persist()
+    counted = chunks.select("project_no", "seq", tx.once(F.array_sort(grams), _counted).alias("grams"))
+    postings = counted.select("project_no", "seq", F.col("grams.len").alias("len"), F.explode("grams.runs").alias("run")).select("project_no", "seq", "len", "run.gram", "run.tf").persist()
     # statistics are one row each
     stats = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("tokens"))).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg"))
     return _index(postings, stats)
 
 
+def _counted(g: Column) -> Column:
+    """struct(len, runs: array of (gram, tf)) of a sorted array, within the row: no shuffle, and a chunk stays whole."""
+    new = lambda i: (i == 1) | (F.element_at(g, i) != F.element_at(g, F.greatest(i - 1, F.lit(1))))
+    starts = F.when(F.size(g) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(g), F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
+    runs = tx.once(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.element_at(g, at).alias("gram"), (F.coalesce(F.try_element_at(s, j + 2), F.size(g) + 1) - at).cast("long").alias("tf"))))
+    return F.struct(F.size(g).alias("len"), runs.alias("runs"))
+
+
 def _index(postings: DataFrame, stats: DataFrame) -> Index:
     df = postings.groupBy("gram").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("gram", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
