@@ -279,6 +279,7 @@ def title_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
 
     In order: a leading bracket, a trailing one, a city or county, "companies of ...", a province first of all."""
     cities = _literal_map(lexicon.city_province)
+    # fixed values: patterns
     town = r"([가-힣]{1,3})(시|군)(?=\s|$|[^가-힣])(\s*(?:센터|지사|지원본부))?"
     whose = rf"({_names(lexicon, '전남광주')})(?:특별자치도|특별자치시|광역시|특별시|도|시|군)?\s*(?:지역|소재|관내|도내)\s*(?:의\s*)?(?:중소|수출|유망|청년|농식품|창업|강소|제조|기업|업체)"
     begins = rf"^\s*({_names(lexicon, '전남광주')})(?:특별자치도|특별자치시|광역시|특별시|도)?(?:형)?\s"
@@ -303,6 +304,7 @@ def title_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
 
 def target_region(c: Column, lexicon: Lexicon = KOREAN) -> Column:
     """struct(region, evidence): of the first of 40 lines that says where a company must be, unless it is a venue."""
+    # fixed values: patterns
     where = rf"({_names(lexicon)})(?:특별자치도|특별자치시|광역시|특별시|도|시|군)?\s*(?:내\s*)?(?:에\s*)?(?:소재|본사|주사무소|사업장|관내|지역\s*(?:중소|수출)?기업)"
     near = lambda l: F.regexp_extract(l, rx(f".{{0,10}}?{where}.{{0,10}}"), 0)
     fits = F.filter(F.slice(lines(c), 1, 40), lambda l: (near(l) != "") & ~has(near(l), "개최|장소|위치|센터|행사장"))
