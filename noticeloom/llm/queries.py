@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
+from noticeloom.llm import chat_template, filter_audit, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
 
 QUERIES = {
     "op5_passage_chains": passage_chains.op5_passage_chains,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_chat_template": chat_template.op6_chat_template,
     "op9_pii": pii.op9_pii,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op8_topk_search": topk_search.OP8_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op6_chat_template": chat_template.OP6_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
