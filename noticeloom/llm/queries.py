@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import chat_template, filter_audit, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
+from noticeloom.llm import best_fit, chat_template, filter_audit, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
 
 QUERIES = {
     "op5_passage_chains": passage_chains.op5_passage_chains,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_best_fit": best_fit.op12_best_fit,
 }
 
 SQL = {
