@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import best_fit, chat_template, filter_audit, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, topk_search, vector_dedup
+from noticeloom.llm import best_fit, chat_template, filter_audit, jaccard_join, license_scan, mixing, packing, passage_chains, pii, quality_pu, source_divergence, topk_search, vector_dedup
 
 QUERIES = {
     "op5_passage_chains": passage_chains.op5_passage_chains,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_best_fit": best_fit.op12_best_fit,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op6_chat_template": chat_template.OP6_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_source_divergence": source_divergence.OP13_SQL,
 }
