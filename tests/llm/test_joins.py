@@ -1,12 +1,13 @@
 """Jaccard join, vectors, search, components and the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from noticeloom.llm import common, topk_search, vector_dedup
+from noticeloom.llm import common, mixing, topk_search, vector_dedup
 from noticeloom.llm import jaccard_join as jj
 
 
@@ -212,9 +213,8 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         ids = [r.doc_id for r in docs.select("doc_id").collect()]
         if i == 1:
-            assert len([x for x in ids if x is not None]) == len({x for x in ids if x is not None})
             c = {r.doc_id: r.component_id for r in jj.jaccard_components(before, 5, 80).collect()}
-            assert {x for x in ids if x is not None} == {v for k, v in c.items() if k is not None}
+            assert sorted(x for x in ids if x is not None) == sorted({v for k, v in c.items() if k is not None})
             kept = set(ids)
         if i == 2:
             assert set(ids) == kept
@@ -222,6 +222,52 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, before.limit(0), folder).count() == 0
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long, copies long, component_id string"
+
+
+def _line(seed, n=60):
+    r = random.Random(seed)
+    return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+
+def test_pipeline_tells_rows_of_an_id_apart(spark):
+    one, near = _line(1), _line(1)
+    near[30] = "other"
+    rows = [(1, one), (5, near), (5, _line(5)), (6, _line(6)), (6, _line(6)), (None, _line(1)), (None, _line(8)), (None, _line(8)), (3, one), (7, []), (8, []), (9, _line(9, 60_000)), (10, None)]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t), "en", "s", 7, 1, "x") for i, t in rows], DOCUMENT)
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    want = [(1, one), (5, _line(5)), (6, _line(6)), (None, _line(8)), (7, []), (8, []), (9, _line(9, 60_000)), (10, None)]
+    assert got == sorted((str(i), None if t is None else " ".join(t)) for i, t in want)
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_pipeline_mixes_rows_of_an_id_apart(spark, monkeypatch, broadcast):
+    """Whatever rows share an id, a source's words come near its target and no row is taken more than twice."""
+    monkeypatch.setattr(jj, "BROADCAST", broadcast)
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 2, None, k]), " ".join(_line(k % 150, 1 + k % 17)), "en", r.choice(["a", "a", "b", None])) for k in range(300)]
+    docs = spark.createDataFrame([(*x, 1, 3, "c") for x in rows], DOCUMENT)
+    took = Counter((x.doc_id, x.text, x.source) for x in corpus_pipeline.mixture(spark, docs, "").collect())
+    there = Counter((i, t, s) for i, t, _, s in rows)
+    assert all(n <= 2 * there[k] for k, n in took.items())
+    targets = {x.source: x.target for x in mixing.source_targets(mixing.sized(docs)).collect()}
+    for s, target in targets.items():
+        words = sum(n * len(t.split()) for (_, t, x), n in took.items() if x == s)
+        assert abs(words - target) <= 17
+    assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_runs_to_the_end(spark):
+    """Every kept token is packed once for each copy, over all stages."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).checkpoint()
+    pieces = corpus_pipeline.run(spark, folder).groupBy("doc_id").agg({"length": "sum"}).collect()
+    tokens = {x.doc_id: x["sum(doc_tokens)"] for x in corpus_pipeline.windows(spark, docs, folder).where("start = 0").groupBy("doc_id").agg({"doc_tokens": "sum"}).collect()}
+    assert {x.doc_id: x["sum(length)"] for x in pieces} == tokens and {x.doc_id for x in docs.collect()} == set(tokens)
+
+
 def test_pipeline_near_duplicates(spark):
     r = random.Random(9)
     word, texts = lambda: f"w{r.randrange(10**6)}", []
