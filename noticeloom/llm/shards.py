@@ -41,21 +41,24 @@ def unsqueezed(b: bytes, kind: str) -> np.ndarray:
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, word of each occurrence, words of each text)."""
     parts = pc.ascii_split_whitespace(texts)
+    edges = parts.offsets.to_numpy()
     coded = parts.flatten().dictionary_encode()
+    del parts
     words, at = coded.dictionary, coded.indices.to_numpy()
-    row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
     empty = pc.index(words, "").as_py()  # before leading and after trailing white space
     if empty >= 0:
-        keep = at != empty
-        at, row = at[keep], row[keep]
-        at = at - (at > empty)
+        none = at == empty
+        edges = edges - np.append(0, np.cumsum(none))[edges]
+        at = at[~none]
+        at -= at > empty
         words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
-    return words, at, np.bincount(row, minlength=len(texts))
+    return words, at, np.diff(edges)
 
 
 def count_matrix(at: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR (row starts, columns, counts) of occurrences listed row by row."""
-    key = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * max(width, 1) + at
+    key = np.repeat(np.arange(len(sizes), dtype=np.int64) * max(width, 1), sizes)
+    key += at
     key.sort()
     first = np.flatnonzero(np.diff(key, prepend=-1))
     counts = np.diff(np.append(first, len(key)))
@@ -78,8 +81,9 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.R
                 size += int(lengths[at : at + n].sum())
                 at += n
             if at < b.num_rows or size >= most:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
+                whole, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
+                yield whole
+                del whole
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -98,6 +102,7 @@ def count_shards(docs: DataFrame, text_col: str = "text", carried: tuple[str, ..
         for b in runs_of_texts(batches, shard_bytes):
             words, at, sizes = split_words(b.column(0))
             starts, columns, counts = count_matrix(at, sizes, len(words))
+            del at
             extra = [*b.columns[1:], *(measure(b.column(0)) if measure else ())]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, *extra)]
             blobs = [pa.array([squeezed(x)], pa.binary()) for x in (starts.astype(np.int64), columns.astype(np.int32), counts.astype(np.int32))]
