@@ -99,7 +99,7 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert filter_audit.audit_filters(none, labels).count() == 0
     assert best_fit.pack_best_fit(none, packing.default_tokenizer()).count() == 0
-    assert source_divergence.divergence(none, source_divergence.term_counts(none)).count() == 0
+    assert source_divergence.divergence(none).count() == 0
 
 
 def _divergence(rows, least=3):
@@ -128,8 +128,7 @@ def _divergence(rows, least=3):
 @pytest.mark.parametrize(("cells", "shard_bytes"), [(1 << 20, 32 << 20), (64, 9_000)])
 def test_divergence(spark, docs, monkeypatch, cells, shard_bytes):
     monkeypatch.setattr(source_divergence, "CELLS", cells)
-    kept = source_divergence.term_counts(docs, shard_bytes=shard_bytes)
-    found = source_divergence.divergence(docs, kept).collect()
+    found = source_divergence.divergence(docs, shard_bytes=shard_bytes).collect()
     got = {(r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in found}
     assert len(found) == len(got) and got == _divergence(_docs())
 
