@@ -1,78 +1,17 @@
-"""BM25 search over notice chunks by character bigrams, answers and notice ranking."""
+"""Answers and notice ranking from a search over notice chunks (``search_index``)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom import lexicon as lex
 from noticeloom.functions import text as tx
 from noticeloom.operators import tables
+from noticeloom.operators.search_index import Index, build_index, query_grams, search
 
 
-@dataclass
-class Index:
-    """postings(project_no, seq, len, gram, tf), idf(gram, df, idf), stats(n, avg)."""
-
-    postings: DataFrame
-    idf: DataFrame
-    stats: DataFrame
-
-
-def build_index(chunks: DataFrame) -> Index:
-    """Statistics of chunks (project_no, seq, heading, text); heading and text are indexed together.
-
-    Texts are cut into grams once: the postings are kept, in memory or on disk, for all that read them. An index that
-    outlives its session is written with ``save_index``."""
-    grams = tx.bigrams(F.concat(tx.text(F.col("heading")), F.lit(" "), tx.text(F.col("text"))))
-    counted = chunks.select("project_no", "seq", tx.once(F.array_sort(grams), _counted).alias("grams"))
-    postings = counted.select("project_no", "seq", F.col("grams.len").alias("len"), F.explode("grams.runs").alias("run")).select("project_no", "seq", "len", "run.gram", "run.tf").persist()
-    # statistics are one row each
-    stats = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("tokens"))).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg"))
-    return _index(postings, stats)
-
-
-def _counted(g: Column) -> Column:
-    """struct(len, runs: array of (gram, tf)) of a sorted array, within the row: no shuffle, and a chunk stays whole."""
-    new = lambda i: (i == 1) | (F.element_at(g, i) != F.element_at(g, F.greatest(i - 1, F.lit(1))))
-    starts = F.when(F.size(g) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(g), F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
-    runs = tx.once(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.element_at(g, at).alias("gram"), (F.coalesce(F.try_element_at(s, j + 2), F.size(g) + 1) - at).cast("long").alias("tf"))))
-    return F.struct(F.size(g).alias("len"), runs.alias("runs"))
-
-
-def _index(postings: DataFrame, stats: DataFrame) -> Index:
-    df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("gram", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, idf, stats)
-
-
-def save_index(index: Index, name: str, buckets: int = 200) -> None:
-    """Writes an index as tables of the warehouse, the postings bucketed by gram: searches do not shuffle them."""
-    index.postings.write.bucketBy(buckets, "gram").sortBy("gram").mode("overwrite").saveAsTable(f"{name}_postings")
-    index.stats.write.mode("overwrite").saveAsTable(f"{name}_stats")
-
-
-def load_index(spark: SparkSession, name: str) -> Index:
-    return _index(spark.table(f"{name}_postings"), spark.table(f"{name}_stats"))
-
-
-def query_grams(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", "project_no", F.explode(F.array_distinct(tx.bigrams(F.col("question")))).alias("gram"))
-
-
-def search(index: Index, queries: DataFrame, k: int = 6) -> DataFrame:
-    """(query_id, project_no, seq, score, rank) for queries (query_id, question, project_no); a query with a
-    project_no looks at that notice only, with the statistics of all. Ties go by chunk order."""
-    q = query_grams(queries).withColumnRenamed("project_no", "only").join(index.idf.select("gram", "idf"), "gram")
-    x = index.postings.join(q, "gram").where(F.col("only").isNull() | (F.col("only") == F.col("project_no")))
-    x = x.crossJoin(F.broadcast(index.stats))
-    f = F.col("tf")
-    part = F.col("idf") * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
-    scored = x.groupBy("query_id", "project_no", "seq").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "project_no", "seq")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+__all__ = ["Index", "answer", "build_context", "build_index", "extract_answer", "query_grams", "search", "search_notices"]
 
 
 def extract_answer(hits: DataFrame, chunks: DataFrame, index: Index, queries: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:

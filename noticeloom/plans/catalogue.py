@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text as tx
 from noticeloom.lexicon import Lexicon
-from noticeloom.operators import extract, html, link, retrieve, score, tables
+from noticeloom.operators import extract, html, link, retrieve, score, search_index, tables
 from noticeloom.plans import matches, notices, rules
 from noticeloom.sources import store
 
@@ -70,15 +70,32 @@ def rt1_search(spark, d):
     return retrieve.search(retrieve.build_index(_chunks(spark, d)), _questions(spark, d)).select("query_id", "project_no", "score", "rank")
 
 
-RT1 = f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS p, {_GRAMS.format(x="' ' || coalesce(text, '')")} AS g FROM documents),
+_RT1 = f"""WITH c AS MATERIALIZED (SELECT p, {_GRAMS.format(x="' ' || coalesce(text, '')")} AS g FROM ({{documents}})),
 n AS (SELECT count(*) AS n, avg(len(g)) AS avg FROM c), l AS (SELECT p, len(g) AS len FROM c),
-t AS (SELECT p, g, count(*) AS tf FROM (SELECT p, unnest(g) AS g FROM c) GROUP BY p, g),
+t AS MATERIALIZED (SELECT p, g, count(*) AS tf FROM (SELECT p, unnest(g) AS g FROM c) GROUP BY p, g),
 i AS (SELECT g, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY g),
 q AS (SELECT DISTINCT item_id, unnest({_GRAMS.format(x="coalesce(text, '')")}) AS g FROM benchmark),
 s AS (SELECT item_id AS query_id, t.p AS project_no, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg FROM n)))), 6) AS score
   FROM q JOIN t USING (g) JOIN i USING (g) JOIN l ON l.p = t.p GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, project_no) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT query_id, project_no, score, rank FROM r WHERE rank <= 6"""
+RT1 = _RT1.replace("{documents}", "SELECT CAST(doc_id AS VARCHAR) AS p, text FROM documents")
+
+
+def rt1_index_upkeep(spark, d):
+    """A search after an update: every hundredth notice is rewritten with its neighbour's source in front, every 101st
+    goes. The index is updated, its deleted chunks are dropped, and neither cuts a text again that did not change."""
+    chunks, number = _chunks(spark, d), F.col("project_no").cast("long")
+    index = search_index.build_index(chunks)
+    new = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("project_no"), F.lit(0).alias("seq"), F.lit("").alias("heading"), F.concat_ws(" ", "source", "lang", "text").alias("text"))
+    rewritten = new.where(number % 100 == 3)
+    gone = chunks.where(number % 101 == 5).select("project_no").join(rewritten.select("project_no"), "project_no", "left_anti")
+    index = search_index.update_index(index, rewritten.select("project_no").unionByName(gone), rewritten)
+    return retrieve.search(search_index.compact_index(index), _questions(spark, d)).select("query_id", "project_no", "score", "rank")
+
+
+RT1_UPKEEP = _RT1.replace("{documents}", """SELECT CAST(doc_id AS VARCHAR) AS p, CASE WHEN doc_id % 100 = 3 THEN concat_ws(' ', source, lang, text) ELSE text END AS text
+FROM documents WHERE doc_id % 100 = 3 OR doc_id % 101 <> 5""")
 
 
 def rt2_answer_lines(spark, d):
@@ -424,7 +441,7 @@ FROM s WHERE n_fails = 0 AND score >= 70 AND (age <= 7 OR d_day <= 14)"""
 
 
 QUERIES = {
-    "rt1_search": rt1_search, "rt2_answer_lines": rt2_answer_lines, "rt4_notice_ranking": rt4_notice_ranking, "ag4_idf": ag4_idf,
+    "rt1_search": rt1_search, "rt1_index_upkeep": rt1_index_upkeep, "rt2_answer_lines": rt2_answer_lines, "rt4_notice_ranking": rt4_notice_ranking, "ag4_idf": ag4_idf,
     "fn1_clean": fn1_clean, "fn3_mask": fn3_mask, "fn5_period": fn5_period, "fn15_title_keys": fn15_title_keys, "st3_similarity": st3_similarity, "ex12_fields": ex12_fields, "fn7_industries": fn7_industries,
     "fl3_publishable": fl3_publishable, "fl4_keyword": fl4_keyword, "ag1_counts": ag1_counts, "ag2_metrics": ag2_metrics, "ag8_contacts": ag8_contacts, "ag9_texts": ag9_texts,
     "wn3_due_soon": wn3_due_soon, "wn5_first": wn5_first, "wn8_digest": wn8_digest, "jo3_also": jo3_also, "jo4_new_items": jo4_new_items, "jo5_snapshot": jo5_snapshot, "jo7_resolve": jo7_resolve,
@@ -432,7 +449,7 @@ QUERIES = {
 }
 
 SQL = {
-    "rt1_search": RT1, "ag4_idf": AG4, "fn1_clean": FN1, "fn3_mask": FN3, "fn5_period": FN5, "fn15_title_keys": FN15, "st3_similarity": ST3, "ex12_fields": EX12, "fn7_industries": FN7,
+    "rt1_search": RT1, "rt1_index_upkeep": RT1_UPKEEP, "ag4_idf": AG4, "fn1_clean": FN1, "fn3_mask": FN3, "fn5_period": FN5, "fn15_title_keys": FN15, "st3_similarity": ST3, "ex12_fields": EX12, "fn7_industries": FN7,
     "fl3_publishable": FL3, "fl4_keyword": FL4, "ag1_counts": AG1, "ag2_metrics": AG2, "ag8_contacts": AG8, "ag9_texts": AG9, "wn3_due_soon": WN3, "wn5_first": WN5, "wn8_digest": WN8,
     "jo3_also": JO3, "jo4_new_items": JO4, "jo5_snapshot": JO5, "jo7_resolve": JO7, "ag11_sent_state": AG11, "io4_upsert": IO4, "sc_match": SC, "sc5_alerts": SC5,
 }
