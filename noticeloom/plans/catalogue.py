@@ -71,12 +71,12 @@ def rt1_search(spark, d):
 
 
 _RT1 = f"""WITH c AS MATERIALIZED (SELECT p, {_GRAMS.format(x="' ' || coalesce(text, '')")} AS g FROM ({{documents}})),
-n AS (SELECT count(*) AS n, avg(len(g)) AS avg FROM c), l AS (SELECT p, len(g) AS len FROM c),
-t AS MATERIALIZED (SELECT p, g, count(*) AS tf FROM (SELECT p, unnest(g) AS g FROM c) GROUP BY p, g),
-i AS (SELECT g, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY g),
-q AS (SELECT DISTINCT item_id, unnest({_GRAMS.format(x="coalesce(text, '')")}) AS g FROM benchmark),
+n AS (SELECT count(*) AS n, avg(len(g)) AS avg FROM c),
+t AS MATERIALIZED (SELECT p, g, len, count(*) AS tf FROM (SELECT p, len(g) AS len, unnest(g) AS g FROM c) GROUP BY p, g, len),
+i AS MATERIALIZED (SELECT g, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY g),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_GRAMS.format(x="coalesce(text, '')")}) AS g FROM benchmark),
 s AS (SELECT item_id AS query_id, t.p AS project_no, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg FROM n)))), 6) AS score
-  FROM q JOIN t USING (g) JOIN i USING (g) JOIN l ON l.p = t.p GROUP BY ALL),
+  FROM q JOIN t USING (g) JOIN i USING (g) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, project_no) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT query_id, project_no, score, rank FROM r WHERE rank <= 6"""
 RT1 = _RT1.replace("{documents}", "SELECT CAST(doc_id AS VARCHAR) AS p, text FROM documents")
