@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from noticeloom.llm.common import staged
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 
 def squeezed(x: np.ndarray) -> bytes:
