@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from noticeloom.operators import link, retrieve, tables
 from noticeloom.plans import catalogue
 from noticeloom.sources import store
-from noticeloom.streaming import feed
 
 FP = "project_no string, source string, end string, title_grams array<string>, doc_grams array<string>, stems array<string>, regions array<string>, rank_key struct<priority:int,first_seen:string,project_no:string>"
 
@@ -76,44 +75,6 @@ def test_profiles_and_listing(spark):
     assert (r.id, r.title, r.period) == ("9", "A & B", "2026-01-01 ~ 2026-02-01")
 
 
-def _matcher(n):
-    return n.select(F.lit("k").alias("sub_key"), "project_no")
-
-
-def test_feed_replay(spark, tmp_path):
-    t = feed.Tables(spark, str(tmp_path))
-    t.start(spark.createDataFrame([], feed.NOTICES), spark.createDataFrame([], feed.SENT))
-    first = spark.createDataFrame([("1", "s", "t", ["a"], "l1", 2), ("2", "s", "t", [], "l1", 2)], feed.LISTING)
-    second = spark.createDataFrame([("2", "s", "t", [], "l2", 2), ("3", "s", "t", [], "l2", 2), (None, "z", None, None, "l1", 0)], feed.LISTING)
-    emitted = lambda i: sorted(r.project_no for r in spark.read.parquet(f"{tmp_path}/emitted/v{i}").collect())
-    feed.run_batch(t, first, 0, _matcher, "d0")
-    feed.run_batch(t, second, 1, _matcher, "d1")
-    assert emitted(0) == ["1", "2"] and emitted(1) == ["3"]
-    feed.run_batch(t, second, 1, _matcher, "d1")
-    assert emitted(1) == ["3"]
-    state = {r.project_no: (r.status, r.first_seen) for r in t.read("notices", 2, feed.NOTICES).collect()}
-    assert state == {"1": ("접수마감", "d0"), "2": ("접수중", "d0"), "3": ("접수중", "d1")}
-
-
-def test_feed_of_a_stream_split_over_batches(spark, tmp_path):
-    """Files arrive one a batch: listings that are split close nothing before they are whole."""
-    t = feed.Tables(spark, f"{tmp_path}/tables")
-    t.start(spark.createDataFrame([], feed.NOTICES), spark.createDataFrame([], feed.SENT))
-    files = [
-        [("1", "a", "t", [], "l1", 3), ("2", "a", "t", [], "l1", 3)], [("3", "a", "t", [], "l1", 3), ("9", "b", "t", [], "l1", 1)],
-        [("1", "a", "t", [], "l2", 2)], [("4", "a", "t", [], "l2", 2), ("7", "b", "t", [], "l2", 5)],
-    ]
-    for i, rows in enumerate(files):
-        spark.createDataFrame(rows, feed.LISTING).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        stream = spark.readStream.schema(feed.LISTING).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-        feed.run_incremental(stream, t, _matcher, f"d{i}", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
-    emitted = [sorted(r.project_no for r in spark.read.parquet(f"{tmp_path}/tables/emitted/v{i}").collect()) for i in range(4)]
-    assert emitted == [[], ["1", "2", "3", "9"], [], ["4"]]
-    state = {r.project_no: r.status[2:] for r in t.read("notices", 4, feed.NOTICES).collect()}
-    assert state == {"1": "중", "2": "마감", "3": "마감", "4": "중", "9": "중"}
-    assert [r.project_no for r in t.read("pending", 4, feed.LISTING).collect()] == ["7"]
-
-
 def test_digest_and_batches(spark):
     m = spark.createDataFrame([("s", str(i), 100 - i, i) for i in range(17)], "sub_key string, project_no string, score int, d_day int")
     got = tables.digest_items(m).collect()
