@@ -8,8 +8,9 @@ corpus is one pass without a shuffle, and one count per gram.
 A search adds the largest contributions up to a bound per question and segment, scores the ``FIRST`` segments of the
 highest bounds, and then only those whose bound reaches the k-th best score found: what is left out cannot enter, ties
 included. A segment is scored in one task, for all questions that opened it, as a product of small matrices; what leaves
-the task is the ``k`` best of each. Question grams and chosen segments are broadcast when they are few (counted), else
-joined by a shuffle; postings never are, and of segments that no question opened nothing is shuffled.
+the task is the ``k`` best of each. Question grams and chosen segments are stored before they are joined, so Spark knows
+their size and broadcasts them only below its threshold; postings never are, and of segments that no question opened
+nothing is shuffled.
 
 An index is a folder of generations. ``update_index`` writes a generation of the chunks of changed notices, marks their
 old chunks deleted and corrects the statistics by what came and went; ``compact_index`` drops deleted postings from the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import text as tx
-from noticeloom.sources.staging import shared_folder, sized, spread, stage
+from noticeloom.sources.staging import shared_folder, spread, stage
 
 SEGMENT, FIRST = 128, 3
 #: Characters in a segment, about.
@@ -40,7 +41,8 @@ _ALONE = 0x1FFFFF  # stands after a word of one character
 
 @dataclass
 class Index:
-    """``folder``: generations ``g<n>`` of segments and, by version, ``deleted`` chunks, ``terms`` and ``totals``."""
+    """``folder``: generations ``g<n>`` of segments and, by version, ``terms``, ``deleted`` chunks if there are any, and a
+    row that names the generations and the totals."""
 
     spark: SparkSession
     folder: str
@@ -51,7 +53,12 @@ class Index:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return self.spark.read.schema(PART).parquet(*(r.path for r in self._read("generations").collect()))  # one row per generation
+        return self.spark.read.schema(PART).parquet(*self.manifest.paths)
+
+    @cached_property
+    def manifest(self):
+        """(n, tokens, paths, deleted)."""
+        return self._read("manifest").first()
 
     @property
     def blocks(self) -> DataFrame:
@@ -62,12 +69,12 @@ class Index:
     def members(self) -> DataFrame:
         """(segment, at, project_no, seq, len) of the chunks that are not deleted."""
         all_ = self.parts.where("gram IS NULL").select("segment", F.explode("members").alias("m")).select("segment", "m.*")
-        return all_.join(sized(self.deleted), ["segment", "at"], "left_anti")
+        return all_.join(self.deleted, ["segment", "at"], "left_anti") if self.manifest.deleted else all_
 
     @property
     def deleted(self) -> DataFrame:
         """(segment, at)."""
-        return self._read("deleted")
+        return self._read("deleted") if self.manifest.deleted else self.spark.createDataFrame([], "segment long, at int")
 
     @property
     def terms(self) -> DataFrame:
@@ -77,8 +84,7 @@ class Index:
     @cached_property
     def totals(self) -> tuple[int, int]:
         """(chunks, grams in them)."""
-        r = self._read("totals").first()
-        return r.n, r.tokens
+        return self.manifest.n, self.manifest.tokens
 
     @property
     def average(self) -> float:
@@ -164,17 +170,16 @@ def cut_segments(chunks: DataFrame, generation: int = 0, size: int = SEGMENT) ->
     return rows.mapInArrow(run, PART)
 
 
-def _version(index: Index, version: int, generations: DataFrame, deleted: DataFrame, terms: DataFrame, totals: DataFrame) -> Index:
+def _version(index: Index, version: int, paths: list[str], deleted: DataFrame | None, terms: DataFrame, totals: DataFrame) -> Index:
     new = Index(index.spark, index.folder, version)
-    for name, df in (("deleted", deleted), ("terms", terms), ("totals", totals), ("generations", generations)):
-        df.write.mode("overwrite").parquet(f"{index.folder}/v{version}/{name}")
+    if deleted is not None:
+        stage(deleted, f"{index.folder}/v{version}/deleted")
+    stage(terms, f"{index.folder}/v{version}/terms")
+    named = totals.select("n", "tokens", F.array(*map(F.lit, paths)).alias("paths"), F.lit(deleted is not None).alias("deleted"))
+    stage(named, f"{index.folder}/v{version}/manifest")
     return new
 
 
-def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in paths], "path string")
-
-
 def build_index(chunks: DataFrame, folder: str | None = None, size: int = SEGMENT) -> Index:
     """The index of chunks (project_no, seq, heading, text), written in ``folder``; without one, in the shared folder
     for as long as the application runs."""
@@ -184,7 +189,7 @@ def build_index(chunks: DataFrame, folder: str | None = None, size: int = SEGMEN
     parts = stage(cut_segments(spread(chunks), 0, size), path)
     terms = parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum(F.size("postings")).alias("df"))
     totals = parts.where("gram IS NULL").select(F.explode("members").alias("m")).agg(F.count("*").alias("n"), F.coalesce(F.sum("m.len"), F.lit(0)).alias("tokens"))
-    return _version(index, 0, _paths(spark, [path]), spark.createDataFrame([], "segment long, at int"), terms, totals)
+    return _version(index, 0, [path], None, terms, totals)
 
 
 def update_index(index: Index, changed: DataFrame, chunks: DataFrame, size: int = SEGMENT) -> Index:
@@ -194,16 +199,15 @@ def update_index(index: Index, changed: DataFrame, chunks: DataFrame, size: int
     spark, version = index.spark, index.version + 1
     path = f"{index.folder}/g{version}"
     came = stage(cut_segments(chunks, version, size), path)
-    gone = stage(index.members.join(sized(changed.select("project_no").distinct()), "project_no", "left_semi"))
-    touched = sized(gone.select("segment").distinct())
-    lost = index.blocks.join(touched, "segment", "left_semi").select("segment", "gram", F.explode("postings.at").alias("at")).join(sized(gone.select("segment", "at")), ["segment", "at"], "left_semi")
+    gone = stage(index.members.join(changed.select("project_no").distinct(), "project_no", "left_semi"))
+    touched = gone.select("segment").distinct()
+    lost = index.blocks.join(touched, "segment", "left_semi").select("segment", "gram", F.explode("postings.at").alias("at")).join(gone.select("segment", "at"), ["segment", "at"], "left_semi")
     change = came.where("gram IS NOT NULL").select("gram", F.size("postings").cast("long").alias("d")).unionAll(lost.select("gram", F.lit(-1).cast("long").alias("d")))
     terms = index.terms.select("gram", F.col("df").alias("d")).unionAll(change).groupBy("gram").agg(F.sum("d").alias("df")).where("df > 0")
     new = came.where("gram IS NULL").select(F.explode("members").alias("m")).select(F.lit(1).alias("n"), F.col("m.len").alias("len"))
     n, tokens = index.totals
     totals = new.unionAll(gone.select(F.lit(-1).alias("n"), (-F.col("len")).alias("len"))).agg((F.coalesce(F.sum("n"), F.lit(0)) + n).alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) + tokens).alias("tokens"))
-    generations = _paths(spark, [*(r.path for r in index._read("generations").collect()), path])
-    return _version(index, version, generations, index.deleted.unionAll(gone.select("segment", "at")), terms, totals)
+    return _version(index, version, [*index.manifest.paths, path], index.deleted.unionAll(gone.select("segment", "at")), terms, totals)
 
 
 def compact_index(index: Index) -> Index:
@@ -216,7 +220,7 @@ def compact_index(index: Index) -> Index:
     x = x.select("segment", "gram", alive("postings").alias("postings"), "impacts", alive("members").alias("members"))
     stage(x.where("gram IS NULL AND size(members) > 0 OR size(postings) > 0"), path)
     totals = spark.createDataFrame([index.totals], "n long, tokens long")
-    return _version(index, version, _paths(spark, [path]), spark.createDataFrame([], "segment long, at int"), index.terms, totals)
+    return _version(index, version, [path], None, index.terms, totals)
 
 
 def query_grams(queries: DataFrame) -> DataFrame:
@@ -286,7 +290,6 @@ class Hunt:
         """(query_id, project_no, seq, score) of the opened (query_id, segment): of each the ``k`` best chunks, and what
         rounding may put level with them."""
         index, k, average = self.index, self.k, self.index.average
-        opened = sized(opened)
         dead = index.deleted.groupBy("segment").agg(F.collect_set("at").alias("dead"))  # as many as a segment has chunks, at most
         parts = index.parts.drop("impacts").join(opened.select("segment").distinct(), "segment", "left_semi").join(dead, "segment", "left")
         parts = parts.withColumn("dead", F.when(F.col("gram").isNull(), F.col("dead")))
@@ -311,7 +314,7 @@ class Hunt:
         found = stage(self.best(self.scores(begun)))
         least = found.where(F.col("rank") == self.k).select("query_id", F.col("score").alias("least"))
         # a score is rounded, a bound is not
-        rest = stage(ranked.where(F.col("at") > first).join(sized(least), "query_id", "left").where("least IS NULL OR bound + 1e-6 >= least").select("query_id", "segment"))
+        rest = stage(ranked.where(F.col("at") > first).join(least, "query_id", "left").where("least IS NULL OR bound + 1e-6 >= least").select("query_id", "segment"))
         every = self.best(found.drop("rank").unionByName(self.scores(rest)))
         return every, begun.select("query_id", "segment").unionByName(rest)
 
@@ -320,13 +323,15 @@ def hunt(index: Index, queries: DataFrame, k: int = 6) -> Hunt:
     """Bounds for queries (query_id, question, project_no)."""
     grams = query_grams(queries).select("query_id", F.col("project_no").alias("only"), "gram").join(index.idf.select("gram", "idf"), "gram")
     this = Hunt(index, stage(grams), None, k)
+    some = this.grams.where("only IS NOT NULL").select("only").distinct()
     most = F.array_max(F.transform("impacts", lambda i: saturation(i["tf"], i["len"], index.average)))
-    x = index.blocks.select("segment", "gram", most.alias("most")).join(sized(this.grams), "gram")
+    x = index.blocks.select("segment", "gram", most.alias("most")).join(this.grams, "gram")
     bounds = x.groupBy("query_id", "only", "segment").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-    # a question about one notice looks at that notice's segments only
-    holders = index.members.select("segment", F.col("project_no").alias("only")).join(sized(this.grams.where("only IS NOT NULL").select("only").distinct()), "only", "left_semi").distinct()
-    own = bounds.where("only IS NOT NULL").join(sized(stage(holders)), ["segment", "only"], "left_semi")
-    this.bounds = bounds.where("only IS NULL").select("query_id", "segment", "bound").unionByName(own.select("query_id", "segment", "bound"))
+    this.bounds = bounds.where("only IS NULL").select("query_id", "segment", "bound")
+    if not some.isEmpty():  # a question about one notice looks at that notice's segments only
+        holders = index.members.select("segment", F.col("project_no").alias("only")).join(some, "only", "left_semi").distinct()
+        own = bounds.where("only IS NOT NULL").join(stage(holders), ["segment", "only"], "left_semi")
+        this.bounds = this.bounds.unionByName(own.select("query_id", "segment", "bound"))
     return this
 
 
