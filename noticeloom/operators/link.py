@@ -6,13 +6,15 @@ lost and frequent grams are hardly ever join keys."""
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom import lexicon as lex
 from noticeloom.functions import text as tx
 from noticeloom.operators import tables
+from noticeloom.sources.staging import stage
 
 
 def fingerprints(notices: DataFrame, docs: DataFrame) -> DataFrame:
@@ -100,39 +102,28 @@ def pair_score(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return x.select("a", "b", F.col("r_source").alias("b_source"), F.col("l_rank_key").alias("rank_a"), F.col("r_rank_key").alias("rank_b"), F.round("found.score", 6).alias("score"), "found.reason")
 
 
-def labels(pairs: DataFrame) -> DataFrame:
-    """(id, component) over (a, b): smallest-label propagation, with pointers followed each round, until nothing moves.
-    Each round is a checkpoint, so a lost executor costs one round."""
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
-    while True:
-        near = both.join(now, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = now.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = low.join(jump, "component").select("id", F.least("component", "next").alias("component"), "was").checkpoint()
-        moved = new.where("component <> was").limit(1).count()
-        now = new.select("id", "component")
-        if not moved:
-            return now
-
-
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy choice within one component, best score first: a representative takes one duplicate per source."""
-    of, took = {}, {}
-    for a, b, source, reason in pdf.sort_values(["score", "order_b", "order_a"], ascending=[False, True, True])[["a", "b", "b_source", "reason"]].itertuples(index=False):
-        if a not in of and b not in of and b not in took and source not in took.get(a, ()):
-            of[b] = (a, reason)
-            took.setdefault(a, set()).add(source)
-    return pd.DataFrame([(b, a, r) for b, (a, r) in of.items()], columns=["project_no", "dup_of", "dup_reason"])
-
-
 def assign_duplicates(scored: DataFrame) -> DataFrame:
-    """(project_no, dup_of, dup_reason). The rule reads the state of a component only, and a component is the few
-    notices that say the same."""
-    x = scored.join(labels(scored), F.col("a") == F.col("id"))
+    """(project_no, dup_of, dup_reason): greedy, the best score first, ties by the order of b, then of a. A notice is
+    a duplicate once, or a representative, which takes one duplicate per source.
+
+    In rounds: a pair that comes before all others left at either of its notices is taken, as nothing that is left could
+    come in its way, and all pairs that it rules out go. That gives what going through the pairs one by one gives,
+    whatever the size of a component. A round is a few joins on notices and is stored, so a lost executor costs one."""
     order = lambda c: F.concat_ws("\x01", F.format_string("%03d", F.col(f"{c}.priority")), f"{c}.first_seen", f"{c}.project_no")
-    x = x.select("component", "a", "b", "b_source", "score", "reason", order("rank_a").alias("order_a"), order("rank_b").alias("order_b"))
-    return x.groupBy("component").applyInPandas(lambda pdf: _assign(pdf), "project_no string, dup_of string, dup_reason string")
+    key = F.struct((-F.col("score")).alias("score"), order("rank_b").alias("b"), order("rank_a").alias("a"))
+    left = stage(scored.select("a", "b", "b_source", "reason", key.alias("key")))
+    taken = []
+    while not left.isEmpty():
+        at = left.select(F.explode(F.array("a", "b")).alias("node"), "key").groupBy("node").agg(F.min("key").alias("first"))
+        first = lambda side: at.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}"))
+        best = left.join(first("a"), "a").join(first("b"), "b").where("key = first_a AND key = first_b")
+        taken.append(stage(best.select("a", "b", "b_source", "reason")))
+        won = taken[-1]
+        duplicate, source = won.select("b"), won.select("a", "b_source")
+        left = left.join(duplicate, "b", "left_anti").join(duplicate.select(F.col("b").alias("a")), "a", "left_anti")
+        left = stage(left.join(won.select(F.col("a").alias("b")), "b", "left_anti").join(source, ["a", "b_source"], "left_anti"))
+    none = left.select("a", "b", "b_source", "reason")
+    return reduce(DataFrame.unionByName, taken, none).select(F.col("b").alias("project_no"), F.col("a").alias("dup_of"), F.col("reason").alias("dup_reason"))
 
 
 def mark_duplicates(notices: DataFrame, docs: DataFrame) -> DataFrame:
