@@ -34,6 +34,11 @@ def prepare_profiles(profiles: DataFrame, lexicon: Lexicon = KOREAN) -> DataFram
 def prepare_notices(notices: DataFrame, today: str, lexicon: Lexicon = KOREAN) -> DataFrame:
     """What matching reads of a notice, for open and closed representatives alike."""
     t, join = F.col("target"), lambda c: F.array_join(F.coalesce(c, _none()), " ")
+    based = "basis" in notices.schema["target"].dataType.names
+    basis = lambda k, part: tx.text(F.try_element_at(t["basis"], F.lit(k))[part]) if based else F.lit("")
+    via = lambda k: F.when(basis(k, "from") != "", F.concat(F.lit(", "), basis(k, "from"), F.lit(" 기준"))).otherwise("")
+    first_text = F.coalesce(F.try_element_at(t["text"], F.lit(1)), F.lit(""))
+    seated = F.try_element_at(F.filter(t["requires"], lambda r: r["rule"].contains("본사")), F.lit(1))["evidence"]
     return tables.representatives(notices).select(
         "project_no", "title", "source", "status", "receipt_end", "first_seen", "summary", "detail_url", "amount", "early_close",
         F.coalesce("fields", _none("array<struct<field:string,score:double,evidence:array<string>>>")).alias("fields"),
@@ -42,7 +47,9 @@ def prepare_notices(notices: DataFrame, today: str, lexicon: Lexicon = KOREAN) -
         tx.normalize_industries(t["industries"], lexicon).alias("n_industries"),
         tx.country_groups(F.concat(join(t["countries"]), F.lit(" "), tx.text(F.col("title"))), lexicon).alias("n_groups"),
         tx.country_groups(join(F.col("amount.special_countries")), lexicon).alias("special_groups"),
-        F.coalesce(F.try_element_at(t["text"], F.lit(1)), F.lit("")).alias("first_text"),
+        first_text.alias("first_text"), via("regions").alias("region_via"), via("industries").alias("industry_via"),
+        F.coalesce(F.nullif(basis("regions", "evidence"), F.lit("")), seated, F.lit("")).alias("region_evidence"),
+        F.coalesce(F.nullif(basis("industries", "evidence"), F.lit("")), first_text).alias("industry_evidence"),
         tx.d_day(F.col("receipt_end"), today).alias("d_day"),
         F.concat(join(F.transform(F.coalesce("sections", _none("array<struct<seq:int,name:string,text:string>>")), lambda s: s["text"])), tx.text(F.col("title"))).alias("all_text"),
     )
@@ -61,12 +68,12 @@ def hard_fails() -> Column:
     return F.concat(
         F.array_compact(F.array(
             fail(~tx.text(c("status")).contains(lex.OPEN) | (F.coalesce(c("d_day"), F.lit(0)) < 0), F.concat(F.lit("접수 마감 ("), F.coalesce("receipt_end", "status", F.lit("")), F.lit(")"))),
-            fail(region_off, F.concat(F.lit("지역 요건 불일치 (공고: "), F.array_join("n_regions", "·"), F.lit(" / 기업: "), tx.text(c("region")), F.lit(")"))),
+            fail(region_off, F.concat(F.lit("지역 요건 불일치 (공고: "), F.array_join("n_regions", "·"), c("region_via"), F.lit(" / 기업: "), tx.text(c("region")), F.lit(")")), c("region_evidence")),
         )),
         F.when(F.coalesce(c("listed"), F.lit(False)), listed).otherwise(_none(_NO_TEXTS)),
         F.array_compact(F.array(fail(has("types", lex.SME) & ~has("types", lex.DISTRIBUTOR) & tx.text(c("size")).isin("중견기업", "대기업"), F.concat(F.lit("중소기업 대상 사업 (기업규모: "), tx.text(c("size")), F.lit(")")), c("first_text")))),
         F.when(c("direct_export") == F.lit(False), direct).otherwise(_none(_NO_TEXTS)),
-        F.array_compact(F.array(fail(industry_off, F.concat(F.lit("업종 불일치 (공고: "), F.array_join("n_industries", "·"), F.lit(" / 기업: "), F.array_join("p_industries", "·"), F.lit(")"))))),
+        F.array_compact(F.array(fail(industry_off, F.concat(F.lit("업종 불일치 (공고: "), F.array_join("n_industries", "·"), c("industry_via"), F.lit(" / 기업: "), F.array_join("p_industries", "·"), F.lit(")")), c("industry_evidence")))),
     )
 
 
@@ -88,8 +95,8 @@ def reasons() -> Column:
         .otherwise(zero(F.concat(F.lit("필요 분야와 다름 (공고 분야: "), F.coalesce(F.nullif(F.array_join(names, ", "), F.lit("")), F.lit("미분류")), F.lit(")"))))
     )
     both = (F.size("n_industries") > 0) & (F.size("p_industries") > 0)
-    industry = F.when(both & F.arrays_overlap("p_compat", "n_industries"), plus(20, F.concat(F.lit("업종 일치: "), F.array_join(F.filter("n_industries", lambda x: F.array_contains(c("p_compat"), x)), "·")))).when(F.size("n_industries") == 0, plus(12, F.lit("업종 제한 없음")))
-    region = F.when((F.size("n_regions") > 0) & F.array_contains(c("n_regions"), tx.text(c("region"))), plus(10, F.concat(F.lit("지역 요건 충족 ("), tx.text(c("region")), F.lit(")")))).when(F.size("n_regions") == 0, plus(6, F.lit("지역 제한 명시 없음")))
+    industry = F.when(both & F.arrays_overlap("p_compat", "n_industries"), plus(20, F.concat(F.lit("업종 일치: "), F.array_join(F.filter("n_industries", lambda x: F.array_contains(c("p_compat"), x)), "·"), c("industry_via")), c("industry_evidence"))).when(F.size("n_industries") == 0, plus(12, F.lit("업종 제한 없음")))
+    region = F.when((F.size("n_regions") > 0) & F.array_contains(c("n_regions"), tx.text(c("region"))), plus(10, F.concat(F.lit("지역 요건 충족 ("), tx.text(c("region")), c("region_via"), F.lit(")")), c("region_evidence"))).when(F.size("n_regions") == 0, plus(6, F.lit("지역 제한 명시 없음")))
     country = (
         F.when(F.arrays_overlap("p_groups", "n_groups"), plus(10, F.concat(F.lit("희망 수출국 일치: "), shown(F.array_intersect("p_groups", "n_groups"))), c("title")))
         .when(F.size("n_groups") == 0, plus(5, F.lit("국가 제한 없음")))
