@@ -7,16 +7,12 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import noticeloom
 
 #: Executors get the library's functions with each task, whether or not they can import it.
 cloudpickle.register_pickle_by_value(noticeloom)
 
-#: Rows of a few narrow columns that are broadcast at most.
-BROADCAST = 500_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in ``spark.checkpoint.dir``; on a local master without one, in a folder of its own."""
@@ -43,11 +39,6 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """For a join with a staged table: broadcast if it has few rows, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a scan, over all cores: a small table may come in fewer partitions than there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
