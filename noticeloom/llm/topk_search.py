@@ -1,10 +1,13 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Each task holds one block of vectors, quantised to integers, as postings with a coarse impact, the rank of the
-component's size in the block. ``QUERIES`` queries take the segments of postings of one impact after the other, the
-largest first, and add contributions exactly; an unseen posting adds or takes off at most the largest component that its
-dimension has left. A query stops only on proof: when few vectors can still reach its k-th best lower bound or its
-floor; those are then scored exactly. When all segments are processed the sums are the scores, so every score is exact.
+Each task holds one block of vectors, quantised to integers, as posting lists: a list per dimension, of the rows in the
+order of their component. Twice the score of a vector x for a query q is |x|^2 + |q|^2 less the sum of (x_d - q_d)^2, so
+the impact of a posting is how far its component is from the query's, and it can only lower what is still possible. A
+query takes segments of one quantised impact after the other over all dimensions, the largest first: a stretch from each
+end of a list. What is left is an upper bound for every vector, read or not, all in exact integers. The vectors that
+stand best are scored now and then, which raises the k-th best score known. A query stops only on proof: when the vectors
+whose bound reaches that score cost no more to score exactly than the next segments to read. When all segments are
+processed the bounds are the scores.
 
 The query set and the vectors meet in blocks: vectors are dealt to as many groups as their number asks for. A query
 first asks its own group; the k-th best score found there is its floor in all others, where a block whose components
@@ -12,9 +15,9 @@ cannot add up to it is left at once and members below it drop out at the first p
 ranks are taken among those.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; rows without an id
 neither; a missing dimension counts as 0; repeated rows are candidates of their own, except those with the query's
-own id; fewer candidates than k give fewer rows; ties go to the smaller id; a vector with components of 2^31 or more
-after scaling stands beside the index and is scored with unbounded integers, as everything is where sums might not fit
-64 bits; a score beyond 64 bits is given as the nearest that fits, but ranked by what it is; an
+own id; query rows that share an id ask one by one, and the k best of all their answers are the list of that id; fewer
+candidates than k give fewer rows; ties go to the smaller id; a vector of length 2^25 or more after scaling stands beside
+the index and is scored with unbounded integers, as everything is for a query of that length; a score beyond 64 bits is given as the nearest that fits, but ranked by what it is; an
 empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -29,19 +32,10 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import read_table, staged
 
 K, SCALE, EVERY = 5, 256, 50
-#: Vectors a block, members at which rescoring ends a search, queries that go together.
-BLOCK, FEW, QUERIES = 8192, 512, 64
-#: Shares of a block's postings below which a component has a smaller impact, falling.
-IMPACTS = (0.6, 0.25)
-#: Sizes from which components stand beside the index, and from which sums may not be exact in double precision.
-WIDE, EXACT, LONG = 2.0**31, 2.0**52, 1 << 63
-
-
-def _sortable(s: int) -> bytes:
-    """Bytes in the order of the integers beyond 64 bits of one sign."""
-    n = (abs(s).bit_length() + 7) // 8
-    raw = n.to_bytes(4, "big") + abs(s).to_bytes(n, "big")
-    return raw if s > 0 else bytes(255 - c for c in raw)
+#: Vectors a block, queries that go together, levels of impact, vectors scored early at each level.
+BLOCK, QUERIES, LEVELS, PROBE = 8192, 64, 20, 32
+#: Squared length from which a vector stands beside the index: below it all sums are exact in double precision.
+WIDE, LONG = 2.0**50, 1 << 63
 
 
 def _integers(x: np.ndarray) -> np.ndarray:
@@ -57,77 +51,85 @@ def _sortable(s: int) -> bytes:
 
 
 class ImpactIndex:
-    """Postings of one block of integer vectors (whole numbers as doubles), by falling impact."""
+    """Posting lists of one block of integer vectors (whole numbers as doubles); ``read`` counts the components read."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        wide = np.abs(x).max(1, initial=0) >= WIDE
+        with np.errstate(over="ignore"):
+            squares = (x * x).sum(1)
+        wide = squares >= WIDE
         self.wide_ids, self.wide = ids[wide], _integers(x[wide])
-        self.ids, self.x = ids[~wide], np.ascontiguousarray(x[~wide])
-        size = np.abs(self.x)
-        self.largest = size.max(0, initial=0)
-        cuts = np.quantile(size, IMPACTS) if len(self.ids) else np.zeros(len(IMPACTS))
-        impact = np.searchsorted(cuts[::-1], size, "right")
-        #: (components of one impact, postings of smaller ones, the largest component of those), by dimension and vector.
-        self.segments = []
-        for at in range(len(IMPACTS), -1, -1):
-            rest = impact < at
-            self.segments.append((np.ascontiguousarray(np.where(impact == at, self.x, 0).T), np.ascontiguousarray(rest.T.astype(np.float32)), np.where(rest, size, 0).max(0, initial=0)))
+        self.ids, self.x, self.squares = ids[~wide], np.ascontiguousarray(x[~wide]), squares[~wide]
+        rows = np.argsort(self.x, axis=0, kind="stable")
+        #: By dimension: components as they grow, and the rows that hold them.
+        self.values = np.ascontiguousarray(np.take_along_axis(self.x, rows, 0).T.astype(np.int32))
+        self.rows = np.ascontiguousarray(rows.T.astype(np.uint16 if len(self.ids) <= 1 << 16 else np.uint32))
+        self.largest = np.abs(self.x).max(0, initial=0)
+        self.read = 0
 
     def top(self, q: np.ndarray, own: list[int], k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each row of ``q`` the (id, score) of the k best but its own, maybe without those below its floor."""
-        reach = np.abs(q) @ self.largest
-        fits = np.flatnonzero(reach < EXACT) if len(self.ids) else np.zeros(0, np.int64)
-        found: list[list[tuple[int, int]]] = [[] for _ in own]
-        for i, best in zip(fits.tolist(), self._search(q[fits], [own[i] for i in fits], k, floor[fits]), strict=True):
-            found[i] = best
-        for i in np.setdiff1d(np.arange(len(own)), fits).tolist():
-            found[i] = self._every(self.ids, _integers(self.x), q[i], own[i])
-        if len(self.wide_ids):
-            for i in range(len(own)):
-                found[i] = found[i] + self._every(self.wide_ids, self.wide, q[i], own[i])
-        return [sorted(f, key=lambda f: (-f[1], f[0]))[:k] for f in found]
+        with np.errstate(over="ignore"):
+            fits = (q * q).sum(1) < WIDE
+        found = []
+        for i, o in enumerate(own):
+            if not fits[i]:
+                best = self._every(self.ids, _integers(self.x), q[i], o)
+            else:
+                best = self._search(q[i], o, k, floor[i]) if len(self.ids) else []
+            if len(self.wide_ids):
+                best = best + self._every(self.wide_ids, self.wide, q[i], o)
+            found.append(sorted(best, key=lambda f: (-f[1], f[0]))[:k])
+        return found
 
     @staticmethod
     def _every(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int) -> list[tuple[int, int]]:
         return [(i, s) for i, s in zip(ids.tolist(), x @ _integers(q) if len(ids) else [], strict=True) if i != own]
 
-    def _search(self, q: np.ndarray, own: list[int], k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
-        found: list[list[tuple[int, int]]] = [[] for _ in own]
-        reach = np.abs(q) @ self.largest
-        left = np.flatnonzero(reach >= floor)  # else the block cannot reach the floor
-        mine = [slice(*np.searchsorted(self.ids, [o, o + 1])) for o in own]
-        acc, slack = np.zeros((len(left), len(self.ids))), 1 + 1e-5 * reach  # for bounds in single precision
-
-        def best_of(rows: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
-            if len(score) > k:
-                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-                rows, score = rows[keep], score[keep]
-            return list(zip(self.ids[rows].tolist(), score.astype(np.int64).tolist(), strict=True))
-
-        for postings, rest, largest in self.segments[:-1]:
-            if not len(left):
-                return found
-            acc += q[left] @ postings
-            near = ((np.abs(q[left]) * largest).astype(np.float32) @ rest).astype(float) + slack[left, None]
-            lower, upper = acc - near, acc + near
-            for j, i in enumerate(left.tolist()):
-                lower[j, mine[i]] = upper[j, mine[i]] = -np.inf
-            if acc.shape[1] > k:
-                floor[left] = np.maximum(floor[left], np.partition(lower, acc.shape[1] - k, axis=1)[:, acc.shape[1] - k])
-            possible = (upper >= floor[left, None]) & (upper > -np.inf)
-            done = possible.sum(1) <= FEW
-            for j in np.flatnonzero(done).tolist():
-                rows = np.flatnonzero(possible[j])
-                found[left[j]] = best_of(rows, self.x[rows] @ q[left[j]])
-            left, acc = left[~done], acc[~done]
-        if len(left):
-            acc += q[left] @ self.segments[-1][0]
-        for j, i in enumerate(left.tolist()):
-            rows = np.concatenate([np.arange(mine[i].start), np.arange(mine[i].stop, len(self.ids))])
-            found[i] = best_of(rows, acc[j, rows])
-        return found
+    def _segments(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By level of impact, the largest first: where the unread part of each list begins and ends after it."""
+        n = self.values.shape[1]
+        widest = np.maximum(np.abs(self.values[:, 0] - q), np.abs(self.values[:, -1] - q)).max(initial=0)
+        cuts = widest * np.arange(LEVELS - 1, -1, -1) / LEVELS
+        below = [np.searchsorted(v, c - cuts, "left") for v, c in zip(self.values, q, strict=True)]
+        above = [np.searchsorted(v, c + cuts, "right") for v, c in zip(self.values, q, strict=True)]
+        return np.vstack([np.zeros(len(q), np.int64), np.array(below).T]), np.vstack([np.full(len(q), n), np.array(above).T])
+
+    def _search(self, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
+        if not len(q):
+            return [(i, 0) for i in self.ids.tolist() if i != own]
+        if np.abs(q) @ self.largest < floor:
+            return []
+        n, wide = self.x.shape
+        upper = self.squares + q @ q  # twice what each vector's score may still be
+        upper[slice(*np.searchsorted(self.ids, [own, own + 1]))] = -np.inf
+        start, end = self._segments(q)
+        size = (np.diff(start, axis=0) - np.diff(end, axis=0)).sum(1)
+        for level in range(LEVELS):
+            if np.count_nonzero((upper >= 2 * floor) & (upper > -np.inf)) * wide <= size[level]:
+                break
+            parts = [(d, slice(a, b)) for ends in (zip(start[level], start[level + 1], strict=True), zip(end[level + 1], end[level], strict=True)) for d, (a, b) in enumerate(ends) if a < b]
+            if not parts:
+                continue
+            off = np.concatenate([self.values[d, at] - q[d] for d, at in parts])
+            upper -= np.bincount(np.concatenate([self.rows[d, at] for d, at in parts]), off * off, n)
+            self.read += len(off)
+            if size[: level + 1].sum() * 16 >= n * wide:
+                best = np.argpartition(upper, n - PROBE)[n - PROBE :] if n > PROBE else np.arange(n)
+                score = self._scores(best[upper[best] > -np.inf], q)
+                if len(score) >= k:
+                    floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
+        rows = np.flatnonzero((upper >= 2 * floor) & (upper > -np.inf))
+        score = self._scores(rows, q)
+        if len(score) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            rows, score = rows[keep], score[keep]
+        return list(zip(self.ids[rows].tolist(), score.astype(np.int64).tolist(), strict=True))
+
+    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        self.read += len(rows) * len(q)
+        return self.x[rows] @ q
 
 
 def quantised(rows: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -167,7 +168,7 @@ def test_vectors_of_one_id(spark):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 120)
-    monkeypatch.setattr(topk_search, "FEW", 8)
+    monkeypatch.setattr(topk_search, "PROBE", 8)
     rows = [r for r in vectors(5, 300) if r[0] != 308]
     x = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v, _, _ in rows if v and None not in v and np.isfinite(v).all()}
     q = topk_search.quantised(spark.createDataFrame(rows, VEC))
@@ -182,6 +183,40 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(two, two).count() == 6 and topk_search.top_k(two.limit(0), two.limit(0)).count() == 0
 
 
+def test_top_k_reads_few_postings():
+    """Equal to the whole product; fewer than half of the components are read, and with a floor or near copies far fewer."""
+    table = pq.read_table("/root/testdata/check_s/embeddings.parquet").slice(0, topk_search.BLOCK).to_pydict()
+    good = [(i, v) for i, v in zip(table["vec_id"], table["embedding"], strict=True) if v and all(c is not None and np.isfinite(c) for c in v)]
+    ids, x = np.array([i for i, _ in good]), np.floor(256 * np.array([v for _, v in good], float))
+    index = topk_search.ImpactIndex(ids, x)
+    assert sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray)) < 2 * x.nbytes
+    asked = [k for k in range(len(ids)) if ids[k] % 50 == 0][:60]
+    whole = len(asked) * x.size
+
+    def read(floor):
+        index.read = 0
+        got = index.top(x[asked], ids[asked].tolist(), 5, floor)
+        for k, best in zip(asked, got, strict=True):
+            want = sorted(((-int(s), int(i)) for s, i in zip(x @ x[k], ids, strict=True) if i != ids[k]))[:5]
+            assert [(-s, i) for i, s in best] == want
+        return index.read / whole
+
+    none = read(np.full(len(asked), -np.inf))
+    best = np.array([np.sort((x @ x[k])[ids != ids[k]])[-5] for k in asked])
+    assert read(best) < none < 0.5
+    assert index.top(x[asked[:1]], [-1], 5, np.array([np.inf])) == [[]]
+    near = topk_search.ImpactIndex(np.arange(6000), np.floor(256 * np.repeat(x[:1000] / 256, 6, 0)) + np.arange(6000)[:, None] % 6)
+    got = near.top(near.x[:6], list(range(6)), 5, np.full(6, -np.inf))
+    assert near.read < 0.3 * 6 * near.x.size and {i for best in got for i, _ in best} <= set(range(6))
+
+
+def test_top_k_repeated_query_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5]), (3, [0.5, 0.25]), (4, None), (5, []), (6, [2.0])]
+    q = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(z["rank"], z.vec_id, z.score) for z in topk_search.top_k(q, q.where("id = 1"), k=3).collect()]
+    assert sorted(got) == [(1, 6, 2 * 65536), (2, 2, 65536), (3, 2, 32768)]
+
+
 def test_top_k_of_wide_components(spark):
     r = random.Random(4)
     vectors = [(i, [r.choice([-1, 1]) * r.choice([0.0, 1.5, 10.0**e, 3.7 * 10.0**e]) for _ in range(3)]) for i, e in enumerate([1, 2, 6, 6, 8, 9, 12, 12, 7, 6, 5] * 5)]
