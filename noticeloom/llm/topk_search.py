@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import read_table, staged
 
 K, SCALE, EVERY = 5, 256, 50
-#: Vectors a block, queries that go together, levels of impact, vectors scored early at each level.
-BLOCK, QUERIES, LEVELS, PROBE = 8192, 64, 20, 32
+#: Vectors a block, queries that go together, levels of impact, vectors scored early after each step, postings at a time.
+BLOCK, QUERIES, LEVELS, PROBE, BUFFER = 8192, 64, 32, 32, 1 << 14
+#: A step takes levels until it has read this part of the postings.
+STEPS = 16
 #: Squared length from which a vector stands beside the index: below it all sums are exact in double precision.
 WIDE, LONG = 2.0**50, 1 << 63
 
@@ -66,7 +68,7 @@ class ImpactIndex:
         self.values = np.ascontiguousarray(np.take_along_axis(self.x, rows, 0).T.astype(np.int32))
         self.rows = np.ascontiguousarray(rows.T.astype(np.uint16 if len(self.ids) <= 1 << 16 else np.uint32))
         self.largest = np.abs(self.x).max(0, initial=0)
-        self.read = 0
+        self.read, self._off, self._row = 0, np.empty(BUFFER, np.int32), np.empty(BUFFER, self.rows.dtype)
 
     def top(self, q: np.ndarray, own: list[int], k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each row of ``q`` the (id, score) of the k best but its own, maybe without those below its floor."""
@@ -91,11 +93,33 @@ class ImpactIndex:
         """By level of impact, the largest first: where the unread part of each list begins and ends after it."""
         n = self.values.shape[1]
         widest = np.maximum(np.abs(self.values[:, 0] - q), np.abs(self.values[:, -1] - q)).max(initial=0)
-        cuts = widest * np.arange(LEVELS - 1, -1, -1) / LEVELS
-        below = [np.searchsorted(v, c - cuts, "left") for v, c in zip(self.values, q, strict=True)]
-        above = [np.searchsorted(v, c + cuts, "right") for v, c in zip(self.values, q, strict=True)]
+        cuts = np.ceil(widest * np.arange(LEVELS - 1, -1, -1) / LEVELS)
+        low, high = (q[:, None] - cuts).astype(np.int32), (q[:, None] + cuts).astype(np.int32)
+        below = [v.searchsorted(c, "left") for v, c in zip(self.values, low, strict=True)]
+        above = [v.searchsorted(c, "right") for v, c in zip(self.values, high, strict=True)]
         return np.vstack([np.zeros(len(q), np.int64), np.array(below).T]), np.vstack([np.full(len(q), n), np.array(above).T])
 
+    def _lower(self, upper: np.ndarray, q: list[float], level: list[list[int]]) -> None:
+        """Take what the postings of a level say off the bounds, a buffer of them at a time."""
+        at, off, row = 0, self._off, self._row
+        for values, rows, c, *ends in zip(self.values, self.rows, q, *level, strict=True):
+            for a, b in ((ends[0], ends[1]), (ends[2], ends[3])):
+                while a < b:
+                    take = b - a if b - a < BUFFER - at else BUFFER - at
+                    np.subtract(values[a : a + take], c, off[at : at + take])
+                    row[at : at + take] = rows[a : a + take]
+                    a, at = a + take, at + take
+                    if at == BUFFER:
+                        at = self._flush(upper, at)
+        self._flush(upper, at)
+
+    def _flush(self, upper: np.ndarray, at: int) -> int:
+        off = self._off[:at].astype(float)
+        off *= off
+        upper -= np.bincount(self._row[:at], off, len(upper))
+        self.read += at
+        return 0
+
     def _search(self, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
         if not len(q):
             return [(i, 0) for i in self.ids.tolist() if i != own]
@@ -105,21 +129,18 @@ class ImpactIndex:
         upper = self.squares + q @ q  # twice what each vector's score may still be
         upper[slice(*np.searchsorted(self.ids, [own, own + 1]))] = -np.inf
         start, end = self._segments(q)
-        size = (np.diff(start, axis=0) - np.diff(end, axis=0)).sum(1)
-        for level in range(LEVELS):
-            if np.count_nonzero((upper >= 2 * floor) & (upper > -np.inf)) * wide <= size[level]:
+        size = np.concatenate([[0], (start + n - end).sum(1)[1:]])  # postings read after each level
+        whole, done, parts = q.astype(np.int32).tolist(), 0, n * wide // STEPS
+        while done < LEVELS:
+            level = min(LEVELS, max(done + 1, int(np.searchsorted(size, size[done] + parts))))
+            if np.count_nonzero((upper >= 2 * floor) & (upper > -np.inf)) * wide <= size[level] - size[done]:
                 break
-            parts = [(d, slice(a, b)) for ends in (zip(start[level], start[level + 1], strict=True), zip(end[level + 1], end[level], strict=True)) for d, (a, b) in enumerate(ends) if a < b]
-            if not parts:
-                continue
-            off = np.concatenate([self.values[d, at] - q[d] for d, at in parts])
-            upper -= np.bincount(np.concatenate([self.rows[d, at] for d, at in parts]), off * off, n)
-            self.read += len(off)
-            if size[: level + 1].sum() * 16 >= n * wide:
-                best = np.argpartition(upper, n - PROBE)[n - PROBE :] if n > PROBE else np.arange(n)
-                score = self._scores(best[upper[best] > -np.inf], q)
-                if len(score) >= k:
-                    floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
+            self._lower(upper, whole, [start[done].tolist(), start[level].tolist(), end[level].tolist(), end[done].tolist()])
+            done = level
+            best = np.argpartition(upper, n - PROBE)[n - PROBE :] if n > PROBE else np.arange(n)
+            score = self._scores(best[upper[best] > -np.inf], q)
+            if len(score) >= k:
+                floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
         rows = np.flatnonzero((upper >= 2 * floor) & (upper > -np.inf))
         score = self._scores(rows, q)
         if len(score) > k:
