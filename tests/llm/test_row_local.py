@@ -115,15 +115,15 @@ def test_pii_contract_columns(spark):
 
 
 def brute_matches(ws):
-    """{template: containment} of the best window of the whole word stream."""
+    """(template, first word): (containment, named) of every block of the whole word stream."""
     out = {}
-    for at, ((_, tokens, must), (_, _, notice)) in enumerate(zip(license_scan.template_tokens(), license_scan.TEMPLATES, strict=True)):
+    for at, ((_, tokens, names), (_, _, notice)) in enumerate(zip(license_scan.template_tokens(), license_scan.TEMPLATES, strict=True)):
         room = -(-len(license_scan.words(notice.encode())) * 5 // 4)
         for i in range(len(ws)):
-            held = tokens & set(ws[i : i + room])
             block = ws[i : i + room]
-            if ws[i] in tokens and 5 * len(held) >= 4 * len(tokens) and all(any(block[j : j + len(p)] == p for j in range(room)) for p in must):
-                out[at] = max(out.get(at, 0), len(held) / len(tokens))
+            held = tokens & set(block)
+            if ws[i] in tokens and 5 * len(held) >= 4 * len(tokens):
+                out[at, i] = (len(held) / len(tokens), all(any(block[j : j + len(p)] == p for j in range(room)) for p in names))
     return out
 
 
@@ -134,7 +134,7 @@ def test_license_blocks_brute_force(spark):
     def notice():
         t = license_scan.TEMPLATES[r.randrange(len(license_scan.TEMPLATES))][2].split()
         for _ in range(r.randrange(5)):
-            t.insert(r.randrange(len(t) + 1), r.choice(["\n *", "zz", "the", "\n"])) if r.random() < 0.5 else t.pop(r.randrange(len(t)))
+            t.insert(r.randrange(len(t) + 1), r.choice(["\n *", "zz", "the", "\n"])) if len(t) < 2 or r.random() < 0.5 else t.pop(r.randrange(len(t)))
         return " ".join(t)
 
     rows = [(i, " ".join(" ".join(r.choice(vocabulary) for _ in range(r.randrange(30))) + r.choice(["", f" {notice()} "]) for _ in range(3)), "s") for i in range(120)]
@@ -143,11 +143,12 @@ def test_license_blocks_brute_force(spark):
     one = [license_scan.TemplateIndex(license_scan.TEMPLATES[i : i + 1], frequency) for i in range(len(license_scan.TEMPLATES))]
     for _, text, _ in rows:
         ws = license_scan.words(text.encode())
-        assert {i: max(m[3] for m in found) for i, x in enumerate(one) if (found := list(x.matches(ws)))} == brute_matches(ws)
+        assert {(i, m[1]): m[3:] for i, x in enumerate(one) for m in x.matches(ws)} == brute_matches(ws)
     got = {x.doc_id: x for x in license_scan.scan_licenses(odd(spark, rows + ODD)).where("doc_id < 1000 OR doc_id IS NULL").collect()}
     for i, text, _ in rows[5:]:
-        want = {license_scan.TEMPLATES[at][0] for at in brute_matches(license_scan.words(text.encode()))}
-        assert {b.label for b in got[i].blocks} == want == {m[0] for m in index.matches(license_scan.words(text.encode()))}
+        want = sorted((license_scan.TEMPLATES[at][0], k, *x) for (at, k), x in brute_matches(license_scan.words(text.encode())).items())
+        assert sorted((b.label, b.word, b.containment, b.named) for b in got[i].blocks) == want
+        assert sorted((m[0], m[1], *m[3:]) for m in index.matches(license_scan.words(text.encode()))) == want
     assert got[None].n_words == 2 and got[2].n_words == 0 and got[2].blocks == []
     assert license_scan.places(license_scan.words(b"MIT License, the mit-license Apache license")) == [(0, "mit"), (3, "mit"), (5, "apache")]
 
@@ -157,14 +158,17 @@ def test_license_wrapped_and_false(spark):
 
     fill = "quiet plain words that state nothing at all of the sort"
     rows = [(i, f"{fill}\n{textwrap.fill(notice, width, initial_indent='# ', subsequent_indent='# ')}\n{fill}", label) for i, (label, notice, width) in enumerate((x, n, w) for x, _, n in license_scan.TEMPLATES for w in (20, 40, 80))]
-    none = ["The report was released under the license of the court", "This work is licensed under the terms of the general contract, version 3 of the public service", "der und mit einer released under license", "released of\n" + f"{fill} " * 3 + "\nunder it\n" + f"{fill} " * 3 + "\nMIT license"]
+    none = ["4 0 cc nc licensed in the annual report", "a public license of mozilla square 2 0", "The report was released under the license of the court", "This work is licensed under the terms of the general contract, version 3 of the public service", "der und mit einer released under license", "released of\n" + f"{fill} " * 3 + "\nunder it\n" + f"{fill} " * 3 + "\nMIT license"]
     rows += [(2000 + i, t, None) for i, t in enumerate(none)]
+    rows += [(4000 + i, f"{fill} {t} {fill}", x) for i, (t, x) in enumerate([("// SPDX-License-Identifier: Apache-2.0", "apache"), ("Mozilla Public License 2.0", "mpl"), ("BSD License", "bsd"), ("GNU GPL v3", "gpl"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl")])]
     rows += [(3000, "This package is released under the Apache License", None), (3001, "Licensed under the Apache License, Version 1.1", "apache")]
-    got = {x.doc_id: {m.label for m in x.blocks} for x in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {x.doc_id: {m.label for m in x.blocks if m.named} for x in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     for i, text, x in rows:
         assert got[i] == (set() if not x else {x}) or (x == "lgpl" and got[i] == {"lgpl", "gpl"}), text
-    (whole,) = license_scan.TemplateIndex(license_scan.TEMPLATES[:1], {}).matches(license_scan.words(b"so: released\nunder the\nMIT License"))
-    assert whole == ("mit", 1, 5, 1.0)
+    whole = license_scan.TemplateIndex(license_scan.TEMPLATES[:1], {}).matches(license_scan.words(b"so: released\nunder the\nMIT License"))
+    assert list(whole) == [("mit", 1, 5, 1.0, True)]
+    long = license_scan.words((license_scan.TEMPLATES[2][2] + " ").encode()) * 5000
+    assert max(m[3] for m in license_scan.TemplateIndex(license_scan.TEMPLATES, {}).matches(long)) == 1.0
 
 
 def test_license_contract_columns(spark):
