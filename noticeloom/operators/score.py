@@ -4,13 +4,14 @@ Each side is prepared once, before the two meet; scoring works row by row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom import lexicon as lex
 from noticeloom.functions import text as tx
 from noticeloom.lexicon import KOREAN, Lexicon
 from noticeloom.operators import tables
+from noticeloom.sources.staging import stage
 
 #: A key that every notice has.
 _ANY = "*"
@@ -108,7 +109,7 @@ def reasons() -> Column:
     due = F.when(d >= 7, plus(10, F.concat(F.lit("신청 가능 (D-"), d, F.lit(")")))).when(d >= 0, plus(6, F.concat(F.lit("마감 임박 (D-"), d, F.lit(") — 서둘러 신청"))))
     usd = c("export_usd")
     rate = F.when(usd >= 50000, 100).when(usd >= 30000, 50).otherwise(30)
-    beginner = tx.text(c("export_stage")).startswith("수출 준비") & tx.has(c("all_text"), r"소량|초보|첫\s*수출|내수")
+    beginner = tx.text(c("export_stage")).startswith("수출 준비") & _beginners("all_text")
     stage = (
         F.when((F.size("tiers") > 0) & usd.isNotNull(), plus(F.when(rate == 100, 10).otherwise(6), F.concat(F.lit("수출실적 "), F.format_number(F.rint(usd), 0), F.lit("달러 → 지원비율 약 "), rate, F.lit("% 구간")), F.try_element_at("tiers", F.lit(1))["evidence"]))
         .when(beginner, plus(10, F.lit("수출초보·소량수출 기업 적합")))
@@ -138,6 +139,10 @@ def grade(df: DataFrame) -> DataFrame:
     return df.withColumn("grade", F.when(~F.col("eligible"), "부적합").when(F.col("score") >= 80, "적극 추천").when(F.col("score") >= 60, "추천").when(F.col("score") >= 40, "검토").otherwise("낮음"))
 
 
+def _graded(pairs: DataFrame) -> DataFrame:
+    return grade(pairs.withColumn("fails", hard_fails()).withColumn("reasons", reasons()).withColumn("warnings", warnings()))
+
+
 def match(profiles: DataFrame, notices: DataFrame, today: str, include_ineligible: bool = True, lexicon: Lexicon = KOREAN) -> DataFrame:
     """Every profile with every representative notice, scored; without the ineligible, the two meet on region and
     industry.
@@ -158,10 +163,107 @@ def match(profiles: DataFrame, notices: DataFrame, today: str, include_ineligibl
         p = p.withColumn("__regions", F.when(region != "", F.array(region)).otherwise(_none())).withColumn("__region", asked("__regions")).withColumn("__wanted", F.when(F.size("p_industries") > 0, F.col("p_compat")).otherwise(_none())).withColumn("__industry", asked("__wanted"))
         first = F.try_element_at(F.filter("n_industries", lambda i: F.array_contains("__wanted", i)), F.lit(1))
         x = n.join(p, ["__region", "__industry"]).where(F.col("__industry").isin("", _ANY) | (F.col("__industry") == first)).drop("__region", "__regions", "__industry", "__wanted")
-    x = grade(x.withColumn("fails", hard_fails()).withColumn("reasons", reasons()).withColumn("warnings", warnings()))
+    x = _graded(x)
     return x if include_ineligible else x.where("eligible")
 
 
+#: Needs that no field of a notice meets, and a profile without needs, as keys of posting lists.
+_NO_HIT, _NO_NEEDS = "", "*"
+#: Points of a level of posting lists, and the highest score.
+_LEVEL, _MOST = 5, 100
+
+
+def _beginners(text: str) -> Column:
+    return tx.has(F.col(text), r"소량|초보|첫\s*수출|내수")
+
+
+def classes(prepared: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` notices (by deadline and id) of each class: prepared notices with ``class``, the id of its first,
+    and ``place`` in it.
+
+    The notices of a class have the same of everything that eligibility and score read, so they tie for every profile
+    and none beyond its first k is among any profile's k best."""
+    rule = lambda name, word: F.exists(name, lambda x: x["rule"].contains(word))
+    alike = [
+        "n_regions", "n_industries", "n_groups", "special_groups", F.transform("fields", lambda f: f["field"]), F.transform("prefers", lambda x: tx.country_groups(x["rule"])),
+        F.when(F.col("d_day") >= 7, 2).when(F.col("d_day") >= 0, 1), F.size("tiers") > 0, _beginners("all_text"), F.array_contains("types", lex.DISTRIBUTOR), F.array_contains("types", lex.SME), rule("excludes", "상장"), rule("requires", "직수출"),
+    ]
+    w = Window.partitionBy(*alike).orderBy(F.coalesce("d_day", F.lit(9999)), "project_no")
+    return prepared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("class", F.first("project_no").over(w))
+
+
+def postings(firsts: DataFrame) -> DataFrame:
+    """Posting lists of classes by need and region: ``__need``, ``__region``, and ``__bound``, the most points that any
+    profile of that list can have."""
+    has = lambda c, yes, no: F.when(F.size(c) > 0, yes).otherwise(no)
+    due = F.when(F.col("d_day") >= 7, 10).when(F.col("d_day") >= 0, 6).otherwise(0)
+    rest = has("n_industries", 20, 12) + has("n_regions", 10, 6) + has("n_groups", 10, 5) + has("special_groups", 5, 0) + 5 * F.size("prefers") + due + F.when((F.size("tiers") > 0) | _beginners("all_text"), 10).otherwise(7)
+    names = F.transform("fields", lambda f: f["field"])
+    named = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("need"), F.when(n == F.try_element_at(names, F.lit(1)), 40).otherwise(28).alias("points")))
+    always = [F.struct(F.lit(key).alias("need"), F.lit(points).alias("points")) for key, points in ((_NO_HIT, 0), (_NO_NEEDS, 20))]
+    regions = F.concat(has("n_regions", F.array_distinct("n_regions"), F.array(F.lit(""))), F.array(F.lit(_ANY)))
+    x = firsts.withColumn("__list", F.explode(F.concat(F.filter(named, lambda n: ~n["need"].isin(_NO_HIT, _NO_NEEDS)), F.array(*always)))).withColumn("__region", F.explode(regions))
+    bound = rest + F.col("__list.points")
+    return x.withColumn("__need", F.col("__list.need")).withColumn("__bound", bound).withColumn("__level", F.floor(F.least(bound, F.lit(_MOST)) / _LEVEL).cast("int")).drop("__list")
+
+
+def _meet(asks: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
+    """Profiles with the classes of their lists, each pair in the list of the first field that the profile needs."""
+    hit = F.try_element_at(F.filter(F.transform("fields", lambda f: f["field"]), lambda n: F.array_contains(F.col("__needs"), n)), F.lit(1))
+    mine = F.when(F.size("__needs") == 0, _NO_NEEDS).otherwise(F.coalesce(hit, F.lit(_NO_HIT)))
+    other = (F.size("n_industries") > 0) & (F.size("p_industries") > 0) & ~F.arrays_overlap("p_compat", "n_industries")
+    return lists.join(asks, on).where((F.col("__need") == mine) & ~F.coalesce(other, F.lit(False)))
+
+
+def _misses() -> Column:
+    """What a bound counts of its list that this profile does not have."""
+    off = lambda c, points, hit: F.when((F.size(c) > 0) & ~F.coalesce(hit, F.lit(True)), points).otherwise(0)
+    return (
+        off("n_groups", 10, F.arrays_overlap("p_groups", "n_groups"))
+        + off("special_groups", 5, F.arrays_overlap("p_groups", "special_groups"))
+        + off("n_regions", 10, tx.text(F.col("region")) != "")
+        + off("n_industries", 20, F.size("p_industries") > 0)
+    )
+
+
+def candidate_classes(profiles: DataFrame, firsts: DataFrame, k: int) -> DataFrame:
+    """Pairs of prepared profiles and first notices of classes that may be among a profile's k best.
+
+    The k classes of the highest bounds of each of its lists are scored first; the k-th best score of those is what others
+    have to reach. Lists are split by level of their bounds, and a profile meets only the levels that reach it."""
+    lists = stage(postings(firsts))
+    region = tx.text(F.col("region"))
+    needs = F.filter(F.coalesce("needs", _none()), lambda n: n.isNotNull() & ~n.isin(_NO_HIT, _NO_NEEDS))
+    asks = profiles.withColumn("__needs", needs).withColumn("__need", F.explode(F.when(F.size("__needs") > 0, F.array_distinct(F.concat("__needs", F.array(F.lit(_NO_HIT))))).otherwise(F.array(F.lit(_NO_NEEDS)))))
+    asks = asks.withColumn("__region", F.explode(F.when(region != "", F.array(region, F.lit(""))).otherwise(F.array(F.lit(_ANY)))))
+    best = Window.partitionBy("__need", "__region").orderBy(F.col("__bound").desc(), "class")
+    top = lists.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= k)
+    scores = _graded(_meet(asks, top, ["__need", "__region"])).where("eligible").select("profile_id", "score")
+    nth = Window.partitionBy("profile_id").orderBy(F.col("score").desc())
+    floor = scores.withColumn("__at", F.row_number().over(nth)).where(F.col("__at") <= k).where(F.col("__at") == k).select(F.col("profile_id").alias("__id"), F.col("score").alias("__floor"))
+    asks = asks.join(floor, F.col("profile_id") == F.col("__id"), "left").withColumn("__floor", F.coalesce("__floor", F.lit(0)))
+    asks = asks.withColumn("__level", F.explode(F.sequence(F.floor(F.col("__floor") / _LEVEL).cast("int"), F.lit(_MOST // _LEVEL))))
+    return _meet(asks, lists, ["__need", "__region", "__level"]).where(F.col("__bound") - _misses() >= F.col("__floor"))
+
+
+def best_matches(profiles: DataFrame, notices: DataFrame, today: str, k: int = 20, lexicon: Lexicon = KOREAN) -> DataFrame:
+    """The ``k`` best eligible matches of each profile with ``rank``, as ranking all rows of ``match`` would give them.
+
+    Only pairs of a profile with the first notice of a class that can reach its k-th best score are built and scored; of
+    the k best classes the first k notices are ranked, and only the result gets its reasons. Profiles and notices have
+    an id each; without notices (profiles) there are no rows."""
+    p, n = prepare_profiles(profiles, lexicon), prepare_notices(notices, today, lexicon)
+    p = stage(p.withColumnsRenamed({c: f"{c}_of_profile" for c in p.columns if c in n.columns}))
+    n = n.where(tx.text(F.col("status")).contains(lex.OPEN) & (F.coalesce("d_day", F.lit(0)) >= 0))
+    members = stage(classes(n, k).withColumn("all_text", F.when(_beginners("all_text"), "초보").otherwise("")))
+    pairs = _graded(candidate_classes(p, members.where("place = 1"), k)).where("eligible")
+    order = lambda: Window.partitionBy("profile_id").orderBy(F.col("score").desc(), F.coalesce("d_day", F.lit(9999)), "project_no")
+    won = pairs.select("profile_id", "class", "score", "d_day", "project_no").withColumn("__at", F.row_number().over(order())).where(F.col("__at") <= k)
+    won = won.select("profile_id", "class", "score").join(members.select("class", "d_day", "project_no"), "class")
+    won = won.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= k).select("profile_id", "project_no", "rank")
+    return _graded(n.join(won, "project_no").join(p, "profile_id")).drop("class", "place")
+
+
 def alerts(matches: DataFrame, today: str) -> DataFrame:
     """Eligible matches of the alert score that are new in a week or due in two."""
     new = tx.text(F.col("first_seen")) >= F.date_sub(F.to_date(F.lit(today)), 7).cast("string")

@@ -69,6 +69,11 @@ def sc2_branches(spark, d):
     return x.select("profile_id", "project_no", "score", "grade", F.size("warnings").alias("n_warnings"))
 
 
+@query(f"WITH {_SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, d, CAST(j AS VARCHAR)) AS INTEGER) AS rank FROM s) SELECT k AS profile_id, CAST(j AS VARCHAR) AS project_no, rank, score FROM r WHERE rank <= 20")
+def jo1_best(spark, d):
+    return score.best_matches(_companies(spark, d), _offers(spark, d), TODAY).select("profile_id", "project_no", "rank", "score")
+
+
 @query(f"""WITH {_SCORED}, m AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, d, CAST(j AS VARCHAR)) AS INTEGER) AS item, count(*) OVER (PARTITION BY k) AS n FROM s
 WHERE score >= CASE WHEN k % 2 = 0 THEN 70 ELSE 75 END AND (j + k) % 4 <> 0 AND (k % 6 <> 1 OR j % 3 = 2))
 SELECT 'c' || k AS sub_key, CAST(j AS VARCHAR) AS project_no, item, greatest(n - 15, 0) AS n_more, k % 4 <> 0 AS first FROM m WHERE item <= 15""")
