@@ -260,8 +260,9 @@ def best_matches(profiles: DataFrame, notices: DataFrame, today: str, k: int = 2
     order = lambda: Window.partitionBy("profile_id").orderBy(F.col("score").desc(), F.coalesce("d_day", F.lit(9999)), "project_no")
     won = pairs.select("profile_id", "class", "score", "d_day", "project_no").withColumn("__at", F.row_number().over(order())).where(F.col("__at") <= k)
     won = won.select("profile_id", "class", "score").join(members.select("class", "d_day", "project_no"), "class")
-    won = won.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= k).select("profile_id", "project_no", "rank")
-    return _graded(n.join(won, "project_no").join(p, "profile_id")).drop("class", "place")
+    won = stage(won.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= k).select("profile_id", "project_no", "rank"))
+    n = prepare_notices(notices.join(won.select("project_no"), "project_no", "left_semi"), today, lexicon)  # these only
+    return _graded(n.join(won, "project_no").join(p, "profile_id"))
 
 
 def alerts(matches: DataFrame, today: str) -> DataFrame:
