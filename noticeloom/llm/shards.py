@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from noticeloom.llm.common import staged
 
 SHARD_BYTES = 16 << 20
+#: Bytes of text that are split at once: the words of a whole shard as an array take several times its size.
+SPLIT_BYTES = 1 << 20
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -38,13 +40,23 @@ def unsqueezed(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, word of each occurrence, words of each text)."""
-    parts = pc.ascii_split_whitespace(texts)
-    edges = parts.offsets.to_numpy()
-    coded = parts.flatten().dictionary_encode()
-    del parts
-    words, at = coded.dictionary, coded.indices.to_numpy()
+def split_words(texts: pa.Array, step: int = SPLIT_BYTES) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, word of each occurrence, words of each text). Texts are split about ``step`` bytes at once, so
+    that only the distinct words and the codes of all of them are held together."""
+    coded, sizes = [], []
+    for i, j in _stretches_of(texts, step):
+        parts = pc.ascii_split_whitespace(texts.slice(i, j - i))
+        edges = parts.offsets.to_numpy()
+        sizes.append(np.diff(edges))
+        coded.append(parts.flatten().dictionary_encode())
+        del parts
+    if not coded:
+        coded, sizes = [pa.array([], texts.type).dictionary_encode()], [np.zeros(0, np.int32)]
+    whole = pa.chunked_array(coded).unify_dictionaries()
+    del coded
+    words, at = whole.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in whole.chunks])
+    sizes = np.concatenate(sizes)
+    edges = np.append(0, np.cumsum(sizes))
     empty = pc.index(words, "").as_py()  # before leading and after trailing white space
     if empty >= 0:
         none = at == empty
@@ -55,12 +67,25 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, at, np.diff(edges)
 
 
+def _stretches_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text is one of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def count_matrix(at: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR (row starts, columns, counts) of occurrences listed row by row."""
     key = np.repeat(np.arange(len(sizes), dtype=np.int64) * max(width, 1), sizes)
     key += at
     key.sort()
-    first = np.flatnonzero(np.diff(key, prepend=-1))
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    del new
     counts = np.diff(np.append(first, len(key)))
     key = key[first]
     starts = np.searchsorted(key, np.arange(len(sizes) + 1, dtype=np.int64) * max(width, 1))
@@ -106,8 +131,11 @@ def count_shards(docs: DataFrame, text_col: str = "text", carried: tuple[str, ..
             extra = [*b.columns[1:], *(measure(b.column(0)) if measure else ())]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, *extra)]
             blobs = [pa.array([squeezed(x)], pa.binary()) for x in (starts.astype(np.int64), columns.astype(np.int32), counts.astype(np.int32))]
+            del b, extra, starts, columns, counts, words
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), lists[0], *blobs, *lists[1:]], names)
             shard += 1
+            del lists, blobs
+            pa.default_memory_pool().release_unused()
 
     return staged(source.mapInArrow(run, schema))
 

@@ -39,6 +39,18 @@ def test_split_words(text):
     assert got == WORD.findall(text) + ["z", "z"] and sizes.tolist() == [len(WORD.findall(text)), 2, 0]
 
 
+@pytest.mark.parametrize("step", [1, 7, 60, 1 << 20])
+def test_split_words_in_stretches(monkeypatch, step):
+    texts, seen, split = ["b a", "", None, "  x\n", "a " * 20, "", "c b a c"] * 3, [], shards.pc.ascii_split_whitespace
+    monkeypatch.setattr(shards.pc, "ascii_split_whitespace", lambda x: seen.append(x) or split(x))
+    words, at, sizes = shards.split_words(pa.array([t or "" for t in texts]), step)
+    assert [words[i].as_py() for i in at.tolist()] == [w for t in texts for w in WORD.findall(t or "")]
+    assert sizes.tolist() == [len(WORD.findall(t or "")) for t in texts] and len(set(words.to_pylist())) == len(words) == 4
+    assert all(len(x) == 1 or sum(map(len, x.to_pylist())) <= step for x in seen)
+    words, at, sizes = shards.split_words(pa.array([], pa.string()), step)
+    assert len(words) == len(at) == len(sizes) == 0
+
+
 def test_shards_hold_every_count_under_global_ids(spark, docs):
     made = shards.count_shards(docs, carried=("doc_id",), shard_bytes=20_000)
     ids = shards.dictionary_ids(made)
