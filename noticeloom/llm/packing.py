@@ -113,6 +113,12 @@ class WordEncoder:
         known, parts = self.known, self.parts
         if len(parts) > _CACHED_PARTS:
             self.parts = parts = dict(islice(parts.items(), _CACHED_PARTS // 2))
+        plain = list(filter(parts.__contains__, words))  # most words that were forgotten are one part
+        known.update(zip(plain, map(parts.__getitem__, plain), strict=True))
+        words = list(filterfalse(parts.__contains__, words))
+        whole = [w for w in words if w.isalpha() and w.isascii()]
+        lower = [w.lower() for w in whole]
+        words = [w for w in words if not (w.isalpha() and w.isascii())]
         made, rest = [], []
         for w, m in zip(words, map(self.PARTS.fullmatch, words), strict=True):
             if m and "<|" not in w:
@@ -124,10 +130,11 @@ class WordEncoder:
                     made.append((w, before, core, after))
                     continue
             rest.append(w)
-        new = {core for _, _, core, _ in made if core not in parts}
+        new = {core for _, _, core, _ in made if core not in parts}.union(filterfalse(parts.__contains__, lower))
         self._split(list(new), " ", lambda ids: np.flatnonzero(self.ends[ids]), 0, parts)
-        for w in {x for _, before, core, after in made for x in (before, core, after)}.difference(parts):
+        for w in new.union(x for _, before, _, after in made for x in (before, after)).difference(parts):
             parts[w] = self._one(w)
+        known.update(zip(whole, map(parts.__getitem__, lower), strict=True))
         known.update((w, parts[before] + parts[core] + parts[after]) for w, before, core, after in made)
         others = [w for w in rest if self.MARK not in w] if len(self.mark) == 1 else []
         self._split(others, f" {self.MARK} ", lambda ids: np.append(np.flatnonzero(ids == self.mark[0]), len(ids)), 1, known)

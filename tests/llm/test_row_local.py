@@ -305,3 +305,20 @@ def test_pivotal_keeps_words_and_expectation():
         for i, x in out:
             hits[i] += x
     assert abs(hits / 400 - p).max() < 0.12
+
+
+def test_plain_words_are_learned_without_the_pattern(monkeypatch):
+    import re
+    from types import SimpleNamespace
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from noticeloom.llm import packing
+
+    seen, real, path = [], packing.WordEncoder.PARTS, packing.default_tokenizer()
+    monkeypatch.setattr(packing.WordEncoder, "PARTS", SimpleNamespace(fullmatch=lambda w: (seen.append(w), real.fullmatch(w))[1]))
+    encoder, plain, text = packing.WordEncoder(path), Tokenizer.from_file(path), "The cat, sat CATS cat ona 日本 hélas x1 don't <|a|> Qwzx (cat) the"
+    for t in (text, text.upper(), "qwzx 'cat THE"):
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert "cat," in seen and not [w for w in seen if re.fullmatch("[A-Za-z]+", w)]
