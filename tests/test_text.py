@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeloom.functions import text as tx
+from noticeloom.operators import extract
 from noticeloom.plans.catalogue import LATIN
 
 
@@ -71,3 +72,12 @@ def test_small_things(spark):
 def test_amount_text(spark):
     a = spark.range(1).select(F.struct(F.lit(300.0).alias("max_manwon"), F.lit(1500.0).alias("special_max_manwon"), F.lit(70).alias("rate")).alias("a"))
     assert a.select(tx.amount_text(F.col("a"))).first()[0] == "최대 300만원 (특례 15백만원) · 70% 이내"
+
+
+def test_what_a_rule_reads_is_worked_out_once(spark):
+    """Inside a lambda an expression is worked out for every element; each use of one that is not bound repeats it."""
+    said = str(tx.in_order(F.reverse(F.col("found")), ("a", "b", "c")))
+    assert said.index("reverse(") < said.index("filter(")
+    said = str(extract.extract_target(F.col("title"), F.upper(F.col("target")), F.reverse(F.col("page")), F.col("doc"), F.col("own"))).lower()
+    assert said.count("upper(") == said.count("reverse(") == 1
+    assert said.count("rlike") <= 34 and said.count("regexp") <= 30  # 89 and 308 without
