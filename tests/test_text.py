@@ -81,3 +81,14 @@ def test_what_a_rule_reads_is_worked_out_once(spark):
     said = str(extract.extract_target(F.col("title"), F.upper(F.col("target")), F.reverse(F.col("page")), F.col("doc"), F.col("own"))).lower()
     assert said.count("upper(") == said.count("reverse(") == 1
     assert said.count("rlike") <= 34 and said.count("regexp") <= 30  # 89 and 308 without
+
+
+def test_word_lists_do_not_make_the_plan_grow(spark):
+    said = str(extract.extract_fields(F.col("title"), F.col("page"), F.col("doc")))
+    assert said.count("replace(") <= 4  # one for each text and its lines, not for each word
+    row = spark.createDataFrame([("통번역 통번역 지원", "운임\n특송 물류비 안내", "")], "title string, page string, doc string")
+    got = row.select(extract.extract_fields(F.col("title"), F.col("page"), F.col("doc")).alias("f")).first()["f"]
+    assert [(f.field, f.score, f.evidence) for f in got] == [("통번역", 48.0, ["통번역 통번역 지원"]), ("물류비", 16.0, ["특송 물류비 안내", "운임"])]
+    one = LATIN.__class__(fields={"a'b\\c": {"it's": 2, "\\": 1}})
+    got = spark.createDataFrame([("it's it's",)], "t string").select(extract.extract_fields(F.col("t"), F.lit(""), F.lit(""), one).alias("f")).first()["f"]
+    assert [(f.field, f.score) for f in got] == [("a'b\\c", 16.0)]
