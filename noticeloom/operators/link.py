@@ -2,12 +2,16 @@
 
 Candidates come from an exact prefix-filter join: grams are ordered by how many notices hold them, rarest first, and
 two sets of the threshold's similarity share one of their first few. What passes is verified exactly, so no pair is
-lost and frequent grams are hardly ever join keys."""
+lost and frequent grams are hardly ever join keys. Notices of one source that the rules cannot tell apart are one kind:
+kinds are compared, not their members, so a title that thousands of notices have makes no pairs of them."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,33 +106,107 @@ def pair_score(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return x.select("a", "b", F.col("r_source").alias("b_source"), F.col("l_rank_key").alias("rank_a"), F.col("r_rank_key").alias("rank_b"), F.round("found.score", 6).alias("score"), "found.reason")
 
 
+def choose(kinds: list, sources: list, edges: list[tuple]) -> list[tuple[int, int, str]]:
+    """(b, a, reason): the greedy choice among notices given by their kinds, in order of rank; edges are (score, kind of
+    a, kind of b, source of b, reason).
+
+    Best scores first, each b in order takes the first a that is no duplicate and has none of b's source. What a kind can
+    still give to a source only shrinks, so its first one is a place that moves on: work is notices and kinds met, not pairs."""
+    of = defaultdict(list)
+    for i, kind in enumerate(kinds):
+        of[kind].append(i)
+    free = {k: np.array(v, np.int64) for k, v in of.items()}
+    done, gone, took, place, out = np.zeros(len(kinds), bool), bytearray(len(kinds)), [0] * len(kinds), defaultdict(int), []
+    bit = {s: 1 << i for i, s in enumerate(sorted(set(sources)))}
+
+    def first(kind, mask: int) -> int | None:
+        held, i = of[kind], place[kind, mask]
+        while i < len(held) and (gone[held[i]] or took[held[i]] & mask):
+            i += 1
+        place[kind, mask] = i
+        return held[i] if i < len(held) else None
+
+    for _, level in groupby(sorted(edges, key=lambda e: -e[0]), key=lambda e: e[0]):
+        near, mask = defaultdict(list), {}
+        for _, x, y, source, reason in level:
+            near[y].append((x, reason))
+            mask[y] = bit[source]
+        near = {y: xs for y, xs in near.items() if any(first(x, mask[y]) is not None for x, _ in xs)}
+        for y in near:
+            free[y] = free[y][~done[free[y]]]
+        for b in np.sort(np.concatenate([free[y] for y in near])).tolist() if near else ():
+            y = kinds[b]
+            if took[b]:
+                continue
+            found = [(a, reason) for x, reason in near[y] if (a := first(x, mask[y])) is not None and a < b]
+            if found:
+                a, reason = min(found)
+                gone[b], took[a] = 1, took[a] | mask[y]
+                done[b] = done[a] = True
+                out.append((b, a, reason))
+    return out
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(kind, component) of the kinds that edges (a, b) connect: the smallest one reachable."""
+    near = stage(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    of = stage(near.select(F.col("a").alias("kind"), F.col("a").alias("component")).distinct())
+    while True:
+        least = near.join(of.withColumnRenamed("kind", "b"), "b").groupBy(F.col("a").alias("kind")).agg(F.min("component").alias("least"))
+        new = stage(of.join(least, "kind").select("kind", F.least("component", "least").alias("component")))
+        new = stage(new.join(new.select(F.col("kind").alias("component"), F.col("component").alias("next")), "component").select("kind", F.col("next").alias("component")))
+        if new.join(of, ["kind", "component"], "left_anti").isEmpty():
+            return new
+        of = new
+
+
+def assign_members(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_no, dup_of, dup_reason) of members (project_no, kind, rank: struct priority, first_seen, project_no) of
+    kinds that edges (a, b, b_source, score, reason) name the same: greedy, the best score first, ties by the order of
+    b, then of a. A notice is a duplicate once, or a representative, which takes one duplicate per source.
+
+    The choice is one after the other within a component of kinds, so a component is a stream of two numbers a notice in
+    one task; components are independent."""
+    edges = stage(edges)
+    of = _components(edges)
+    order = [F.col("rank.priority"), F.col("rank.first_seen"), F.col("rank.project_no")]
+    named = members.join(of, "kind").repartitionByRange(*order).sortWithinPartitions(*order)
+    named = stage(named.select(F.monotonically_increasing_id().alias("at"), "project_no", "kind", "component"))
+
+    def chosen(held: pa.Table, met: pa.Table) -> pa.Table:
+        held = held.sort_by("at")
+        at, e = held["at"].to_numpy(), met.to_pydict()
+        out = choose(held["kind"].to_pylist(), e["b_source"], list(zip(e["score"], e["a"], e["b"], e["b_source"], e["reason"], strict=True)))
+        b, a, reason = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"b": pa.array(at[list(b)], pa.int64()), "a": pa.array(at[list(a)], pa.int64()), "reason": pa.array(reason, pa.string())})
+
+    met = edges.join(of.withColumnRenamed("kind", "a"), "a").select("component", "a", "b", "b_source", "score", "reason")
+    out = named.select("component", "at", "kind").groupBy("component").cogroup(met.groupBy("component")).applyInArrow(chosen, "b long, a long, reason string")
+    name = lambda at, as_: named.select(F.col("at").alias(at), F.col("project_no").alias(as_))
+    return stage(out).join(name("b", "project_no"), "b").join(name("a", "dup_of"), "a").select("project_no", "dup_of", F.col("reason").alias("dup_reason"))
+
+
 def assign_duplicates(scored: DataFrame) -> DataFrame:
-    """(project_no, dup_of, dup_reason): greedy, the best score first, ties by the order of b, then of a. A notice is
-    a duplicate once, or a representative, which takes one duplicate per source.
-
-    In rounds: a pair that comes before all others left at either of its notices is taken, as nothing that is left could
-    come in its way, and all pairs that it rules out go. That gives what going through the pairs one by one gives,
-    whatever the size of a component. A round is a few joins on notices and is stored, so a lost executor costs one."""
-    order = lambda c: F.concat_ws("\x01", F.format_string("%03d", F.col(f"{c}.priority")), f"{c}.first_seen", f"{c}.project_no")
-    key = F.struct((-F.col("score")).alias("score"), order("rank_b").alias("b"), order("rank_a").alias("a"))
-    left = stage(scored.select("a", "b", "b_source", "reason", key.alias("key")))
-    taken = []
-    while not left.isEmpty():
-        at = left.select(F.explode(F.array("a", "b")).alias("node"), "key").groupBy("node").agg(F.min("key").alias("first"))
-        first = lambda side: at.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}"))
-        best = left.join(first("a"), "a").join(first("b"), "b").where("key = first_a AND key = first_b")
-        taken.append(stage(best.select("a", "b", "b_source", "reason")))
-        won = taken[-1]
-        duplicate, source = won.select("b"), won.select("a", "b_source")
-        left = left.join(duplicate, "b", "left_anti").join(duplicate.select(F.col("b").alias("a")), "a", "left_anti")
-        left = stage(left.join(won.select(F.col("a").alias("b")), "b", "left_anti").join(source, ["a", "b_source"], "left_anti"))
-    none = left.select("a", "b", "b_source", "reason")
-    return reduce(DataFrame.unionByName, taken, none).select(F.col("b").alias("project_no"), F.col("a").alias("dup_of"), F.col("reason").alias("dup_reason"))
+    """``assign_members`` of scored pairs, each notice a kind of its own."""
+    side = lambda c: scored.select(F.col(c).alias("project_no"), F.col(c).alias("kind"), F.col(f"rank_{c}").alias("rank"))
+    return assign_members(side("a").unionAll(side("b")).distinct(), scored.select("a", "b", "b_source", "score", "reason"))
+
+
+def kinds_of(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of kinds, with a number as project_no; members project_no, kind, rank). Sources have priorities of
+    their own, so that of two kinds one ranks before the other with all its members."""
+    same = ["source", "end", "title_grams", "doc_grams", "stems", "regions"]
+    named = fps.withColumn("key", F.sha2(F.to_json(F.struct(*same)), 256))
+    kinds = named.groupBy("key").agg(F.min("rank_key").alias("rank_key"), *(F.first(c).alias(c) for c in same))
+    kinds = stage(kinds.withColumn("project_no", F.monotonically_increasing_id()))
+    members = named.join(kinds.select("key", F.col("project_no").alias("kind")), "key").select("project_no", "kind", F.col("rank_key").alias("rank"))
+    return kinds.drop("key"), members
 
 
 def mark_duplicates(notices: DataFrame, docs: DataFrame) -> DataFrame:
     """Notices with fresh marks: old ones go, open notices are compared."""
     open_ = tables.filter_status(notices, lex.OPEN)
     fps = fingerprints(open_, docs.join(open_.select("project_no"), "project_no", "left_semi")).checkpoint()
-    marks = assign_duplicates(pair_score(candidate_pairs(fps), fps))
+    kinds, members = kinds_of(fps)
+    marks = assign_members(members, pair_score(candidate_pairs(kinds), kinds))
     return notices.drop("dup_of", "dup_reason").join(marks, "project_no", "left")
